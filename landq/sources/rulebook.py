@@ -119,8 +119,7 @@ def apply_overrides(rules: DataFrame, overrides: DataFrame) -> DataFrame:
         F.max_by("enabled", F.when(F.col("enabled").isNotNull(), when)).alias("new_enabled"),
         F.max_by("tolerance", F.when(F.col("tolerance").isNotNull(), when)).alias("new_tolerance"),
     )
-    # one row per rule: the latest settings are bounded by the rule book
-    return rules.join(F.broadcast(latest), "rule_id", "left").select(
+    return rules.join(latest, "rule_id", "left").select(
         "rule_id",
         "severity",
         "applies_to",
