@@ -32,11 +32,30 @@ def survey_variants(survey: Column, hissa: Column) -> Column:
     )
 
 
+def _substrings(value: Column) -> Column:
+    """All distinct pieces of a (short) name."""
+    n = F.length(value)
+    pieces = F.transform(
+        F.sequence(F.lit(1), n),
+        lambda at: F.transform(F.sequence(F.lit(1), n - at + 1), lambda size: F.substring(value, at, size)),
+    )
+    return F.array_distinct(F.flatten(pieces))
+
+
+def contained_names(asked: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of non-empty names where one contains the other, by an equi-join on pieces of names."""
+    asked, known = (d.filter(F.col(c) != "").distinct() for d, c in ((asked.select(a), a), (known.select(b), b)))
+    in_known = known.withColumn(a, F.explode(_substrings(F.col(b)))).join(asked, a).select(a, b)
+    in_asked = asked.withColumn(b, F.explode(_substrings(F.col(a)))).join(known, b).select(a, b)
+    return in_known.union(in_asked).distinct()
+
+
 def find_parcels(records: DataFrame, parcels: DataFrame) -> DataFrame:
     """document_id, ord, tier: first parcel by land id, else by survey and village, else by survey.
 
-    ``parcels`` has ``ord``, its place in the source. Survey matches go through one row per
-    (survey, village): the village test then runs on village names, not on every parcel of a survey number.
+    ``parcels`` has ``ord``, its place in the source. Parcels and requests are reduced to one row per
+    (survey, village) first, and village names that contain one another are paired once per name, so a
+    survey number that many villages use never pairs all requests with all parcels.
     """
     lookups = records.select(
         "document_id",
@@ -46,27 +65,37 @@ def find_parcels(records: DataFrame, parcels: DataFrame) -> DataFrame:
     )
     places = parcels.select(
         "ord",
-        F.upper(F.trim("ulpin")).alias("p_ulpin"),
-        F.lower(F.trim(F.coalesce("survey_no", F.lit("")))).alias("p_survey"),
+        F.upper(F.trim("ulpin")).alias("ulpin"),
+        F.lower(F.trim(F.coalesce("survey_no", F.lit("")))).alias("survey"),
         F.lower(F.trim(F.coalesce("village", F.lit("")))).alias("p_village"),
     )
-    by_id = places.groupBy("p_ulpin").agg(F.min("ord").alias("ord"))
     rank = lambda tier: F.col("ord") + F.shiftleft(F.lit(tier).cast("long"), TIER_SHIFT)
-    first = (
-        lookups.filter(F.length("ulpin") == 14)
-        .join(by_id, F.col("ulpin") == F.col("p_ulpin"))
-        .select("document_id", rank(1).alias("rank"))
+    by_id = places.groupBy("ulpin").agg(F.min("ord").alias("ord"))
+    first = lookups.filter(F.length("ulpin") == 14).join(by_id, "ulpin").select("document_id", rank(1).alias("rank"))
+
+    by_village = places.groupBy("survey", "p_village").agg(F.min("ord").alias("ord"))
+    # a parcel without a village suits every request; a request without one takes any parcel of the survey
+    by_survey = by_village.groupBy("survey").agg(
+        F.min("ord").alias("any_ord"), F.min(F.when(F.col("p_village") == "", F.col("ord"))).alias("open_ord")
     )
-    # distinct (survey, village) of both sides, so that equal requests are matched once
-    by_survey = places.groupBy("p_survey", "p_village").agg(F.min("ord").alias("ord"))
     asked = lookups.select("document_id", "village", F.explode("variants").alias("survey"))
     requests = asked.select("survey", "village").distinct()
-    near = (F.col("village") == "") | F.col("p_village").contains(F.col("village")) | F.col("village").contains(F.col("p_village"))
-    answers = (
-        requests.join(by_survey, F.col("survey") == F.col("p_survey"))
-        .groupBy("survey", "village")
-        .agg(F.min(F.when(near, rank(2)).otherwise(rank(3))).alias("rank"))
-    )
+    names = contained_names(requests, by_village, "village", "p_village")
+    near = (
+        requests.join(names, "village")
+        .join(by_village, ["survey", "p_village"])
+        .select("survey", "village", rank(2).alias("rank"))
+    )
+    free = F.when(F.col("village") == "", F.col("any_ord")).otherwise(F.col("open_ord"))
+    loose = requests.join(by_survey, "survey").select(
+        "survey",
+        "village",
+        F.least(
+            free + F.shiftleft(F.lit(2).cast("long"), TIER_SHIFT),
+            F.col("any_ord") + F.shiftleft(F.lit(3).cast("long"), TIER_SHIFT),
+        ).alias("rank"),
+    )
+    answers = near.unionByName(loose).groupBy("survey", "village").agg(F.min("rank").alias("rank"))
     second = asked.join(answers, ["survey", "village"]).select("document_id", "rank")
     best = first.unionByName(second).groupBy("document_id").agg(F.min("rank").alias("rank"))
     tier = F.shiftright("rank", TIER_SHIFT)
@@ -139,22 +168,28 @@ def distinct_shapes(parcels: DataFrame) -> DataFrame:
     return grouped.select("shape_id", "ring", G.bounding_box(F.col("ring")).alias("box"), "copies")
 
 
-def _touching_boxes(shapes: DataFrame, levels: list[int]) -> DataFrame:
-    """Pairs (a_id, b_id) whose boxes share area; a is the larger one, or of the same level and first.
+def _touching(shapes: DataFrame, levels: list[int]) -> DataFrame:
+    """Pairs of shapes whose boxes share area, with their boxes and, unless rectangles, their rings.
 
     Every shape stands in its own level's cells and visits the coarser levels' cells it lies in, so small
     and large shapes meet without a fine grid under large shapes. A pair is kept in one cell only: the one
     with the lower-left corner of the common part.
     """
-    level = _level(F.col("box"))
-    homes = shapes.select(
-        F.col("shape_id").alias("a_id"), F.col("box").alias("a_box"), level.alias("level")
-    ).withColumn("cell", F.explode(_cells(F.col("a_box"), F.col("level"))))
+    sided = shapes.select(
+        F.col("shape_id").alias("id"),
+        "box",
+        F.when(~G.is_box(F.col("ring")), F.col("ring")).alias("ring"),
+        _level(F.col("box")).alias("own"),
+    )
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("id", "box", "ring")]
+    homes = sided.select(
+        *side("a"), F.col("own").alias("level"), F.explode(_cells(F.col("box"), F.col("own"))).alias("cell")
+    )
     coarser = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("own"))
     visits = (
-        shapes.select(F.col("shape_id").alias("b_id"), F.col("box").alias("b_box"), level.alias("own"))
-        .withColumn("level", F.explode(coarser))
-        .withColumn("cell", F.explode(_cells(F.col("b_box"), F.col("level"))))
+        sided.withColumn("level", F.explode(coarser))
+        .withColumn("cell", F.explode(_cells(F.col("box"), F.col("level"))))
+        .select(*side("b"), "own", "level", "cell")
     )
     a, b = F.col("a_box"), F.col("b_box")
     size = F.pow(F.lit(2.0), F.col("level"))
@@ -163,37 +198,36 @@ def _touching_boxes(shapes: DataFrame, levels: list[int]) -> DataFrame:
         F.floor(F.greatest(a["y0"], b["y0"]) / size) == F.col("cell.cy")
     )
     once = (F.col("own") < F.col("level")) | (F.col("a_id") < F.col("b_id"))
-    pairs = homes.join(visits, ["level", "cell"]).filter(shared & here & once)
-    return pairs.select("a_id", "b_id")
+    return homes.join(visits, ["level", "cell"]).filter(shared & here & once)
 
 
 def overlap_pairs(shapes: DataFrame) -> DataFrame:
     """i, j, overlap_area (squared ring units), overlap_sqm for distinct shapes with a common part.
 
-    Two rectangles have a closed form; other shapes are clipped exactly in Arrow batches.
+    Two rectangles have a closed form; other pairs are clipped exactly in Arrow batches.
     """
-    pairs = _touching_boxes(shapes, levels_of(shapes)).select(
-        F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")
-    )
-    side = shapes.select("shape_id", "ring", "box", G.is_box(F.col("ring")).alias("boxy"))
-    both = pairs.join(side.select(F.col("shape_id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("ring", "box", "boxy")]), "i").join(
-        side.select(F.col("shape_id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("ring", "box", "boxy")]), "j"
-    )
+    pairs = _touching(shapes, levels_of(shapes))
     a, b = F.col("a_box"), F.col("b_box")
     left, right = F.greatest(a["x0"], b["x0"]), F.least(a["x1"], b["x1"])
     low, high = F.greatest(a["y0"], b["y0"]), F.least(a["y1"], b["y1"])
-    boxes = F.col("a_boxy") & F.col("b_boxy")
-    closed = both.filter(boxes).select(
-        "i", "j", ((right - left) * (high - low)).alias("overlap_area"), ((low + high) / 2.0).alias("_lat")
-    )
-    # rings that both are rectangles go to the batch as nulls would not: they are filtered out first
-    clip = G.ring_overlap(F.col("a_ring"), F.col("b_ring"))
-    clipped = both.filter(~boxes).withColumn("c", clip).select(
-        "i", "j", F.col("c.area").alias("overlap_area"), F.col("c.cy").alias("_lat")
+    boxes = F.col("a_ring").isNull() & F.col("b_ring").isNull()
+    ring = lambda n, box: F.when(
+        ~boxes, F.coalesce(F.col(f"{n}_ring"), G.box_ring(box["x0"], box["y0"], box["x1"], box["y1"]))
+    )
+    measured = pairs.select(
+        F.least("a_id", "b_id").alias("i"),
+        F.greatest("a_id", "b_id").alias("j"),
+        F.when(boxes, (right - left) * (high - low)).alias("_area"),
+        F.when(boxes, (low + high) / 2.0).alias("_lat"),
+        G.ring_overlap(ring("a", a), ring("b", b)).alias("_clip"),
+    ).select(
+        "i",
+        "j",
+        F.coalesce("_area", "_clip.area").alias("overlap_area"),
+        F.coalesce("_lat", "_clip.cy").alias("_lat"),
     )
-    found = closed.unionByName(clipped).filter(F.col("overlap_area") > SIGNIFICANT)
     per_lat, per_lon = G.metres_per_degree(F.col("_lat"))
-    return found.select(
+    return measured.filter(F.col("overlap_area") > SIGNIFICANT).select(
         "i", "j", "overlap_area", round_to(F.col("overlap_area") * per_lat * per_lon, 2).alias("overlap_sqm")
     )
 
