@@ -1,6 +1,6 @@
 """All named queries."""
 
 from landq.plans.catalogue.registry import CATALOGUE
-from landq.plans.catalogue import legal  # noqa: F401
+from landq.plans.catalogue import legal, regional, scoring  # noqa: F401
 
 __all__ = ["CATALOGUE"]
