@@ -113,7 +113,9 @@ def band_pairs(items: DataFrame, key: str, position: str, gap: int = BLOCK_GAP)
     return left.join(right, ["_k", "_s"]).filter((step >= 1) & (step <= gap)).select("a", "b")
 
 
-def clone_pairs(signatures: DataFrame, keep: int = CLONES_KEPT) -> DataFrame:
+def clone_pairs(
+    signatures: DataFrame, keep: int = CLONES_KEPT, distance: float = BLOCK_DISTANCE, signature: float = BLOCK_SIGNATURE
+) -> DataFrame:
     """First few pairs per page of far-apart blocks with nearly equal signatures.
 
     The gap counts structured blocks only, so these are numbered first. The row limit per page is applied
@@ -133,7 +135,7 @@ def clone_pairs(signatures: DataFrame, keep: int = CLONES_KEPT) -> DataFrame:
     )
     near = (
         pairs.withColumn("signature_gap", gap)
-        .filter((apart > BLOCK_DISTANCE) & (F.col("signature_gap") < BLOCK_SIGNATURE))
+        .filter((apart > distance) & (F.col("signature_gap") < signature))
         .select(
             F.col("a.page_id").alias("page_id"),
             F.col("a.i").alias("i"),

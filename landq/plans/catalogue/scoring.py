@@ -205,9 +205,9 @@ CRITICAL = "(contains(field_name, 'owner') or contains(field_name, 'survey') or
 LOWS = f"{CRITICAL} and confidence < cast(0.6 as double)"
 CRITICAL_DOCS = "select document_id from fx_records where reg_no <> '' and reg_no in (select reg_no from fx_records group by reg_no having count(*) > 1)"
 ROUTED = f"""select d.document_id, d.overall_confidence,
-      case when c.document_id is not null or low or d.overall_confidence < cast(0.6 as double) then 'document_review' when some then 'field_review' else 'auto_accepted' end status,
-      case when c.document_id is not null or low or d.overall_confidence < cast(0.6 as double) then 'high' when some then 'medium' else 'low' end priority, flagged_fields
-    from (select document_id, {MEAN} overall_confidence, bool_or({LOWS}) low, bool_or(not ({LOWS}) and confidence < cast(0.9 as double)) some,
+      case when c.document_id is not null or low or d.overall_confidence < cast(0.6 as double) then 'document_review' when any_low then 'field_review' else 'auto_accepted' end status,
+      case when c.document_id is not null or low or d.overall_confidence < cast(0.6 as double) then 'high' when any_low then 'medium' else 'low' end priority, flagged_fields
+    from (select document_id, {MEAN} overall_confidence, bool_or({LOWS}) low, bool_or(not ({LOWS}) and confidence < cast(0.9 as double)) any_low,
             count(case when confidence < cast(0.9 as double) then 1 end) flagged_fields from ({PLAIN}) x group by document_id) d
     left join (select distinct document_id from ({CRITICAL_DOCS}) y) c on c.document_id = d.document_id"""
 
