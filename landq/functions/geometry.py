@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,15 +64,24 @@ def ring_area(ring: Column) -> Column:
     return F.abs(ring_moments(ring)["a2"]) / 2.0
 
 
-def centroid_lat(ring: Column) -> Column:
-    m = ring_moments(ring)
-    return _at(ring, F.lit(0), "y") + F.coalesce(F.try_divide(m["sy"], 3.0 * m["a2"]), F.lit(0.0))
+def with_measures(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """Adds planar_area, centroid_lat, per_lat, per_lon.
+
+    The pass over the ring is a projection of its own, so that it happens once per row however often its
+    result is used.
+    """
+    m = F.col("_moments")
+    lat = _at(F.col(ring), F.lit(0), "y") + F.coalesce(F.try_divide(m["sy"], 3.0 * m["a2"]), F.lit(0.0))
+    measured = df.withColumn("_moments", ring_moments(F.col(ring))).withColumns(
+        {"planar_area": F.abs(m["a2"]) / 2.0, "centroid_lat": lat}
+    )
+    per_lat, per_lon = metres_per_degree(F.col("centroid_lat"))
+    return measured.withColumns({"per_lat": per_lat, "per_lon": per_lon}).drop("_moments")
 
 
 def metric_area(ring: Column) -> Column:
-    """Square metres: the planar area scaled by the metre factors at the centroid; empty -> 0."""
-    per_lat, per_lon = metres_per_degree(centroid_lat(ring))
-    area = round_to(ring_area(ring) * per_lat * per_lon, 2)
+    """Square metres from the columns of with_measures; empty -> 0."""
+    area = round_to(F.col("planar_area") * F.col("per_lat") * F.col("per_lon"), 2)
     return F.when(F.size(ring) > 3, area).otherwise(F.lit(0.0))
 
 
@@ -89,16 +98,14 @@ def ring_perimeter(ring: Column, scale_x: Column | float = 1.0, scale_y: Column
 
 
 def compactness(ring: Column) -> Column:
-    """4 pi A / P^2 in projected metres; 0 for a degenerate ring."""
-    per_lat, per_lon = metres_per_degree(centroid_lat(ring))
-    area = ring_area(ring) * per_lat * per_lon
-    length = ring_perimeter(ring, per_lon, per_lat)
-    return F.coalesce(F.try_divide(4.0 * math.pi * area, length * length), F.lit(0.0))
+    """4 pi A / P^2 in metres, from the columns of with_measures; 0 for a degenerate ring."""
+    area = F.col("planar_area") * F.col("per_lat") * F.col("per_lon")
+    length = ring_perimeter(ring, F.col("per_lon"), F.col("per_lat"))
+    return F.coalesce(F.try_divide(4.0 * math.pi * area, F.pow(length, F.lit(2.0))), F.lit(0.0))
 
 
 def bounding_box(ring: Column) -> Column:
-    xs = F.transform(ring, lambda p: p["x"])
-    ys = F.transform(ring, lambda p: p["y"])
+    xs, ys = ring["x"], ring["y"]
     return F.struct(
         F.array_min(xs).alias("x0"),
         F.array_min(ys).alias("y0"),
@@ -114,16 +121,20 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     )
 
 
-def is_box(ring: Column) -> Column:
-    """True for an axis-aligned rectangle, whose overlap has a closed form."""
-    box = bounding_box(ring)
+def is_box(ring: Column, box: Column) -> Column:
+    """True for an axis-aligned rectangle, whose overlap has a closed form. ``box`` is its bounding box."""
     on_corner = F.forall(
         ring,
         lambda p: ((p["x"] == box["x0"]) | (p["x"] == box["x1"]))
         & ((p["y"] == box["y0"]) | (p["y"] == box["y1"])),
     )
-    full = ring_area(ring) == (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
-    return (F.size(ring) == 5) & on_corner & full
+    # five points on the corners, first and last the same, each step along one side only
+    steps = F.forall(
+        _edges(ring),
+        lambda i: (_at(ring, i, "x") == _at(ring, i - 1, "x")) != (_at(ring, i, "y") == _at(ring, i - 1, "y")),
+    )
+    turns = (_at(ring, F.lit(0), "x") != _at(ring, F.lit(2), "x")) & (_at(ring, F.lit(0), "y") != _at(ring, F.lit(2), "y"))
+    return (F.size(ring) == 5) & on_corner & steps & turns
 
 
 def contains_point(ring: Column, x: Column, y: Column) -> Column:
@@ -230,11 +241,9 @@ def _sanity_udf(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
 
 
 def ring_sanity(ring: Column) -> Column:
-    """struct<is_valid, reason, aspect_ratio>, the aspect measured in metres."""
-    per_lat, per_lon = metres_per_degree(centroid_lat(ring))
-    return _sanity_udf(
-        F.transform(ring, lambda p: p["x"] * per_lon), F.transform(ring, lambda p: p["y"] * per_lat)
-    )
+    """struct<is_valid, reason, aspect_ratio>, the aspect in metres, from the columns of with_measures."""
+    scaled = lambda axis, by: F.transform(ring[axis], lambda v: v * F.col(by))
+    return _sanity_udf(scaled("x", "per_lon"), scaled("y", "per_lat"))
 
 
 def _clip(subject: list, a, b) -> list:
@@ -301,10 +310,5 @@ def _overlap_udf(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) ->
 
 
 def ring_overlap(a: Column, b: Column) -> Column:
-    """struct<area, cx, cy> of the common part of two rings of any simple shape."""
-    return _overlap_udf(
-        F.transform(a, lambda p: p["x"]),
-        F.transform(a, lambda p: p["y"]),
-        F.transform(b, lambda p: p["x"]),
-        F.transform(b, lambda p: p["y"]),
-    )
+    """struct<area, cx, cy> of the common part of two rings of any simple shape; null rings give nulls."""
+    return _overlap_udf(a["x"], a["y"], b["x"], b["y"])

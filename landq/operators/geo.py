@@ -159,13 +159,14 @@ def levels_of(shapes: DataFrame) -> list[int]:
 
 
 def distinct_shapes(parcels: DataFrame) -> DataFrame:
-    """One row per ring: shape_id (smallest ord), ring, box, copies.
+    """One row per ring: shape_id (smallest ord), ring, box, boxy, copies.
 
     Copies of one polygon collapse here, so that a heap of them does not pair with itself.
     """
     keyed = parcels.select("ord", "ring", F.xxhash64("ring").alias("_h"))
     grouped = keyed.groupBy("_h", "ring").agg(F.min("ord").alias("shape_id"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select("shape_id", "ring", G.bounding_box(F.col("ring")).alias("box"), "copies")
+    boxed = grouped.withColumn("box", G.bounding_box(F.col("ring")))
+    return boxed.select("shape_id", "ring", "box", G.is_box(F.col("ring"), F.col("box")).alias("boxy"), "copies")
 
 
 def _touching(shapes: DataFrame, levels: list[int]) -> DataFrame:
@@ -178,7 +179,7 @@ def _touching(shapes: DataFrame, levels: list[int]) -> DataFrame:
     sided = shapes.select(
         F.col("shape_id").alias("id"),
         "box",
-        F.when(~G.is_box(F.col("ring")), F.col("ring")).alias("ring"),
+        F.when(~F.col("boxy"), F.col("ring")).alias("ring"),
         _level(F.col("box")).alias("own"),
     )
     side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("id", "box", "ring")]
@@ -242,11 +243,12 @@ def overlap_counts(parcels: DataFrame, pairs: DataFrame, shapes: DataFrame) -> D
         .groupBy("i")
         .agg(F.sum("copies").alias("others"))
     )
+    area = G.ring_area(F.col("ring"))
     per_shape = shapes.join(met, shapes.shape_id == met.i, "left").select(
         "shape_id",
         F.xxhash64("ring").alias("_h"),
         "ring",
-        (F.coalesce("others", F.lit(0)) + F.when(G.ring_area(F.col("ring")) > SIGNIFICANT, F.col("copies") - 1).otherwise(0)).alias("overlaps"),
+        (F.coalesce("others", F.lit(0)) + F.when(area > SIGNIFICANT, F.col("copies") - 1).otherwise(0)).alias("overlaps"),
     )
     return (
         parcels.select("ord", "ring", F.xxhash64("ring").alias("_h"))
@@ -288,7 +290,8 @@ def locate_points(points: DataFrame, parcels: DataFrame, point_id: str) -> DataF
 def shape_checks(parcels: DataFrame) -> DataFrame:
     """ord, is_valid, reason, compactness, aspect_ratio, is_sliver; metres, not degrees."""
     ring = F.col("ring")
-    checked = parcels.select("ord", G.compactness(ring).alias("c"), G.ring_sanity(ring).alias("s"))
+    measured = G.with_measures(parcels.select("ord", "ring"))
+    checked = measured.select("ord", G.compactness(ring).alias("c"), G.ring_sanity(ring).alias("s"))
     return checked.select(
         "ord",
         F.col("s.is_valid").alias("is_valid"),
@@ -332,7 +335,7 @@ def cross_check(
     shapes = distinct_shapes(parcels)
     counts = overlap_counts(parcels, overlap_pairs(shapes), shapes)
     ring = F.col("ring")
-    layer = parcels.select(
+    layer = G.with_measures(parcels).select(
         "ord",
         F.col("ulpin").alias("gis_ulpin"),
         F.col("village").alias("gis_village"),

@@ -84,7 +84,7 @@ def overlaps(spark, sf):
 @query(
     "j7_overlap_counts",
     ["fx_parcels"],
-    f"""with s as ({SHAPES}) select p.ord, cast((select coalesce(sum(b.copies), 0) from s b, s a where a.x0 = p.x0 and a.y0 = p.y0 and a.x1 = p.x1 and a.y1 = p.y1 and {MEETS}) - 1 as bigint) overlaps
+    f"""with s as ({SHAPES}) select p.ord, cast((select coalesce(sum(b.copies), 0) from s b, s a where a.x0 = p.x0 and a.y0 = p.y0 and a.x1 = p.x1 and a.y1 = p.y1 and {MEETS}) - 1 as bigint) "overlaps"
         from fx_parcels p""",
 )
 def overlap_counts(spark, sf):
@@ -133,7 +133,7 @@ MLAT, MLON = _metres(LAT)
 )
 def metric_area(spark, sf):
     area = G.metric_area(F.col("ring"))
-    return parcels(spark, sf, DEGREE).select("ord", F.round(area / 1000).cast("long").alias("thousand_sqm"))
+    return G.with_measures(parcels(spark, sf, DEGREE)).select("ord", F.round(area / 1000).cast("long").alias("thousand_sqm"))
 
 
 W, H = f"((x1 - x0) * cast(0.001 as double) * {MLON})", f"((y1 - y0) * cast(0.001 as double) * {MLAT})"
@@ -193,7 +193,7 @@ def admin_mismatch(spark, sf):
         c as (select r.document_id, f.ord, f.tier, {PCT} pct, {' + '.join(_apart(c) for c in LEVELS)} apart, o.n,
                 case when contains(lower(p.neighbour_a), r.sub_division) or contains(lower(p.neighbour_b), r.sub_division) or r.sub_division is null then 0 else 1 end claims
               from fx_records r left join f on f.document_id = r.document_id left join fx_parcels p on p.ord = f.ord left join o on o.ord = f.ord)
-        select document_id, ord is not null matched, tier, coalesce(pct, cast(0 as double)) discrepancy_pct, cast(n as bigint) overlaps,
+        select document_id, ord is not null matched, tier, coalesce(pct, cast(0 as double)) discrepancy_pct, cast(n as bigint) "overlaps",
           case when ord is null then 'error' when pct > 10 or apart > 0 or n > 0 then 'error' when pct > 5 or claims > 0 then 'warn' else 'pass' end status,
           case when ord is null then 1 else cast(pct > 5 as int) + apart + claims + cast(n > 0 as int) end deviations from c""",
 )
