@@ -169,6 +169,10 @@ def _points(xs, ys) -> np.ndarray:
     return np.column_stack([np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)])
 
 
+def _turn(o, a, b) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
 def _hull(p: np.ndarray) -> np.ndarray:
     p = np.unique(p, axis=0)
     if len(p) < 3:
@@ -177,7 +181,7 @@ def _hull(p: np.ndarray) -> np.ndarray:
     for run in (p, p[::-1]):
         side: list = []
         for q in run:
-            while len(side) > 1 and np.cross(side[-1] - side[-2], q - side[-2]) <= 0:
+            while len(side) > 1 and _turn(side[-2], side[-1], q) <= 0:
                 side.pop()
             side.append(q)
         halves += side[:-1]

@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landq.functions.text import first_filled, mask_name
-from landq.operators.records import EXPORT_FIELDS, widen
+from landq.operators.records import widen
 from landq.sources.dictionaries import has_permission
 
 
+# fields an export row is made of; of several names for one thing the first filled one counts
+EXPORT_FIELDS = [
+    "owner_name", "khatadar_name", "owner_0_name", "survey_or_khasra_no", "survey_no", "khasra_no", "ulpin", "village",
+    "area_sqm", "plot_area_sqm", "plot_area_value", "land_type", "land_class", "land_classification",
+]
+
+
 def ingest(uploads: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new documents, duplicate uploads). ``uploads``: content, path, ts. ``history``: sha256, document_id.
 
@@ -71,8 +78,11 @@ def document_view(documents: DataFrame, children: dict[str, DataFrame]) -> DataF
 
 def export_rows(documents: DataFrame, fields: DataFrame, role: str) -> DataFrame:
     """Twelve columns per document, first filled alternative of each, owner masked unless permitted."""
-    wide = widen(fields, EXPORT_FIELDS + ["owner_name", "khatadar_name", "survey_or_khasra_no", "area_sqm", "plot_area_sqm", "land_type", "land_class"])
-    joined = documents.join(wide, "document_id", "left")
+    wide = widen(fields, EXPORT_FIELDS)
+    listed = documents.select(
+        "document_id", "filename", "doc_type", "status", "overall_confidence", "created_at"
+    )
+    joined = listed.join(wide, "document_id", "left")
     col = lambda *names: F.coalesce(first_filled(*[F.col(n) for n in names]), F.lit(""))
     owner = first_filled(F.col("owner_name"), F.col("khatadar_name"), F.col("owner_0_name"))
     shown = owner if has_permission(role, "VIEW_PII") else F.when(owner.isNotNull(), mask_name(owner))

@@ -48,12 +48,6 @@ MUTATION_FIELDS = {
     "order_ref": "order_ref",
 }
 
-EXPORT_FIELDS = [
-    "owner_0_name", "survey_no", "khasra_no", "ulpin", "village", "tehsil", "district", "sub_division",
-    "plot_area_value", "plot_area_unit", "land_classification",
-]
-
-
 def _entries(pairs: list[tuple[Column, Column]]) -> Column:
     """Rows of (field_name, item) for the items that are there."""
     structs = [F.struct(name.alias("field_name"), item.alias("item")) for name, item in pairs]
