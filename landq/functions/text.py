@@ -34,19 +34,21 @@ def indic_to_ascii(value: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Plain decimal or exponent notation to double, else null."""
-    return F.when(value.rlike(NUMBER), F.trim(value).try_cast("double"))
+    """Plain decimal or exponent notation to double, else null.
+
+    Like the other parsers it reads its argument once: a derived argument is then evaluated once, and
+    generated code stays small enough to be compiled.
+    """
+    return F.regexp_extract(value, NUMBER, 0).try_cast("double")
 
 
 def parse_date(value: Column) -> Column:
     """First of Y-m-d, d-m-Y, d/m/Y, Y/m/d, d.m.Y, Y.m.d that fits, else null."""
-    text = F.trim(value)
-    year_first = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
     day_first = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
-    iso = F.when(text.rlike(year_first), F.regexp_replace(text, year_first, "$1-$3-$4")).when(
-        text.rlike(day_first), F.regexp_replace(text, day_first, "$4-$3-$1")
-    )
-    return iso.try_cast("date")
+    other_signs = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
+    turned = F.regexp_replace(F.trim(value), day_first, "$4-$3-$1")
+    dashed = F.regexp_replace(turned, other_signs, "$1-$3-$4")
+    return F.regexp_extract(dashed, r"^\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
 
 
 def parse_share(value: Column) -> Column:

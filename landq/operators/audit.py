@@ -8,14 +8,15 @@ a hash, and no task ever handles more than one segment at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landq.functions.hashing import GENESIS, chain_hash, chain_step, payload
-from landq.operators.ordered import ranked
+from landq.operators.ordered import HOT_ROWS, hot_keys, ranked
 
 SEGMENT_ROWS = 100_000
 
@@ -27,12 +28,6 @@ def segment_seed(chain: Column, segment: Column) -> Column:
     )
 
 
-def number_entries(events: DataFrame, chain: str, order: list[str], splits: list[Column], segment_rows: int) -> DataFrame:
-    """Adds seq (from 0 per chain) and segment."""
-    placed = ranked(events, [chain], order, splits, "seq").withColumn("seq", F.col("seq") - 1)
-    return placed.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("long"))
-
-
 def link_bodies(bodies: Iterable[str], start: str) -> list[str]:
     """The start hash followed by the hash after each body."""
     hashes = [start]
@@ -41,6 +36,26 @@ def link_bodies(bodies: Iterable[str], start: str) -> list[str]:
     return hashes
 
 
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks sorted rows once. Only the last hash is held, whatever the length of a chain."""
+    place, last = None, ""
+    for batch in batches:
+        chains, seqs = batch["_chain"].to_pylist(), batch["seq"].to_pylist()
+        befores, afters = [], []
+        for chain, seq, seed, body in zip(chains, seqs, batch["_seed"].to_pylist(), batch["_body"].to_pylist()):
+            if seed is None and place != (chain, seq - 1):
+                raise ValueError(f"entry {seq} of chain {chain} does not follow the one before it")
+            befores.append(last if seed is None else seed)
+            last = chain_step(befores[-1], body)
+            afters.append(last)
+            place = (chain, seq)
+        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("_chain", "_seed", "_body")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(i) for i in kept] + [pa.array(befores, pa.string()), pa.array(afters, pa.string())],
+            names=[batch.schema.names[i] for i in kept] + ["previous_hash", "current_hash"],
+        )
+
+
 def append_chain(
     events: DataFrame,
     chain: str,
@@ -48,30 +63,29 @@ def append_chain(
     splits: list[Column],
     hashed: list[str],
     segment_rows: int = SEGMENT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Adds seq, segment, previous_hash and current_hash. Every column in ``hashed`` is covered."""
-    placed = number_entries(events, chain, order, splits, segment_rows)
+    """Adds seq (from 0 per chain), segment, previous_hash and current_hash.
+
+    Every column in ``hashed`` is covered. Rows are shuffled once, by chain, for numbering and linking;
+    only when some chain is very long are they shuffled once more, by segment.
+    """
+    placed = ranked(events, [chain], order, splits, "seq", hot_rows).withColumn("seq", F.col("seq") - 1)
+    placed = placed.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("long"))
+    starts = F.col("seq") % segment_rows == 0
     bodied = placed.withColumns(
         {
+            "_chain": F.col(chain).cast("string"),
             "_body": payload(F.col(chain), F.col("seq"), *[F.col(c) for c in hashed]),
-            "_seed": segment_seed(F.col(chain), F.col("segment")),
+            "_seed": F.when(starts, segment_seed(F.col(chain), F.col("segment"))),
         }
     )
-    small = bodied.select(F.col(chain).alias("_chain"), "segment", "seq", "_seed", "_body")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        hashes = link_bodies(pdf["_body"], pdf["_seed"].iat[0])
-        return pd.DataFrame(
-            {"_chain": pdf["_chain"], "seq": pdf["seq"], "previous_hash": hashes[:-1], "current_hash": hashes[1:]}
-        )
-
-    kind = dict(small.dtypes)["_chain"]
-    linked = small.groupBy("_chain", "segment").applyInPandas(
-        link, f"_chain {kind}, seq long, previous_hash string, current_hash string"
+    if hot_keys(events, [chain], hot_rows) is not None:
+        bodied = bodied.repartition(chain, "segment")
+    schema = T.StructType(
+        [*placed.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("current_hash", T.StringType())]
     )
-    joined = placed.join(linked, (placed[chain] == linked["_chain"]) & (placed["seq"] == linked["seq"]))
-    return joined.select(*[placed[c] for c in placed.columns], "previous_hash", "current_hash")
+    return bodied.sortWithinPartitions(chain, "seq").mapInArrow(_link, schema)
 
 
 def segment_heads(log: DataFrame, chain: str) -> DataFrame:
@@ -84,22 +98,23 @@ def segment_heads(log: DataFrame, chain: str) -> DataFrame:
 def verify_chain(log: DataFrame, chain: str, hashed: list[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """chain, seq, broken: null, 'link' (previous hash does not fit) or 'content' (entry was changed).
 
-    Each entry is checked against its own columns and against the entry before it, by an equi-join on
-    (chain, seq - 1). Keys are unique, so the check spreads evenly however long a chain is.
+    A segment starts from its own seed, so each one is checked on its own: one shuffle by (chain, segment),
+    groups of bounded size however long a chain is.
     """
-    before = log.select(
-        F.col(chain).alias("_chain"), (F.col("seq") + 1).alias("_seq"), F.col("current_hash").alias("_expected")
-    )
-    joined = log.join(before, (F.col(chain) == F.col("_chain")) & (F.col("seq") == F.col("_seq")), "left")
     segment = F.floor(F.col("seq") / segment_rows).cast("long")
-    starts = F.col("seq") % segment_rows == 0
-    expected = F.when(starts, segment_seed(F.col(chain), segment)).otherwise(F.col("_expected"))
-    body = payload(F.col(chain), F.col("seq"), *[F.col(c) for c in hashed])
+    w = Window.partitionBy(chain, "_segment").orderBy("seq")
+    near = log.withColumn("_segment", segment).withColumns(
+        {"_before": F.lag("current_hash").over(w), "_place": F.lag("seq").over(w)}
+    )
     # a link to a missing entry is a break too: nothing to compare with is not a match
+    expected = F.when(F.col("seq") % segment_rows == 0, segment_seed(F.col(chain), F.col("_segment"))).when(
+        F.col("_place") == F.col("seq") - 1, F.col("_before")
+    )
+    body = payload(F.col(chain), F.col("seq"), *[F.col(c) for c in hashed])
     fits = F.coalesce(F.col("previous_hash") == expected, F.lit(False))
-    unchanged = F.coalesce(F.col("current_hash") == chain_hash(F.coalesce("previous_hash", expected), body), F.lit(False))
+    unchanged = F.coalesce(F.col("current_hash") == chain_hash(F.col("previous_hash"), body), F.lit(False))
     broken = F.when(~fits, "link").when(~unchanged, "content")
-    return joined.select(F.col(chain), F.col("seq"), broken.alias("broken"), F.col("current_hash"))
+    return near.select(F.col(chain), F.col("seq"), broken.alias("broken"), F.col("current_hash"))
 
 
 def missing_tails(log: DataFrame, heads: DataFrame, chain: str) -> DataFrame:

@@ -76,38 +76,48 @@ def page_penalty(blur: Column, fade: Column, stain: Column) -> Column:
     )
 
 
-def damage_penalty(bbox: Column, quality: Column) -> Column:
-    """Penalty under a field's box [ymin, xmin, ymax, xmax] from the page's quality struct.
+def rated_quality(quality: Column) -> Column:
+    """struct<tiles, whole>: each tile's box with its penalty, and the fallback for pages without tiles.
 
-    The tiles of a page (a fixed grid) stay nested in its row, so this needs no explode and no second shuffle.
+    Worked out once per page, before the page meets its fields.
     """
     at = lambda box, i: F.get(box, F.lit(i))
-    touching = F.filter(
+    tiles = F.transform(
         quality["tile_metrics"],
-        lambda t: ~(
-            (at(bbox, 3) < at(t["bbox"], 1))
-            | (at(bbox, 1) > at(t["bbox"], 3))
-            | (at(bbox, 2) < at(t["bbox"], 0))
-            | (at(bbox, 0) > at(t["bbox"], 2))
-        ),
-    )
-    total = F.aggregate(
-        touching,
-        F.lit(0.0),
-        lambda acc, t: acc
-        + tile_penalty(
-            F.coalesce(t["blur"], F.lit(200.0)),
-            F.coalesce(t["fade"], F.lit(0.0)),
-            F.coalesce(t["stain"], F.lit(0.0)),
-            F.coalesce(t["tear"], F.lit(0.0)),
+        lambda t: F.struct(
+            *[at(t["bbox"], i).alias(n) for i, n in enumerate(("y0", "x0", "y1", "x1"))],
+            tile_penalty(
+                F.coalesce(t["blur"], F.lit(200.0)),
+                F.coalesce(t["fade"], F.lit(0.0)),
+                F.coalesce(t["stain"], F.lit(0.0)),
+                F.coalesce(t["tear"], F.lit(0.0)),
+            ).alias("penalty"),
         ),
     )
-    mean = F.coalesce(F.try_divide(total, F.size(touching)), F.lit(0.0))
-    no_tiles = quality["tile_metrics"].isNull() | (F.size(quality["tile_metrics"]) == 0)
     whole = page_penalty(quality["blur_score"], quality["fade_score"], quality["stain_coverage"])
-    raw = F.when(no_tiles, whole).otherwise(mean)
-    unusable = quality.isNull() | bbox.isNull() | (F.size(bbox) != 4)
-    return F.when(unusable, F.lit(0.0)).otherwise(F.least(round_to(raw, 4), F.lit(MAX_DAMAGE)))
+    return F.when(quality.isNotNull(), F.struct(tiles.alias("tiles"), whole.alias("whole")))
+
+
+def damage_penalty(bbox: Column, rated: Column) -> Column:
+    """Penalty under a field's box [ymin, xmin, ymax, xmax]: the mean over the tiles it touches.
+
+    The tiles of a page (a fixed grid) stay nested in its row, so this needs no explode and no second shuffle.
+    """
+    at = lambda i: F.get(bbox, F.lit(i))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        apart = (at(3) < t["x0"]) | (at(1) > t["x1"]) | (at(2) < t["y0"]) | (at(0) > t["y1"])
+        return F.when(apart, acc).otherwise(
+            F.struct((acc["total"] + t["penalty"]).alias("total"), (acc["n"] + 1).alias("n"))
+        )
+
+    mean = F.aggregate(
+        rated["tiles"], start, step, lambda acc: F.coalesce(F.try_divide(acc["total"], acc["n"]), F.lit(0.0))
+    )
+    raw = F.when(F.coalesce(F.size(rated["tiles"]), F.lit(0)) < 1, rated["whole"]).otherwise(mean)
+    usable = rated.isNotNull() & (F.size(bbox) == 4)
+    return F.when(F.coalesce(usable, F.lit(False)), F.least(round_to(raw, 4), F.lit(MAX_DAMAGE))).otherwise(0.0)
 
 
 def format_score(field_name: Column, value: Column) -> Column:
@@ -180,14 +190,15 @@ def score_fields(fields: DataFrame, pages: DataFrame, results: DataFrame) -> Dat
     ``pages``: page_id, quality. ``results``: validation rows.
     """
     failed = failed_rule_flags(results)
-    joined = fields.join(pages.select("page_id", "quality"), "page_id", "left").join(failed, "document_id", "left")
+    rated = pages.select("page_id", rated_quality(F.col("quality")).alias("_rated"))
+    joined = fields.join(rated, "page_id", "left").join(failed, "document_id", "left")
     flags = {rule: F.coalesce(F.col(rule), F.lit(False)) for rule in CONSISTENCY}
     raw = joined.withColumns(
         {
             "_agree": F.greatest(
                 F.lit(0.0), F.least(F.lit(1.0), F.coalesce("agreement", F.lit(DEFAULT_AGREEMENT)))
             ),
-            "_damage": damage_penalty(F.col("bbox"), F.col("quality")),
+            "_damage": damage_penalty(F.col("bbox"), F.col("_rated")),
             "_format": format_score(F.col("field_name"), F.col("value")),
             "_consistent": consistency_score(F.col("field_name"), flags),
         }

@@ -140,21 +140,20 @@ def latin_names(df: DataFrame, name: str) -> DataFrame:
 def match_names(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Adds name_score and is_match for pairs of names across scripts.
 
-    Equal names after transliteration are settled at once; each other distinct pair is scored once.
+    Each distinct pair is transliterated and scored once; equal names are settled without scoring.
     """
-    a, b = F.lower(transliterate(F.col(left))), F.lower(transliterate(F.col(right)))
-    keyed = pairs.withColumns({"_a": a, "_b": b})
+    latin = pairs.select(left, right).distinct().withColumns(
+        {"_a": F.lower(transliterate(F.col(left))), "_b": F.lower(transliterate(F.col(right)))}
+    )
     different = F.col("_a") != F.col("_b")
-    scored = (
-        keyed.filter(different)
-        .select("_a", "_b")
-        .distinct()
-        .withColumn("_score", similarity.token_sort_ratio(F.col("_a"), F.col("_b")))
+    ratio = similarity.token_sort_ratio(F.when(different, F.col("_a")), F.when(different, F.col("_b")))
+    scored = latin.withColumn("_ratio", ratio).select(
+        left, right, F.when(different, F.col("_ratio")).when(F.col("_a") == F.col("_b"), F.lit(100.0)).alias("_score")
     )
-    joined = keyed.join(scored, ["_a", "_b"], "left")
-    score = F.when(different, F.col("_score")).when(F.col("_a") == F.col("_b"), F.lit(100.0))
-    return joined.select(
-        *pairs.columns, round_to(score / 100.0, 2).alias("name_score"), (score >= SAME_NAME).alias("is_match")
+    return pairs.join(scored, [left, right], "left").select(
+        *pairs.columns,
+        round_to(F.col("_score") / 100.0, 2).alias("name_score"),
+        (F.col("_score") >= SAME_NAME).alias("is_match"),
     )
 
 

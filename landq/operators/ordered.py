@@ -50,9 +50,13 @@ def ranked(
     splits: list[Column],
     out: str = "rn",
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """row_number() over (partition by keys order by order), ascending."""
-    hot = hot_keys(df, keys, hot_rows)
+    """row_number() over (partition by keys order by order), ascending.
+
+    ``counted`` may give the rows to count per key when that is cheaper than counting ``df`` itself.
+    """
+    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     marked = _split(df, hot, keys, splits)
@@ -74,9 +78,10 @@ def lagged(
     splits: list[Column],
     columns: dict[str, str],
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """lag(column, 1) over (partition by keys order by order) for each ``out: column``."""
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({out: F.lag(c).over(w) for out, c in columns.items()})

@@ -25,21 +25,36 @@ def _evidence(**items: Column) -> Column:
     return F.create_map(*pairs)
 
 
-def _results(
-    df: DataFrame, rule: str, name: Column, severity: Column, message: Column, evidence: Column, status: Column | None = None
-) -> DataFrame:
-    return df.select(
-        "document_id",
+def _finding(
+    rule: str,
+    name: Column | str,
+    severity: Column | str,
+    message: Column | str,
+    evidence: Column,
+    status: Column | str = "failed",
+) -> Column:
+    """A validation result without its document."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
         F.lit(rule).alias("rule_id"),
-        name.alias("rule_name"),
-        severity.alias("severity"),
-        (F.lit("failed") if status is None else status).alias("status"),
-        message.alias("message"),
+        as_col(name).alias("rule_name"),
+        as_col(severity).alias("severity"),
+        as_col(status).alias("status"),
+        as_col(message).alias("message"),
         evidence.alias("evidence"),
         F.lit(LEGAL_DISCLAIMER).alias("disclaimer"),
     )
 
 
+def _results(df: DataFrame, *findings: Column) -> DataFrame:
+    """Result rows for findings worked out on the same rows, in one pass; null findings give none."""
+    if len(findings) == 1:
+        found = df.select("document_id", findings[0].alias("f"))
+    else:
+        found = df.select("document_id", F.explode(F.array_compact(F.array(*findings))).alias("f"))
+    return found.select("document_id", "f.*")
+
+
 # ---------------------------------------------------------------- shares
 
 
@@ -64,8 +79,7 @@ def share_sum(owners: DataFrame, book: RuleBook) -> DataFrame:
     ).otherwise(
         F.format_string("All co-owner shares sum correctly to 1.0000 (discrepancy: %.4f).", "discrepancy")
     )
-    return _results(
-        totals,
+    return _results(totals, _finding(
         rb.SHARES,
         F.lit("Co-owner Shares Must Sum to 100%"),
         F.when(bad, F.lit(book.severity(rb.SHARES))).otherwise("info"),
@@ -74,7 +88,7 @@ def share_sum(owners: DataFrame, book: RuleBook) -> DataFrame:
             total_share=F.col("total_share"), discrepancy=F.col("discrepancy"), owners=F.col("owner_count")
         ),
         F.when(bad, "failed").otherwise("passed"),
-    )
+    ))
 
 
 def share_evidence(owners: DataFrame, results: DataFrame) -> DataFrame:
@@ -105,8 +119,7 @@ def area_excess(records: DataFrame, mutations: DataFrame, book: RuleBook) -> Dat
 def area_holding(records: DataFrame, mutations: DataFrame, book: RuleBook) -> DataFrame:
     over = area_excess(records, mutations, book)
     excess = F.col("transferred_area") - F.col("holding_sqm")
-    return _results(
-        over,
+    return _results(over, _finding(
         rb.HOLDING,
         F.lit("Sale or Transfer Area Must Not Exceed Parcel Holding"),
         F.lit(book.severity(rb.HOLDING)),
@@ -117,7 +130,7 @@ def area_holding(records: DataFrame, mutations: DataFrame, book: RuleBook) -> Da
         _evidence(
             transferred_area=F.col("transferred_area"), holding_area=F.col("holding_sqm"), mutation_index=F.col("idx")
         ),
-    )
+    ))
 
 
 # ---------------------------------------------------------------- dates
@@ -148,8 +161,7 @@ def chronology(records: DataFrame, mutations: DataFrame, book: RuleBook, as_of:
     )
     found = dated.withColumn("kind", F.explode(kind))
     early = F.col("kind") == "early"
-    return _results(
-        found,
+    return _results(found, _finding(
         rb.CHRONOLOGY,
         F.when(early, "Mutation Prior to Registration").otherwise("Future Date Prohibited"),
         F.when(early, F.lit(book.severity(rb.CHRONOLOGY))).otherwise("error"),
@@ -166,7 +178,7 @@ def chronology(records: DataFrame, mutations: DataFrame, book: RuleBook, as_of:
             mutation_no=F.col("mutation_no"),
             mutation_index=F.col("idx"),
         ),
-    )
+    ))
 
 
 def numbering_gaps(mutations: DataFrame) -> DataFrame:
@@ -178,7 +190,9 @@ def numbering_gaps(mutations: DataFrame) -> DataFrame:
         F.regexp_extract("mutation_no", r"([0-9]+)$", 1).try_cast("long").alias("number"),
     ).filter(F.col("mutated_on").isNotNull() & F.col("number").isNotNull())
     order = ["mutated_on", "number", "idx"]
-    pairs = lagged(numbered, ["document_id"], order, [F.col("mutated_on")], {"previous": "number"})
+    pairs = lagged(
+        numbered, ["document_id"], order, [F.col("mutated_on")], {"previous": "number"}, counted=mutations
+    )
     return pairs.filter(F.col("number") - F.col("previous") != 1)
 
 
@@ -203,7 +217,7 @@ def deceased_transferors(owners: DataFrame, mutations: DataFrame) -> DataFrame:
     transfers = mutations.filter(F.col("from_party") != "")
     sellers = transfers.select("document_id", "from_party").distinct()
     inside = F.lower("from_party").contains(F.lower("party_name"))
-    hot = hot_keys(names, ["document_id"], MANY_NAMES)
+    hot = hot_keys(owners, ["document_id"], MANY_NAMES)
     if hot is None:
         matched = names.join(sellers, "document_id").filter(inside)
     else:
@@ -237,8 +251,7 @@ def unguarded_minors(owners: DataFrame) -> DataFrame:
 def party_capacity(owners: DataFrame, mutations: DataFrame, book: RuleBook) -> DataFrame:
     dead = deceased_transferors(owners, mutations)
     minors = unguarded_minors(owners)
-    return _results(
-        dead,
+    return _results(dead, _finding(
         rb.CAPACITY,
         F.lit("Deceased Party Transfer Violation"),
         F.lit("critical"),
@@ -246,29 +259,30 @@ def party_capacity(owners: DataFrame, mutations: DataFrame, book: RuleBook) -> D
             "Party '%s' is recorded as deceased, but appears as transferor in mutation #%s.", "party_name", "mutation_no"
         ),
         _evidence(party_name=F.col("party_name"), mutation_no=F.col("mutation_no")),
-    ).unionByName(
-        _results(
-            minors,
+    )).unionByName(
+        _results(minors, _finding(
             rb.CAPACITY,
             F.lit("Minor Owner Missing Guardian"),
             F.lit("warn"),
             F.format_string("Minor owner '%s' registered without legal guardian designation.", "name"),
             _evidence(party_name=F.col("name"), mutation_no=F.lit(None)),
-        )
+    ))
     )
 
 
-# ---------------------------------------------------------------- land class and tenure
+# ---------------------------------------------------------------- rules on the record alone
+#
+# Each is a (condition, finding) pair over the columns of one record, so that record_rules can apply all of
+# them in a single pass over the records.
 
 
-def conversion_order(records: DataFrame, book: RuleBook) -> DataFrame:
+def _conversion(book: RuleBook) -> tuple[Column, Column]:
     land = F.lower("land_class")
     missing = F.coalesce(F.col("na_order_ref"), F.lit("")) == ""
-    return _results(
-        records.filter(land.isin(NON_AGRICULTURAL) & missing),
+    return land.isin(NON_AGRICULTURAL) & missing, _finding(
         rb.CONVERSION,
-        F.lit("Missing NA Conversion Order"),
-        F.lit(book.severity(rb.CONVERSION)),
+        "Missing NA Conversion Order",
+        book.severity(rb.CONVERSION),
         F.format_string(
             "Land class '%s' requires a Non-Agricultural (NA) conversion order reference, none was found.", land
         ),
@@ -276,14 +290,18 @@ def conversion_order(records: DataFrame, book: RuleBook) -> DataFrame:
     )
 
 
-def restricted_tenure(records: DataFrame, book: RuleBook) -> DataFrame:
+def conversion_order(records: DataFrame, book: RuleBook) -> DataFrame:
+    condition, finding = _conversion(book)
+    return _results(records.filter(condition), finding)
+
+
+def _tenure(book: RuleBook) -> tuple[Column, Column]:
     tenure = F.lower("ownership_type")
     missing = F.coalesce(F.col("tenure_perm_ref"), F.lit("")) == ""
-    return _results(
-        records.filter(tenure.rlike("restricted|tribal|inam") & missing),
+    return tenure.rlike("restricted|tribal|inam") & missing, _finding(
         rb.TENURE,
-        F.lit("Missing Competent Authority Transfer Permission"),
-        F.lit(book.severity(rb.TENURE)),
+        "Missing Competent Authority Transfer Permission",
+        book.severity(rb.TENURE),
         F.format_string(
             "Transfer on restricted tenure (%s) requires statutory Collector / Competent Authority permission.", tenure
         ),
@@ -291,64 +309,9 @@ def restricted_tenure(records: DataFrame, book: RuleBook) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- duplicates
-
-
-def conflicts(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents that share a key with another one, and the first such other document.
-
-    Two aggregations (smallest and second smallest id per key) combine before the shuffle, so a key that
-    many documents share never gathers in one task.
-    """
-    filled = records.select("document_id", *keys)
-    for k in keys:
-        filled = filled.filter(F.coalesce(F.col(k), F.lit("")) != "")
-    firsts = (
-        filled.groupBy(*keys)
-        .agg(F.min("document_id").alias("first_id"), F.max("document_id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
-        .filter(F.col("first_id") != F.col("last_id"))
-        .drop("last_id")
-    )
-    shared = filled.join(firsts, keys)
-    seconds = (
-        shared.filter(F.col("document_id") > F.col("first_id"))
-        .groupBy(*keys)
-        .agg(F.min("document_id").alias("second_id"))
-    )
-    other = F.when(F.col("document_id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
-    return shared.join(seconds, keys).select("document_id", *keys, "copies", other.alias("conflicting_id"))
-
-
-def registration_conflicts(records: DataFrame) -> DataFrame:
-    return conflicts(records, ["reg_no"])
-
-
-def holding_conflicts(records: DataFrame) -> DataFrame:
-    """Second reading of the rule: the same survey and hissa in the same village."""
-    keyed = records.select(
-        "document_id",
-        F.lower(F.trim("village")).alias("village"),
-        F.trim("survey_no").alias("survey_no"),
-        F.coalesce(F.trim("sub_division"), F.lit("-")).alias("sub_division"),
-    )
-    return conflicts(keyed, ["village", "survey_no", "sub_division"])
-
-
-def duplicate_registry(records: DataFrame, book: RuleBook) -> DataFrame:
-    return _results(
-        registration_conflicts(records),
-        rb.DUPLICATE,
-        F.lit("Reused Registration Number Detected"),
-        F.lit(book.severity(rb.DUPLICATE)),
-        F.format_string(
-            "Duplicate registration number '%s' already registered in Document ID '%s'.",
-            F.col("reg_no"), F.col("conflicting_id").cast("string"),
-        ),
-        _evidence(conflicting_doc_id=F.col("conflicting_id"), reg_no=F.col("reg_no")),
-    )
-
-
-# ---------------------------------------------------------------- ceilings
+def restricted_tenure(records: DataFrame, book: RuleBook) -> DataFrame:
+    condition, finding = _tenure(book)
+    return _results(records.filter(condition), finding)
 
 
 def ceiling_for(book: RuleBook, state: Column, land_class: Column) -> Column:
@@ -378,20 +341,22 @@ def owner_over_ceiling(records: DataFrame, book: RuleBook) -> DataFrame:
     return over_ceiling(held, book)
 
 
-def land_ceiling(records: DataFrame, book: RuleBook) -> DataFrame:
-    return _results(
-        over_ceiling(records, book),
+def _ceiling(book: RuleBook) -> tuple[Column, Column]:
+    ceiling = ceiling_for(book, F.col("state"), F.col("land_class"))
+    return F.col("holding_ha") > ceiling, _finding(
         rb.CEILING,
-        F.lit("Agricultural Land Ceiling Exceeded"),
-        F.lit(book.severity(rb.CEILING)),
+        "Agricultural Land Ceiling Exceeded",
+        book.severity(rb.CEILING),
         F.format_string(
-            "Recorded holding of %.2f ha exceeds statutory ceiling limit of %.2f ha.", "holding_ha", "ceiling_ha"
+            "Recorded holding of %.2f ha exceeds statutory ceiling limit of %.2f ha.", F.col("holding_ha"), ceiling
         ),
-        _evidence(holding_ha=F.col("holding_ha"), ceiling_ha=F.col("ceiling_ha"), state=F.lower("state")),
+        _evidence(holding_ha=F.col("holding_ha"), ceiling_ha=ceiling, state=F.lower("state")),
     )
 
 
-# ---------------------------------------------------------------- identifiers
+def land_ceiling(records: DataFrame, book: RuleBook) -> DataFrame:
+    condition, finding = _ceiling(book)
+    return _results(records.filter(condition), finding)
 
 
 def bad_identifiers(records: DataFrame) -> DataFrame:
@@ -412,18 +377,20 @@ def bad_identifiers(records: DataFrame) -> DataFrame:
     return records.select("document_id", F.explode(found).alias("f")).select("document_id", "f.*")
 
 
-def identifier_format(records: DataFrame, book: RuleBook) -> DataFrame:
-    return _results(
-        bad_identifiers(records).filter(F.col("field_name") == "ulpin"),
+def _identifier(book: RuleBook) -> tuple[Column, Column]:
+    ulpin = F.trim("ulpin")
+    return (F.col("ulpin") != "") & ~ulpin.rlike(rb.ULPIN_PATTERN), _finding(
         rb.IDENTIFIER,
-        F.lit("Invalid ULPIN 14-char Format"),
-        F.lit(book.severity(rb.IDENTIFIER)),
-        F.format_string("ULPIN '%s' is invalid (must be 14-char alphanumeric checksum).", "value"),
-        _evidence(ulpin=F.col("value")),
+        "Invalid ULPIN 14-char Format",
+        book.severity(rb.IDENTIFIER),
+        F.format_string("ULPIN '%s' is invalid (must be 14-char alphanumeric checksum).", ulpin),
+        _evidence(ulpin=ulpin),
     )
 
 
-# ---------------------------------------------------------------- administrative hierarchy
+def identifier_format(records: DataFrame, book: RuleBook) -> DataFrame:
+    condition, finding = _identifier(book)
+    return _results(records.filter(condition), finding)
 
 
 def hierarchy_check(records: DataFrame) -> DataFrame:
@@ -459,25 +426,105 @@ def hierarchy_reason() -> Column:
     )
 
 
-def admin_validity(records: DataFrame, book: RuleBook) -> DataFrame:
-    checked = hierarchy_check(records).withColumn("reason", hierarchy_reason())
+def _hierarchy(book: RuleBook) -> tuple[Column, Column]:
+    """Over the columns of hierarchy_check; passes are reported as well."""
     bad = F.col("failed_level").isNotNull()
-    return _results(
-        checked,
+    return F.lit(True), _finding(
         rb.HIERARCHY,
         F.when(bad, "Invalid Administrative Hierarchy").otherwise("Administrative Hierarchy Validated"),
         F.when(bad, F.lit(book.severity(rb.HIERARCHY))).otherwise("info"),
-        F.when(bad, F.concat(F.lit("Administrative hierarchy check failed: "), "reason")).otherwise(
+        F.when(bad, F.concat(F.lit("Administrative hierarchy check failed: "), hierarchy_reason())).otherwise(
             "Village, Tehsil, District, and State verified against National LRMS directory."
         ),
         _evidence(
-            state=F.col("state"), district=F.col("district"), tehsil=F.col("tehsil"), village=F.col("village"),
-            reason=F.when(bad, F.col("reason")),
+            state=F.col("state"),
+            district=F.col("district"),
+            tehsil=F.col("tehsil"),
+            village=F.col("village"),
+            reason=F.when(bad, hierarchy_reason()),
         ),
         F.when(bad, "failed").otherwise("passed"),
     )
 
 
+def admin_validity(records: DataFrame, book: RuleBook) -> DataFrame:
+    return _results(hierarchy_check(records), _hierarchy(book)[1])
+
+
+RECORD_RULES = {
+    rb.CONVERSION: _conversion,
+    rb.TENURE: _tenure,
+    rb.CEILING: _ceiling,
+    rb.IDENTIFIER: _identifier,
+    rb.HIERARCHY: _hierarchy,
+}
+
+
+def record_rules(records: DataFrame, book: RuleBook) -> DataFrame | None:
+    """All enabled rules that need one record only: one scan, no shuffle."""
+    rules = [rule for rule in RECORD_RULES if book.enabled(rule)]
+    if not rules:
+        return None
+    checked = hierarchy_check(records) if rb.HIERARCHY in rules else records
+    return _results(checked, *[F.when(*RECORD_RULES[rule](book)) for rule in rules])
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+def conflicts(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents that share a key with another one, and the first such other document.
+
+    Two aggregations (smallest and second smallest id per key) combine before the shuffle, so a key that
+    many documents share never gathers in one task.
+    """
+    filled = records.select("document_id", *keys)
+    for k in keys:
+        filled = filled.filter(F.coalesce(F.col(k), F.lit("")) != "")
+    firsts = (
+        filled.groupBy(*keys)
+        .agg(F.min("document_id").alias("first_id"), F.max("document_id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
+        .filter(F.col("first_id") != F.col("last_id"))
+        .drop("last_id")
+    )
+    shared = filled.join(firsts, keys)
+    seconds = (
+        shared.filter(F.col("document_id") > F.col("first_id"))
+        .groupBy(*keys)
+        .agg(F.min("document_id").alias("second_id"))
+    )
+    other = F.when(F.col("document_id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
+    return shared.join(seconds, keys).select("document_id", *keys, "copies", other.alias("conflicting_id"))
+
+
+def registration_conflicts(records: DataFrame) -> DataFrame:
+    return conflicts(records, ["reg_no"])
+
+
+def holding_conflicts(records: DataFrame) -> DataFrame:
+    """Second reading of the rule: the same survey and hissa in the same village."""
+    keyed = records.select(
+        "document_id",
+        F.lower(F.trim("village")).alias("village"),
+        F.trim("survey_no").alias("survey_no"),
+        F.coalesce(F.trim("sub_division"), F.lit("-")).alias("sub_division"),
+    )
+    return conflicts(keyed, ["village", "survey_no", "sub_division"])
+
+
+def duplicate_registry(records: DataFrame, book: RuleBook) -> DataFrame:
+    return _results(registration_conflicts(records), _finding(
+        rb.DUPLICATE,
+        F.lit("Reused Registration Number Detected"),
+        F.lit(book.severity(rb.DUPLICATE)),
+        F.format_string(
+            "Duplicate registration number '%s' already registered in Document ID '%s'.",
+            F.col("reg_no"), F.col("conflicting_id").cast("string"),
+        ),
+        _evidence(conflicting_doc_id=F.col("conflicting_id"), reg_no=F.col("reg_no")),
+    ))
+
+
 # ---------------------------------------------------------------- all rules
 
 
@@ -490,14 +537,11 @@ def validate(
         rb.HOLDING: lambda: area_holding(records, mutations, book),
         rb.CHRONOLOGY: lambda: chronology(records, mutations, book, as_of),
         rb.CAPACITY: lambda: party_capacity(owners, mutations, book),
-        rb.CONVERSION: lambda: conversion_order(records, book),
-        rb.TENURE: lambda: restricted_tenure(records, book),
         rb.DUPLICATE: lambda: duplicate_registry(records, book),
-        rb.CEILING: lambda: land_ceiling(records, book),
-        rb.IDENTIFIER: lambda: identifier_format(records, book),
-        rb.HIERARCHY: lambda: admin_validity(records, book),
     }
-    results = union_all([run() for rule, run in runs.items() if book.enabled(rule)])
+    found = [run() for rule, run in runs.items() if book.enabled(rule)]
+    alone = record_rules(records, book)
+    results = union_all(found if alone is None else [*found, alone])
     return in_scope(results, records, book)
 
 

@@ -118,9 +118,10 @@ DAMAGE = f"""case when p.page_id is null then cast(0 as double) else least(cast(
     f"select f.document_id, f.field_name, f.line_id, {DAMAGE} penalty from fx_fields f left join fx_pages p on f.page_id = p.page_id",
 )
 def damage(spark, sf):
-    joined = fields(spark, sf).join(pages(spark, sf).select("page_id", "quality"), "page_id", "left")
+    rated = pages(spark, sf).select("page_id", confidence.rated_quality(F.col("quality")).alias("rated"))
+    joined = fields(spark, sf).join(rated, "page_id", "left")
     return joined.select(
-        "document_id", "field_name", "line_id", confidence.damage_penalty(F.col("bbox"), F.col("quality")).alias("penalty")
+        "document_id", "field_name", "line_id", confidence.damage_penalty(F.col("bbox"), F.col("rated")).alias("penalty")
     )
 
 
