@@ -230,24 +230,55 @@ def _crosses(p: np.ndarray) -> bool:
     return False
 
 
+def _sane_one(p: np.ndarray) -> tuple[bool, float]:
+    distinct = p[np.r_[True, (np.diff(p, axis=0) != 0).any(axis=1)]]
+    return len(distinct) >= 4 and not _crosses(distinct), _aspect(p)
+
+
+def _sane_many(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(valid, aspect, decided) for rings of one length, all rings at a time.
+
+    Decided are the convex rings without repeated points: their hull edges are the ring's own edges.
+    """
+    dx, dy = np.diff(x, axis=1), np.diff(y, axis=1)
+    turn = dx * np.roll(dy, -1, axis=1) - dy * np.roll(dx, -1, axis=1)
+    dot = dx * np.roll(dx, -1, axis=1) + dy * np.roll(dy, -1, axis=1)
+    once = np.isclose(np.abs(np.arctan2(turn, dot).sum(axis=1)), 2 * np.pi)
+    decided = once & ((turn > 0).all(axis=1) | (turn < 0).all(axis=1))
+    norm = np.hypot(dx, dy)
+    norm[norm == 0] = 1.0
+    best = np.full(len(x), np.inf)
+    aspect = np.ones(len(x))
+    for k in range(dx.shape[1]):
+        ux, uy = dx[:, k : k + 1] / norm[:, k : k + 1], dy[:, k : k + 1] / norm[:, k : k + 1]
+        w, h = np.ptp(x * ux + y * uy, axis=1), np.ptp(y * ux - x * uy, axis=1)
+        smaller = w * h < best
+        best = np.where(smaller, w * h, best)
+        aspect = np.where(smaller, np.maximum(w, h) / np.maximum(1e-9, np.minimum(w, h)), aspect)
+    return decided.copy(), aspect, decided
+
+
 @F.pandas_udf(SANITY)
 def _sanity_udf(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    rows = []
-    for px, py in zip(xs, ys):
-        if px is None or len(px) < 4:
-            rows.append((False, "Too few points in geometry component", 1.0))
-            continue
-        p = _points(px, py)
-        distinct = p[np.r_[True, (np.diff(p, axis=0) != 0).any(axis=1)]]
-        crossing = len(distinct) < 4 or _crosses(distinct)
-        rows.append((not crossing, "Self-intersection" if crossing else "Valid geometry", _aspect(p)))
-    return pd.DataFrame(rows, columns=["is_valid", "reason", "aspect_ratio"])
+    sizes = np.array([0 if v is None else len(v) for v in xs])
+    valid, aspect = np.zeros(len(xs), dtype=bool), np.ones(len(xs))
+    for size in np.unique(sizes[sizes >= 4]):
+        at = np.flatnonzero(sizes == size)
+        x, y = np.stack(xs.iloc[at].to_numpy()), np.stack(ys.iloc[at].to_numpy())
+        ok, ratio, decided = _sane_many(x, y)
+        for i in np.flatnonzero(~decided):
+            ok[i], ratio[i] = _sane_one(np.column_stack([x[i], y[i]]))
+        valid[at], aspect[at] = ok, ratio
+    reason = np.where(
+        valid, "Valid geometry", np.where(sizes < 4, "Too few points in geometry component", "Self-intersection")
+    )
+    return pd.DataFrame({"is_valid": valid, "reason": reason, "aspect_ratio": aspect})
 
 
 def ring_sanity(ring: Column) -> Column:
     """struct<is_valid, reason, aspect_ratio>, the aspect in metres, from the columns of with_measures."""
     scaled = lambda axis, by: F.transform(ring[axis], lambda v: v * F.col(by))
-    return _sanity_udf(scaled("x", "per_lon"), scaled("y", "per_lat"))
+    return _sanity_udf.asNondeterministic()(scaled("x", "per_lon"), scaled("y", "per_lat"))
 
 
 def _clip(subject: list, a, b) -> list:
@@ -306,13 +337,13 @@ def polygon_overlap(pa: np.ndarray, pb: np.ndarray) -> tuple[float, float, float
 
 @F.pandas_udf(CLIP)
 def _overlap_udf(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
-    rows = [
-        (None, None, None) if ax[i] is None else polygon_overlap(_points(ax[i], ay[i]), _points(bx[i], by[i]))
-        for i in range(len(ax))
-    ]
-    return pd.DataFrame(rows, columns=["area", "cx", "cy"])
+    out = np.full((len(ax), 3), np.nan)
+    asked = np.flatnonzero(ax.notna().to_numpy())
+    for i, *rings in zip(asked, ax.iloc[asked], ay.iloc[asked], bx.iloc[asked], by.iloc[asked]):
+        out[i] = polygon_overlap(_points(*rings[:2]), _points(*rings[2:]))
+    return pd.DataFrame(out, columns=["area", "cx", "cy"])
 
 
 def ring_overlap(a: Column, b: Column) -> Column:
     """struct<area, cx, cy> of the common part of two rings of any simple shape; null rings give nulls."""
-    return _overlap_udf(a["x"], a["y"], b["x"], b["y"])
+    return _overlap_udf.asNondeterministic()(a["x"], a["y"], b["x"], b["y"])

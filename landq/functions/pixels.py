@@ -54,7 +54,8 @@ def _metrics_udf(pixels: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
 
 
 def stencil_metrics(pixels: Column, h: Column, w: Column) -> Column:
-    return _metrics_udf(pixels, h, w)
+    """struct<blur, noise, residual>; marked so that later filters do not compute it again."""
+    return _metrics_udf.asNondeterministic()(pixels, h, w)
 
 
 @F.pandas_udf(SIGNATURE)
@@ -70,7 +71,7 @@ def _signature_udf(pixels: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFram
 
 def block_signature(pixels: Column, h: Column, w: Column) -> Column:
     """struct<mean, std, dy, dx>: what two cloned blocks have in common."""
-    return _signature_udf(pixels, h, w)
+    return _signature_udf.asNondeterministic()(pixels, h, w)
 
 
 def share_between(pixels: Column, low: int, high: int) -> Column:

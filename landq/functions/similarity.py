@@ -65,21 +65,33 @@ def best_window(short: str, long: str) -> float:
 
 
 def _slide(short: str, long: str) -> float:
+    """All windows at once. For patterns of up to 63 characters a row of the LCS table is the bits of one
+    integer, so a step over all windows is a few operations on one vector."""
     a, b = _codes(short), _codes(long)
-    m = len(a)
+    m, n = len(a), len(b)
+    at = np.arange(n + m - 1)
+    size = m + np.minimum(np.minimum(at + 1, n + m - 1 - at), m)
+    if m < 64:
+        marks: dict[int, int] = {}
+        for i, code in enumerate(a.tolist()):
+            marks[code] = marks.get(code, 0) | 1 << i
+        codes, where = np.unique(b, return_inverse=True)
+        bits = np.array([marks.get(c, 0) for c in codes.tolist()], dtype=np.uint64)[where]
+        edge = np.zeros(m - 1, dtype=np.uint64)
+        bits = np.concatenate([edge, bits, edge])
+        row = np.full(len(at), np.uint64((1 << m) - 1))
+        full = np.uint64((1 << m) - 1)
+        for k in range(m):
+            hit = row & bits[k : k + len(at)]
+            row = ((row + hit) | (row - hit)) & full
+        return float((200.0 * (m - np.bitwise_count(row)) / size).max())
     edge = np.full(m - 1, PAD_B, dtype=np.uint32)
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, b, edge]), m)
-    # a window scores more than its neighbours only if it begins or ends on a shared character
-    shared = np.isin(windows[:, 0], a) | np.isin(windows[:, -1], a)
-    windows = windows[shared]
-    if not len(windows):
-        return 0.0
     best, step = 0.0, max(1, CELLS // m)
-    for at in range(0, len(windows), step):
-        chunk = windows[at : at + step]
-        size = m + (chunk != PAD_B).sum(axis=1)
-        pattern = np.broadcast_to(a, (len(chunk), m))
-        best = max(best, float((200.0 * _lcs(pattern, chunk) / size).max()))
+    for start in range(0, len(windows), step):
+        chunk = windows[start : start + step]
+        lcs = _lcs(np.broadcast_to(a, (len(chunk), m)), chunk)
+        best = max(best, float((200.0 * lcs / size[start : start + step]).max()))
     return best
 
 
@@ -99,6 +111,10 @@ def _window_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+# dear to compute: a filter on the result must not compute it a second time
+_ratio_udf, _window_udf = _ratio_udf.asNondeterministic(), _window_udf.asNondeterministic()
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     return _ratio_udf(a, b)
 
@@ -137,4 +153,4 @@ def best_of(entries: list[tuple[str, str]], scorer: str, cutoff: float):
             found.append((names[at], float(scores[at])) if scores[at] >= cutoff else (None, None))
         return pd.DataFrame(found, columns=["name", "score"])
 
-    return pick
+    return pick.asNondeterministic()

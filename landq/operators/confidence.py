@@ -40,13 +40,11 @@ def engine_agreement(fields: DataFrame, texts: DataFrame) -> DataFrame:
         {"_value": value, "_known": F.when(missing, F.lit(DEFAULT_AGREEMENT)).when(F.col("_text").contains(value), 1.0)}
     )
     rest = judged.filter(F.col("_known").isNull()).select(*keys, "_value").distinct()
-    scored = rest.join(texts.select(*keys, F.lower("text").alias("_text")), keys).select(
-        *keys,
-        "_value",
-        round_to(
-            F.greatest(F.lit(0.4), similarity.partial_ratio(F.col("_value"), F.col("_text")) / 100.0), 2
-        ).alias("_score"),
+    measured = rest.join(texts.select(*keys, F.lower("text").alias("_text")), keys).select(
+        *keys, "_value", similarity.partial_ratio(F.col("_value"), F.col("_text")).alias("_ratio")
     )
+    score = round_to(F.greatest(F.lit(0.4), F.col("_ratio") / 100.0), 2)
+    scored = measured.select(*keys, "_value", score.alias("_score"))
     return (
         judged.drop("_text")
         .join(scored, [*keys, "_value"], "left")

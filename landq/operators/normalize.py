@@ -155,10 +155,3 @@ def match_names(pairs: DataFrame, left: str, right: str) -> DataFrame:
         round_to(F.col("_score") / 100.0, 2).alias("name_score"),
         (F.col("_score") >= SAME_NAME).alias("is_match"),
     )
-
-
-def linked_parties(owners: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Owners matched to the transferors of the same document by name: document_id, owner, party, score."""
-    held = owners.filter(F.col("name") != "").select("document_id", F.col("name").alias("owner_name")).distinct()
-    moved = mutations.filter(F.col("from_party") != "").select("document_id", "from_party").distinct()
-    return match_names(held.join(moved, "document_id"), "owner_name", "from_party")

@@ -207,16 +207,15 @@ def transliterate(spark, sf):
 
 @query(
     "p13_name_match",
-    ["fx_owners", "fx_mutations"],
-    f"""with h as (select distinct document_id, name owner_name from fx_owners where name <> ''),
-        m as (select distinct document_id, from_party from fx_mutations where from_party <> ''),
-        n as (select v, {SORTED.format(words=q.words(f"lower({_latin('v')})"))} s from (select distinct owner_name v from h union select distinct from_party from m) u),
-        s as (select a.v va, b.v vb, case when a.s = b.s then cast(100 as double) else {q.ratio("a.s", "b.s")} end score from n a, n b)
-        select h.document_id, h.owner_name, m.from_party, {q.rounded("(score / 100)", 2)} name_score, score >= 75 is_match
-        from h join m on h.document_id = m.document_id join s on s.va = h.owner_name and s.vb = m.from_party""",
+    ["fx_mutations"],
+    f"""with n as (select v, {SORTED.format(words=q.words(f"lower({_latin('v')})"))} s from (select distinct from_party v from fx_mutations union select distinct to_party from fx_mutations) u),
+        s as (select a.v va, b.v vb, case when a.s = b.s then cast(100 as double) when a.s = '' or b.s = '' then cast(0 as double) else {q.ratio("a.s", "b.s")} end score from n a, n b)
+        select document_id, idx, parcel_id, from_party, to_party, {q.rounded("(score / 100)", 2)} name_score, score >= 75 is_match
+        from fx_mutations m join s on s.va = m.from_party and s.vb = m.to_party""",
 )
 def name_match(spark, sf):
-    return norm.linked_parties(fx(spark, sf, "fx_owners"), fx(spark, sf, "fx_mutations"))
+    moves = fx(spark, sf, "fx_mutations").select("document_id", "idx", "parcel_id", "from_party", "to_party")
+    return norm.match_names(moves, "from_party", "to_party")
 
 
 def _type_sql(x: str) -> str:
