@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landq.functions import geometry as G
 from landq.functions.text import round_to
+from landq.session import cut_lineage
 
 SIGNIFICANT = 1e-9
 SLIVER = 0.015
@@ -152,10 +153,13 @@ def _cells(box: Column, level: Column) -> Column:
     )
 
 
-def levels_of(shapes: DataFrame) -> list[int]:
-    """Distinct grid levels in use: powers of two between the smallest and largest side, a few dozen."""
-    found = shapes.select(_level(F.col("box")).alias("level")).distinct().collect()
-    return sorted(r["level"] for r in found)
+def levels_of(shapes: DataFrame) -> tuple[list[int], bool]:
+    """Grid levels in use, and whether all shapes are rectangles.
+
+    The levels are powers of two between the smallest and the largest side: a few dozen rows at most.
+    """
+    found = shapes.select(_level(F.col("box")).alias("level"), "boxy").distinct().collect()
+    return sorted({r["level"] for r in found}), all(r["boxy"] for r in found)
 
 
 def distinct_shapes(parcels: DataFrame) -> DataFrame:
@@ -169,26 +173,24 @@ def distinct_shapes(parcels: DataFrame) -> DataFrame:
     return boxed.select("shape_id", "ring", "box", G.is_box(F.col("ring"), F.col("box")).alias("boxy"), "copies")
 
 
-def _touching(shapes: DataFrame, levels: list[int]) -> DataFrame:
-    """Pairs of shapes whose boxes share area, with their boxes and, unless rectangles, their rings.
+def _touching(large: DataFrame, small: DataFrame, levels: list[int]) -> DataFrame:
+    """Pairs (a of ``large``, b of ``small``) whose boxes share area, with their boxes and rings.
 
     Every shape stands in its own level's cells and visits the coarser levels' cells it lies in, so small
     and large shapes meet without a fine grid under large shapes. A pair is kept in one cell only: the one
-    with the lower-left corner of the common part.
+    with the lower-left corner of the common part; of two shapes of one level the first counts as large.
     """
-    sided = shapes.select(
-        F.col("shape_id").alias("id"),
-        "box",
-        F.when(~F.col("boxy"), F.col("ring")).alias("ring"),
-        _level(F.col("box")).alias("own"),
+    sided = lambda df: df.select(
+        F.col("shape_id").alias("id"), "box", "ring", _level(F.col("box")).alias("own")
     )
     side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("id", "box", "ring")]
-    homes = sided.select(
+    homes = sided(large).select(
         *side("a"), F.col("own").alias("level"), F.explode(_cells(F.col("box"), F.col("own"))).alias("cell")
     )
     coarser = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("own"))
     visits = (
-        sided.withColumn("level", F.explode(coarser))
+        sided(small)
+        .withColumn("level", F.explode(coarser))
         .withColumn("cell", F.explode(_cells(F.col("box"), F.col("level"))))
         .select(*side("b"), "own", "level", "cell")
     )
@@ -205,28 +207,25 @@ def _touching(shapes: DataFrame, levels: list[int]) -> DataFrame:
 def overlap_pairs(shapes: DataFrame) -> DataFrame:
     """i, j, overlap_area (squared ring units), overlap_sqm for distinct shapes with a common part.
 
-    Two rectangles have a closed form; other pairs are clipped exactly in Arrow batches.
+    Two rectangles have a closed form and stay out of Python; pairs with any other shape are clipped
+    exactly in Arrow batches.
     """
-    pairs = _touching(shapes, levels_of(shapes))
+    levels, only_boxes = levels_of(shapes)
+    boxy = shapes if only_boxes else shapes.filter("boxy")
     a, b = F.col("a_box"), F.col("b_box")
     left, right = F.greatest(a["x0"], b["x0"]), F.least(a["x1"], b["x1"])
     low, high = F.greatest(a["y0"], b["y0"]), F.least(a["y1"], b["y1"])
-    boxes = F.col("a_ring").isNull() & F.col("b_ring").isNull()
-    ring = lambda n, box: F.when(
-        ~boxes, F.coalesce(F.col(f"{n}_ring"), G.box_ring(box["x0"], box["y0"], box["x1"], box["y1"]))
-    )
-    measured = pairs.select(
-        F.least("a_id", "b_id").alias("i"),
-        F.greatest("a_id", "b_id").alias("j"),
-        F.when(boxes, (right - left) * (high - low)).alias("_area"),
-        F.when(boxes, (low + high) / 2.0).alias("_lat"),
-        G.ring_overlap(ring("a", a), ring("b", b)).alias("_clip"),
-    ).select(
-        "i",
-        "j",
-        F.coalesce("_area", "_clip.area").alias("overlap_area"),
-        F.coalesce("_lat", "_clip.cy").alias("_lat"),
-    )
+    ends = [F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")]
+    measured = _touching(boxy, boxy, levels).select(
+        *ends, ((right - left) * (high - low)).alias("overlap_area"), ((low + high) / 2.0).alias("_lat")
+    )
+    if not only_boxes:
+        other = shapes.filter(~F.col("boxy"))
+        rest = _touching(other, shapes, levels).unionByName(_touching(boxy, other, levels))
+        clipped = rest.select(*ends, G.ring_overlap(F.col("a_ring"), F.col("b_ring")).alias("_clip"))
+        measured = measured.unionByName(
+            clipped.select("i", "j", F.col("_clip.area").alias("overlap_area"), F.col("_clip.cy").alias("_lat"))
+        )
     per_lat, per_lon = G.metres_per_degree(F.col("_lat"))
     return measured.filter(F.col("overlap_area") > SIGNIFICANT).select(
         "i", "j", "overlap_area", round_to(F.col("overlap_area") * per_lat * per_lon, 2).alias("overlap_sqm")
@@ -237,7 +236,8 @@ def overlap_counts(parcels: DataFrame, pairs: DataFrame, shapes: DataFrame) -> D
     """ord, overlaps: number of other parcels that overlap each parcel, copies included, without
     writing out the pairs of copies."""
     sizes = shapes.select("shape_id", "copies")
-    ends = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    ends = pairs.select(F.explode(both).alias("e")).select("e.i", "e.j")
     met = (
         ends.join(sizes, ends.j == sizes.shape_id)
         .groupBy("i")
@@ -263,7 +263,7 @@ def locate_points(points: DataFrame, parcels: DataFrame, point_id: str) -> DataF
     Equal points and equal polygons are looked up once.
     """
     shapes = distinct_shapes(parcels)
-    levels = levels_of(shapes)
+    levels, _ = levels_of(shapes)
     places = points.select("x", "y").distinct()
     visits = places.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
     size = F.pow(F.lit(2.0), F.col("level"))
@@ -332,7 +332,8 @@ def cross_check(
     ``records``: document_id, ulpin, survey_no, sub_division, village, tehsil, district, text_sqm,
     boundaries (map). ``parcels``: the cadastre with ``ord`` and ``ring``.
     """
-    shapes = distinct_shapes(parcels)
+    # grouped once, read by the grid, the pairs and the counts
+    shapes = cut_lineage(distinct_shapes(parcels))
     counts = overlap_counts(parcels, overlap_pairs(shapes), shapes)
     ring = F.col("ring")
     layer = G.with_measures(parcels).select(
