@@ -15,7 +15,6 @@ from landq.sources.dictionaries import (
     TELUGU_DIGITS,
 )
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # everything that is not a letter, digit, underscore or a sign of the three scripts
 PUNCTUATION = r"[^\p{L}\p{N}_\x{0900}-\x{097F}\x{0A80}-\x{0AFF}\x{0C00}-\x{0C7F}]"
 LABEL_PUNCTUATION = r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}\x{0A80}-\x{0AFF}\x{0C00}-\x{0C7F}]"
@@ -36,19 +35,19 @@ def indic_to_ascii(value: Column) -> Column:
 def to_number(value: Column) -> Column:
     """Plain decimal or exponent notation to double, else null.
 
-    Like the other parsers it reads its argument once: a derived argument is then evaluated once, and
-    generated code stays small enough to be compiled.
+    Letters a cast would take for a type suffix, a hexadecimal number, NaN or infinity are spoilt first.
+    Like parse_date it reads its argument once: a derived argument is then evaluated once, and generated
+    code stays small enough to be compiled.
     """
-    return F.regexp_extract(value, NUMBER, 0).try_cast("double")
+    return F.translate(value, "dDfFnNiIxXpP", "?" * 12).try_cast("double")
 
 
 def parse_date(value: Column) -> Column:
     """First of Y-m-d, d-m-Y, d/m/Y, Y/m/d, d.m.Y, Y.m.d that fits, else null."""
-    day_first = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
-    other_signs = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
-    turned = F.regexp_replace(F.trim(value), day_first, "$4-$3-$1")
-    dashed = F.regexp_replace(turned, other_signs, "$1-$3-$4")
-    return F.regexp_extract(dashed, r"^\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
+    either = r"^(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))$"
+    # a text of another form is left without the mark, so nothing comes after it
+    marked = F.regexp_replace(F.trim(value), either, "\u0001$1$8-$3$7-$4$5")
+    return F.split_part(marked, F.lit("\u0001"), F.lit(2)).try_cast("date")
 
 
 def parse_share(value: Column) -> Column:

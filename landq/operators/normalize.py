@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landq.functions import similarity
-from landq.functions.text import clean_label, round_to, strip_honorifics, transliterate
+from landq.functions.text import clean_label, round_to, sorted_words, strip_honorifics, transliterate
 from landq.sources.dictionaries import FIELD_LABELS, LAND_CLASSES, state_factors, unit_synonyms
 
 FUZZY_CLASS = 88.0
@@ -70,26 +72,26 @@ def convert_area(df: DataFrame, value: str, unit: str, state: str) -> DataFrame:
     )
 
 
-def normalize_land_class(df: DataFrame, raw: str, id_column: str) -> DataFrame:
-    """Adds land_class and class_flag.
+def _per_value(df: DataFrame, raw: str, id_column: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Joins back what ``answer`` adds to the distinct values of a column: each value is worked out once."""
+    values = df.select(F.col(raw).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
+    keyed = df.withColumn("_value", _spread(F.col(raw), id_column))
+    return keyed.join(answer(values), "_value", "left").drop("_value")
 
-    Exact spellings of all classes come first (a map lookup). Only the distinct spellings left over are
-    scored against the dictionary, once each, and joined back.
-    """
+
+def normalize_land_class(df: DataFrame, raw: str, id_column: str) -> DataFrame:
+    """Adds land_class and class_flag. Exact spellings of all classes come before any fuzzy one."""
     exact = {s.lower(): c for c, names in LAND_CLASSES.items() for s in [c, *names]}
     fuzzy = [(c, s.lower()) for c, names in LAND_CLASSES.items() for s in names if len(s) >= SHORTEST_FUZZY]
-    cleaned = F.lower(F.trim(F.col(raw)))
-    keyed = df.withColumn("_exact", F.try_element_at(_map(exact), cleaned)).withColumn(
-        "_open", F.when(F.col("_exact").isNull() & (F.col(raw) != ""), cleaned)
-    )
     pick = similarity.best_of(fuzzy, "window", FUZZY_CLASS)
-    scored = (
-        keyed.filter(F.col("_open").isNotNull())
-        .select(F.col("_open").alias("_join"))
-        .distinct()
-        .withColumn("_near", pick("_join")["name"])
-    )
-    joined = keyed.withColumn("_join", _spread(F.col("_open"), id_column)).join(scored, "_join", "left")
+    cleaned = F.lower(F.trim("_value"))
+
+    def answer(values: DataFrame) -> DataFrame:
+        known = values.withColumn("_exact", F.try_element_at(_map(exact), cleaned))
+        open_value = F.when(F.col("_exact").isNull() & (F.col("_value") != ""), cleaned)
+        return known.withColumn("_near", pick(open_value)["name"])
+
+    joined = _per_value(df, raw, id_column, answer)
     empty = F.coalesce(F.col(raw), F.lit("")) == ""
     land_class = F.when(empty, "unspecified").otherwise(F.coalesce("_exact", "_near", F.col(raw)))
     flag = (
@@ -102,26 +104,25 @@ def normalize_land_class(df: DataFrame, raw: str, id_column: str) -> DataFrame:
 
 
 def canonicalize_labels(df: DataFrame, raw: str, id_column: str) -> DataFrame:
-    """Adds canonical_name and label_confidence; the same exact-then-distinct-fuzzy scheme."""
+    """Adds canonical_name and label_confidence: exact 1.0, near its ratio, unknown 0.5."""
     exact: dict[str, str] = {}
     for canonical, names in FIELD_LABELS.items():
         for s in names:
             exact.setdefault(s.lower(), canonical)
     entries = [(c, s.lower()) for c, names in FIELD_LABELS.items() for s in names]
-    lowered, bare = F.lower(F.trim(F.col(raw))), clean_label(F.col(raw))
-    keyed = df.withColumn(
-        "_exact", F.coalesce(F.try_element_at(_map(exact), lowered), F.try_element_at(_map(exact), bare))
-    ).withColumn("_open", F.when(F.col("_exact").isNull(), bare))
     pick = similarity.best_of(entries, "ratio", FUZZY_LABEL)
-    from landq.functions.text import sorted_words
 
-    scored = (
-        keyed.filter(F.col("_open").isNotNull())
-        .select(F.col("_open").alias("_join"))
-        .distinct()
-        .withColumn("_near", pick(sorted_words(F.col("_join"))))
-    )
-    joined = keyed.withColumn("_join", _spread(F.col("_open"), id_column)).join(scored, "_join", "left")
+    def answer(values: DataFrame) -> DataFrame:
+        known = values.withColumn("_bare", clean_label(F.col("_value"))).withColumn(
+            "_exact",
+            F.coalesce(
+                F.try_element_at(_map(exact), F.lower(F.trim("_value"))), F.try_element_at(_map(exact), F.col("_bare"))
+            ),
+        )
+        open_value = F.when(F.col("_exact").isNull(), sorted_words(F.col("_bare")))
+        return known.withColumn("_near", pick(open_value)).drop("_bare")
+
+    joined = _per_value(df, raw, id_column, answer)
     return joined.select(
         *df.columns,
         F.coalesce("_exact", "_near.name", F.col(raw)).alias("canonical_name"),
