@@ -15,7 +15,7 @@ from landq.streaming.sources import event_time, stream_table
 
 @query("t1_stream_ingest", sql="select distinct sha256(text) sha256 from documents", streaming=True)
 def ingest(spark, sf):
-    docs = stream_table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id")))
+    docs = stream_table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000))
     return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts").select("sha256"), "ingest")
 
 

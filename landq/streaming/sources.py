@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One table of a directory as a stream; the schema comes from the files' footers, once."""
+def stream_table(spark: SparkSession, directory: str, name: str, trigger_bytes: str = "4g") -> DataFrame:
+    """One table of a directory as a stream; the schema comes from the files' footers, once.
+
+    The bytes per trigger bound what the stateful jobs have to put in order per key at a time.
+    """
     schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxBytesPerTrigger", trigger_bytes)
         .parquet(directory)
     )
 
