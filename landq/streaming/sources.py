@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_table(spark: SparkSession, directory: str, name: str, trigger_bytes: str = "4g") -> DataFrame:
+def stream_table(spark: SparkSession, directory: str, name: str, trigger_bytes: int = 4_000_000_000) -> DataFrame:
     """One table of a directory as a stream; the schema comes from the files' footers, once.
 
     The bytes per trigger bound what the stateful jobs have to put in order per key at a time.
