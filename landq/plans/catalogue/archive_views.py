@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landq.operators import fanout, listing, masking, metrics
+from landq.operators import fanout, listing, masking, metrics, rules
 from landq.operators import records as rec
 from landq.plans.catalogue import legal
 from landq.plans.catalogue import sqltext as q
 from landq.plans.catalogue.cadastral import parcels
-from landq.plans.catalogue.registry import query
+from landq.plans.catalogue.registry import CATALOGUE, query
 from landq.plans.catalogue.scoring import fields
 from landq.plans.catalogue.workflow import ROLE
 from landq.plans.fixtures import fx
-from landq.sources.dictionaries import ADMIN_DIRECTORY, ROLE_ALIASES, ROLE_PERMISSIONS, admin_hierarchy, inline_table
-from landq.sources.readers import read_table
-from landq.sources.sinks import features
+from landq.schemas import PARCEL_FEATURES
+from landq.session import shared_path
+from landq.sources.dictionaries import (
+    ADMIN_DIRECTORY,
+    LAND_CLASSES,
+    ROLE_PERMISSIONS,
+    admin_hierarchy,
+    inline_table,
+    land_class_synonyms,
+)
+from landq.sources.readers import parcels_from_features, read_table
+from landq.sources.sinks import features, write_stage
 
 # ---------------------------------------------------------------- ingest and listings
 
@@ -269,6 +278,57 @@ def record_tables(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- sources and stage tables
+
+
+@query(
+    "s2_parcel_features",
+    ["fx_parcels"],
+    "select ulpin, survey_no, village, area_sqm, neighbour_a, cast(x0 as double) first_x, cast(y1 as double) third_y from fx_parcels",
+)
+def parcel_features(spark, sf):
+    """Parcels written as GeoJSON collections and read back with the explicit schema."""
+    props = F.struct("ulpin", "survey_no", "village", "tehsil", "district", "area_sqm", "neighbours")
+    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    body = F.struct(F.array(F.struct(props.alias("properties"), shape.alias("geometry"))).alias("features"))
+    texts = parcels(spark, sf).select(F.to_json(body).alias("text"))
+    collections = texts.select(F.from_json("text", PARCEL_FEATURES).alias("c")).select("c.features")
+    at = lambda i: F.get("ring", F.lit(i))
+    return parcels_from_features(collections).select(
+        "ulpin",
+        "survey_no",
+        "village",
+        "area_sqm",
+        F.get("neighbours", F.lit(0)).alias("neighbour_a"),
+        at(0)["x"].alias("first_x"),
+        at(2)["y"].alias("third_y"),
+    )
+
+
+SYNONYMS = q.rows(["cls", "syn", "o"], [(c, s.lower(), i) for i, (c, names) in enumerate(LAND_CLASSES.items()) for s in names])
+
+
+@query(
+    "s4_dictionary_join",
+    ["fx_records"],
+    f"select r.document_id, d.cls canonical_class, d.o ord from fx_records r join (select * from {SYNONYMS}) d on d.syn = lower(r.land_class)",
+)
+def dictionary_join(spark, sf):
+    known = land_class_synonyms(spark).withColumnRenamed("land_class", "canonical_class")
+    records = fx(spark, sf, "fx_records").select("document_id", F.lower("land_class").alias("synonym"))
+    return records.join(F.broadcast(known), "synonym").select("document_id", "canonical_class", "ord")
+
+
+@query("s15_stage_table", sql=CATALOGUE["v9_identifier_format"].sql)
+def stage_table(spark, sf):
+    """A stage written twice for one batch date holds its rows once."""
+    path = shared_path(spark, "stage")
+    for _ in range(2):
+        write_stage(rules.bad_identifiers(fx(spark, sf, "fx_records")), path, "2026-01-01")
+    return spark.read.parquet(path).select("document_id", "field_name", "value")
+
+
 # ---------------------------------------------------------------- masking and roles
 
 KIND = """case when regexp_matches(field_name, 'ownership_type|_share$|_is_minor$|_is_deceased$|^share') then null
