@@ -21,7 +21,6 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     Counts combine before the shuffle. Up to LISTED_KEYS keys come back as a broadcast constant table;
     beyond that the table stays distributed and the join on it is an ordinary one.
     """
-    # null keys join nothing later on; they keep to their one group
     hot = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     listed = hot.limit(LISTED_KEYS + 1).collect()
     if not listed:
@@ -31,16 +30,24 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(listed, hot.schema))
 
 
+def _same(keys: list[str], left: str, right: str) -> Column:
+    """Equal keys; rows without a key are a group like any other."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
 def _split(df: DataFrame, hot: DataFrame, keys: list[str], splits: list[Column]) -> DataFrame:
-    marked = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    return marked.withColumn("_part", F.when(F.col("_hot"), F.struct(*splits))).drop("_hot")
+    parted = df.withColumn("_part", F.struct(*splits))
+    joined = parted.alias("d").join(hot.withColumn("_hot", F.lit(True)).alias("h"), _same(keys, "d", "h"), "left")
+    return joined.select(
+        *[F.col(f"d.{c}") for c in df.columns], F.when(F.col("h._hot"), F.col("d._part")).alias("_part")
+    )
 
 
 def _same_part(keys: list[str], left: str, right: str) -> Column:
-    cond = F.col(f"{left}._part") == F.col(f"{right}._part")
-    for k in keys:
-        cond = cond & (F.col(f"{left}.{k}") == F.col(f"{right}.{k}"))
-    return cond
+    return (F.col(f"{left}._part") == F.col(f"{right}._part")) & _same(keys, left, right)
 
 
 def ranked(
@@ -119,8 +126,6 @@ def trailing_count(
     )
     w = Window.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-span, 0)
     counted = visits.withColumn(out, F.sum("_n").over(w)).filter(F.col("_own") == F.col("_slot"))
-    return (
-        df.withColumn("_us", micros)
-        .join(counted.select(key, "_us", out), [key, "_us"])
-        .select(*df.columns, out)
-    )
+    timed = df.withColumn("_us", micros).alias("d")
+    same = (F.col("d._us") == F.col("c._us")) & _same([key], "d", "c")
+    return timed.join(counted.alias("c"), same).select(*[F.col(f"d.{c}") for c in df.columns], F.col(f"c.{out}"))
