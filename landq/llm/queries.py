@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from landq.llm.chat import OP2_SQL, op2_chat
+from landq.llm.lexicon import op6_bpe
+from landq.llm.near_duplicates import op4_near_duplicates
+from landq.llm.outliers import op7_quality
 from landq.llm.packing import op8_packing
+from landq.llm.repeats import op5_repeats
 from landq.llm.sharding import op10_sharding
 from landq.llm.token_files import op3_token_files
+from landq.llm.top_k import OP1_SQL, op1_top_k
 from landq.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_top_k,
+        op2_chat,
         op3_token_files,
+        op4_near_duplicates,
+        op5_repeats,
+        op6_bpe,
+        op7_quality,
         op8_packing,
         op9_warc,
         op10_sharding,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_chat": OP2_SQL}
