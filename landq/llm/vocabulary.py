@@ -14,8 +14,8 @@ import regex
 from landq.llm.common import per_worker
 
 #: Words kept by one worker; further ones are encoded anew each time they occur.
-KEPT_WORDS = 400_000
-KEPT_PIECES = 150_000
+KEPT_WORDS = 700_000
+KEPT_PIECES = 100_000
 #: Texts beyond Latin letters leave the split into pieces to the library.
 LATIN = re.compile("[\x00-ɏ]*")
 #: White space for which words don't stand alone: other kinds than blank and line feed, or two in a row.
@@ -70,11 +70,11 @@ class Encoder:
         return packed(self.whole.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        shown = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
         return packed([token.id for token in self.model.tokenize(shown)])
 
     def part(self, text: str) -> bytes:
-        if not LATIN.fullmatch(text) or any(s in text for s in self.specials):
+        if not (text.isascii() or LATIN.fullmatch(text)):
             return self.library(text)
         return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
@@ -92,13 +92,19 @@ class ByteEncoder(Encoder):
         super().__init__(path, BYTE_PATTERN)
 
     def word(self, word: str) -> bytes:
-        return self.part(word if word[:1] == "\n" else " " + word)
+        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+            return self.piece(" " + word)
+        if word[-1] in ".,":
+            body = word[:-1]
+            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body)):
+                return self.words[body] + self.pieces[word[-1]]
+        return self.part(word if word[0] == "\n" else " " + word)
 
     def encode(self, text: str) -> bytes:
         if IRREGULAR.search(text) or any(s in text for s in self.specials):
             return self.library(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        if rest and not rest[-1]:  # a blank at the end
+        if rest and not rest[-1]:  # white space at the end
             return self.library(text)
         return b"".join([self.part(first), *map(self.words.__getitem__, rest)])
 
@@ -111,6 +117,12 @@ class WordEncoder(Encoder):
         self.normalize = self.whole.normalizer.normalize_str
 
     def word(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+            return self.piece(self.normalize(word))
+        if word[-1] in ".,":
+            body = word[:-1]
+            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body)):
+                return self.words[body] + self.pieces[word[-1]]
         if not LATIN.fullmatch(word) or any(s in word for s in self.specials):
             return self.library(word)
         return b"".join(map(self.pieces.__getitem__, self.split.findall(self.normalize(word))))
