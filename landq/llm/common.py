@@ -97,9 +97,12 @@ def numbered(df: DataFrame, order: list[Column], weight: Column | None = None, n
 
 
 def with_start(df: DataFrame) -> DataFrame:
-    """``global_start`` from the number of the task that wrote a row, what the row weighs and what stood before it there."""
+    """``global_start`` from the number of the task that wrote a row, what the row weighs and what stood before it there.
+
+    The broadcast has one row of two numbers for each task that wrote, so it stays small for any number of rows.
+    """
     totals = df.groupBy("_part").agg(F.sum("_w").alias("_total"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    joined = df.join(bases, "_part")
+    joined = df.join(F.broadcast(bases), "_part")
     return joined.withColumn("global_start", F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
