@@ -22,13 +22,15 @@ SHARE = 0.75
 STEPS = 3
 LEAST_ROWS = 60
 #: Squared distance beyond which a vector is rejected: far behind any quantile of a normal cloud, texts are not normal.
-CUT = 80.0
+CUT = 25.0
 #: Corrects the covariance of the nearest 75 % of a four-dimensional normal cloud: .75 / P(chi2 with 6 degrees < 5.385).
 CONSISTENCY = 1.49
 UNIT = 1000
 #: Vector entries and the least standard deviation that counts for each, in their own units.
 ENTRIES = ("size", "word", "symbol", "line")
-FLOORS = (0.5, 0.1, 0.1, 0.15)
+FLOORS = (0.5, 0.15, 0.05, 0.3)
+#: Length of a word from which the mean length is measured.
+TYPICAL_WORD = 5.0
 SPACE = r"[ \t-\r]+"
 
 
@@ -96,7 +98,8 @@ def vectors(rows: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
     entries = {
         "size": F.log(n),
-        "word": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
+        # the mean of few words says little, so it counts by the root of their number up to a hundred
+        "word": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n / TYPICAL_WORD) * F.sqrt(F.least(n, F.lit(100)) / 100),
         "symbol": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "line": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
     }
