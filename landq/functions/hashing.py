@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -27,12 +24,29 @@ def chain_step(previous: str, body: str) -> str:
     return hashlib.sha256((previous + body).encode("utf-8")).hexdigest()
 
 
-@F.pandas_udf(T.StringType())
-def _hmac_udf(body: pd.Series, secret: pd.Series) -> pd.Series:
-    return pd.Series(
-        [hmac.new(k.encode("utf-8"), b.encode("utf-8"), hashlib.sha256).hexdigest() for b, k in zip(body, secret)]
+#: Bytes of a block of the hash: keys are padded to this length, longer ones hashed first.
+BLOCK = 64
+
+
+def key_pads(secret: Column) -> Column:
+    """struct<inner, outer> of hex digits, the two pads of a signing key; worked out once for each key."""
+    raw = secret.cast("binary")
+    key = F.when(F.length(raw) > BLOCK, F.sha2(raw, 256)).otherwise(F.lower(F.hex(raw)))
+    padded = F.rpad(key, 2 * BLOCK, "0")
+    # a digit at a time: exclusive or with 36 and 5c
+    pad = lambda even, odd: F.concat(
+        *(F.translate(F.substr(padded, F.lit(i + 1), F.lit(1)), "0123456789abcdef", even if i % 2 == 0 else odd) for i in range(2 * BLOCK))
     )
+    digits = "0123456789abcdef"
+    xored = {m: "".join(digits[d ^ m] for d in range(16)) for m in (3, 5, 6, 12)}
+    return F.struct(pad(xored[3], xored[6]).alias("inner"), pad(xored[5], xored[12]).alias("outer"))
+
+
+def signed(body: Column, pads: Column) -> Column:
+    """Keyed SHA-256 signature of a text from the pads of its key."""
+    inner = F.sha2(F.concat(F.unhex(pads["inner"]), body.cast("binary")), 256)
+    return F.sha2(F.concat(F.unhex(pads["outer"]), F.unhex(inner)), 256)
 
 
 def hmac_sha256(body: Column, secret: Column) -> Column:
-    return _hmac_udf(body, secret)
+    return signed(body, key_pads(secret))

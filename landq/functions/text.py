@@ -33,13 +33,14 @@ def indic_to_ascii(value: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Plain decimal or exponent notation to double, else null.
+    """Plain decimal or exponent notation to double, else null. Devanagari, Gujarati and Telugu digits count as digits.
 
     Letters a cast would take for a type suffix, a hexadecimal number, NaN or infinity are spoilt first.
     Like parse_date it reads its argument once: a derived argument is then evaluated once, and generated
     code stays small enough to be compiled.
     """
-    return F.translate(value, "dDfFnNiIxXpP", "?" * 12).try_cast("double")
+    digits = DEVANAGARI_DIGITS + GUJARATI_DIGITS + TELUGU_DIGITS
+    return F.translate(value, "dDfFnNiIxXpP" + digits, "?" * 12 + "0123456789" * 3).try_cast("double")
 
 
 def parse_date(value: Column) -> Column:

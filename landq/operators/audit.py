@@ -1,9 +1,10 @@
 """Hash-chained audit log: append, verify, summarize, list.
 
 A single chain would force one task to write everything. Here each chain (a document, or a bucket of
-them) is cut into segments of a fixed number of entries; a segment starts from a seed of its own, and a
-small head table chains the segments' last hashes. Changing, dropping or swapping entries still breaks
-a hash, and no task ever handles more than one segment at a time.
+them) is cut into segments of a fixed number of entries, and a segment starts from a seed of its own, so
+no task ever handles more than one segment at a time. The head table is a second chain, over the segments'
+last hashes. Changing, dropping or swapping entries breaks a hash; a segment that is gone breaks the link
+of the next one; a segment that was rewritten as a whole, or cut off at the end, differs from its head.
 """
 
 from __future__ import annotations
@@ -64,30 +65,68 @@ def append_chain(
     hashed: list[str],
     segment_rows: int = SEGMENT_ROWS,
     hot_rows: int = HOT_ROWS,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """Adds seq (from 0 per chain), segment, previous_hash and current_hash.
 
     Every column in ``hashed`` is covered. Rows are shuffled once, by chain, for numbering and linking;
-    only when some chain is very long are they shuffled once more, by segment.
+    only when some chain is very long are they shuffled once more, by segment. With the ``heads`` of a stored
+    log, chains in it go on where they ended: appending in parts gives what appending at once gives.
     """
     placed = ranked(events, [chain], order, splits, "seq", hot_rows).withColumn("seq", F.col("seq") - 1)
+    starts_at, goes_on = F.lit(0), F.lit(None).cast("string")
+    columns = placed.columns
+    if heads is not None:
+        ends = chain_ends(heads, segment_rows)
+        placed = placed.join(ends, F.col(chain).cast("string") == ends["_end_chain"], "left")
+        starts_at, goes_on = F.coalesce("_next_seq", F.lit(0)), F.col("_last")
+    placed = placed.withColumn("seq", F.col("seq") + starts_at).withColumn("_goes_on", F.when(F.col("seq") == starts_at, goes_on))
+    placed = placed.select(*columns, "_goes_on")
     placed = placed.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("long"))
     starts = F.col("seq") % segment_rows == 0
+    types = [f for f in placed.schema.fields if f.name != "_goes_on"]
     bodied = placed.withColumns(
         {
             "_chain": F.col(chain).cast("string"),
             "_body": payload(F.col(chain), F.col("seq"), *[F.col(c) for c in hashed]),
-            "_seed": F.when(starts, segment_seed(F.col(chain), F.col("segment"))),
+            "_seed": F.when(starts, segment_seed(F.col(chain), F.col("segment"))).otherwise(F.col("_goes_on")),
         }
-    )
+    ).drop("_goes_on")
     if hot_keys(events, [chain], hot_rows) is not None:
         bodied = bodied.repartition(chain, "segment")
     schema = T.StructType(
-        [*placed.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("current_hash", T.StringType())]
+        [*types, T.StructField("previous_hash", T.StringType()), T.StructField("current_hash", T.StringType())]
     )
     return bodied.sortWithinPartitions(chain, "seq").mapInArrow(_link, schema)
 
 
+def chain_ends(heads: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Where each chain of a stored log goes on: its next seq and the hash to build on."""
+    last = heads.groupBy("chain_id").agg(F.max_by(F.struct("segment", "entries", "last_hash"), "segment").alias("h"))
+    return last.select(
+        F.col("chain_id").cast("string").alias("_end_chain"),
+        (F.col("h.segment") * segment_rows + F.col("h.entries")).alias("_next_seq"),
+        F.col("h.last_hash").alias("_last"),
+    )
+
+
+def linked_heads(heads: DataFrame) -> DataFrame:
+    """Adds head_hash, the chain over the segments' last hashes; the last one stands for the whole chain.
+
+    A chain has one head for each full segment, so a list of them is short beside the log.
+    """
+    listed = heads.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("segment", "last_hash", "entries"))).alias("hs"))
+    start = F.struct(F.lit(GENESIS).alias("hash"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, h: Column) -> Column:
+        now = F.sha2(F.concat_ws(":", acc["hash"], h["segment"].cast("string"), h["last_hash"]), 256)
+        return F.struct(now.alias("hash"), F.concat(acc["done"], F.array(now)).alias("done"))
+
+    chained = listed.withColumn("done", F.aggregate("hs", start, step, lambda acc: acc["done"]))
+    rows = chained.select("chain_id", F.explode(F.arrays_zip("hs", "done")).alias("x"))
+    return rows.select("chain_id", "x.hs.segment", "x.hs.last_hash", "x.hs.entries", F.col("x.done").alias("head_hash"))
+
+
 def segment_heads(log: DataFrame, chain: str) -> DataFrame:
     """Last hash and size of every segment, kept apart from the log so that a cut-off tail shows."""
     return log.groupBy(F.col(chain).alias("chain_id"), "segment").agg(
@@ -99,16 +138,22 @@ def verify_chain(log: DataFrame, chain: str, hashed: list[str], segment_rows: in
     """chain, seq, broken: null, 'link' (previous hash does not fit) or 'content' (entry was changed).
 
     A segment starts from its own seed, so each one is checked on its own: one shuffle by (chain, segment),
-    groups of bounded size however long a chain is.
+    groups of bounded size however long a chain is. Its first entry also needs the whole segment before it:
+    a segment that is gone or incomplete breaks the next one's link.
     """
     segment = F.floor(F.col("seq") / segment_rows).cast("long")
     w = Window.partitionBy(chain, "_segment").orderBy("seq")
     near = log.withColumn("_segment", segment).withColumns(
         {"_before": F.lag("current_hash").over(w), "_place": F.lag("seq").over(w)}
     )
+    sizes = log.groupBy(F.col(chain).alias("_c"), (segment + 1).alias("_s")).agg(F.count(F.lit(1)).alias("_size_before"))
+    near = near.join(sizes, near[chain].eqNullSafe(sizes["_c"]) & (near["_segment"] == sizes["_s"]), "left")
     # a link to a missing entry is a break too: nothing to compare with is not a match
-    expected = F.when(F.col("seq") % segment_rows == 0, segment_seed(F.col(chain), F.col("_segment"))).when(
-        F.col("_place") == F.col("seq") - 1, F.col("_before")
+    complete = (F.col("_segment") == 0) | F.coalesce(F.col("_size_before") == segment_rows, F.lit(False))
+    first = F.col("seq") % segment_rows == 0
+    expected = F.when(first & complete, segment_seed(F.col(chain), F.col("_segment"))).when(
+        ~first &
+        (F.col("_place") == F.col("seq") - 1), F.col("_before")
     )
     body = payload(F.col(chain), F.col("seq"), *[F.col(c) for c in hashed])
     fits = F.coalesce(F.col("previous_hash") == expected, F.lit(False))

@@ -119,7 +119,7 @@ def damage_penalty(bbox: Column, rated: Column) -> Column:
 
 
 def format_score(field_name: Column, value: Column) -> Column:
-    """How well a value fits the form its field name asks for."""
+    """How well a value fits the form its field name asks for. Digits of any script count where numbers stand."""
     name, text = F.lower(field_name), F.trim(value.cast("string"))
     number = to_number(text)
     fits = lambda pattern, otherwise: F.when(text.rlike(pattern), 1.0).otherwise(otherwise)
@@ -127,10 +127,10 @@ def format_score(field_name: Column, value: Column) -> Column:
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0))
         .when(name.contains("ulpin"), fits("^[A-Z0-9]{14}$", 0.3))
         .when(
-            name.contains("date"), fits(r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4})$", 0.4)
+            name.contains("date"), fits(r"^(\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}|\p{Nd}{1,2}[-/]\p{Nd}{1,2}[-/]\p{Nd}{4})$", 0.4)
         )
-        .when(name.rlike("survey|khasra"), fits(r"^\d+([/-][0-9A-Za-z]+)?$", 0.6))
-        .when(name.contains("share"), fits(r"^(\d+/\d+|\d+(\.\d+)?%?)$", 0.4))
+        .when(name.rlike("survey|khasra"), fits(r"^\p{Nd}+([/-][\p{Nd}A-Za-z]+)?$", 0.6))
+        .when(name.contains("share"), fits(r"^(\p{Nd}+/\p{Nd}+|\p{Nd}+(\.\p{Nd}+)?%?)$", 0.4))
         .when(
             name.contains("area") & ~name.contains("unit"),
             F.when(number > 0, 1.0).when(number.isNotNull(), 0.2).otherwise(0.3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.functions.hashing import hmac_sha256
+from landq.functions.hashing import key_pads, signed
 
 ANY = "*"
 
@@ -13,6 +13,7 @@ ANY = "*"
 def subscription_keys(subscriptions: DataFrame) -> DataFrame:
     """One row per (subscription, event it listens to) of the active ones."""
     active = subscriptions.filter(F.coalesce(F.col("active"), F.lit(True)))
+    active = active.withColumn("pads", key_pads(F.coalesce("secret", F.lit("")))).drop("secret")
     return active.withColumn("event_key", F.explode(F.array_distinct("events"))).drop("events", "active")
 
 
@@ -38,11 +39,11 @@ def canonical_payload(event: Column, timestamp: Column, data: Column) -> Column:
 
 
 def outbox(matched: DataFrame, body: Column) -> DataFrame:
-    """Adds payload and signature; the secret itself does not leave."""
+    """Adds payload and signature; neither the secret nor its pads leave."""
     return (
         matched.withColumn("payload", body)
-        .withColumn("signature", hmac_sha256(F.col("payload"), F.coalesce("secret", F.lit(""))))
-        .drop("secret")
+        .withColumn("signature", signed(F.col("payload"), F.col("pads")))
+        .drop("pads")
     )
 
 

@@ -205,6 +205,51 @@ def verify(spark, sf):
     return audit.verify_chain(tampered(spark, sf), "user_id", HASHED, SEGMENT).drop("current_hash")
 
 
+NUMBERED = f"select *, row_number() over (partition by user_id order by us, event_id) - 1 seq from ({ENTRIES}) x"
+
+
+@query(
+    "w1_missing_segment",
+    sql=f"select user_id, seq, case when seq = {2 * SEGMENT} then 'link' end broken from ({NUMBERED}) y where seq // {SEGMENT} <> 1",
+)
+def missing_segment(spark, sf):
+    """The log without the second segment of every chain."""
+    return audit.verify_chain(chained(spark, sf).filter("segment <> 1"), "user_id", HASHED, SEGMENT).drop("current_hash")
+
+
+@query(
+    "w1_link_break",
+    sql=f"""select user_id, seq, case when seq % {SEGMENT} = 8 or seq % {SEGMENT} = 0 and seq > 0 then 'link' end broken
+        from ({NUMBERED}) y where seq % {SEGMENT} <> 7""",
+)
+def link_break(spark, sf):
+    """The log without one entry of every segment."""
+    return audit.verify_chain(chained(spark, sf).filter(f"seq % {SEGMENT} <> 7"), "user_id", HASHED, SEGMENT).drop("current_hash")
+
+
+@query(
+    "w1_swapped",
+    sql=f"select user_id, case when seq in (4, 5) then 9 - seq else seq end seq, case when seq between 4 and 6 and n > 5 then 'link' end broken from (select *, count(*) over (partition by user_id) n from ({NUMBERED}) y) z where n > 6",
+)
+def swapped(spark, sf):
+    """Two neighbouring entries of every chain change places."""
+    rows = chained(spark, sf)
+    long = rows.groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 6").select("user_id")
+    moved = rows.join(long, "user_id").withColumn("seq", F.expr("case when seq in (4, 5) then 9 - seq else seq end"))
+    return audit.verify_chain(moved, "user_id", HASHED, SEGMENT).drop("current_hash")
+
+
+@query("w2_second_batch", sql=f"with {CHAIN} select user_id, event_id, seq, segment, previous_hash, current_hash from c")
+def second_batch(spark, sf):
+    """The log written in two parts, the second on the heads of the first."""
+    rows, splits = entries(spark, sf), [F.floor(F.col("us") / 86_400_000_000)]
+    early = F.col("us") < 1_705_000_000_000_000
+    first = audit.append_chain(rows.filter(early), "user_id", ["us", "event_id"], splits, HASHED, SEGMENT)
+    heads = audit.segment_heads(first, "user_id")
+    second = audit.append_chain(rows.filter(~early), "user_id", ["us", "event_id"], splits, HASHED, SEGMENT, heads=heads)
+    return first.unionByName(second).select("user_id", "event_id", "seq", "segment", "previous_hash", "current_hash")
+
+
 @query(
     "a12_chain_summary",
     sql=f"""select user_id, count(*) total_blocks, count(broken) = 0 chain_valid, min(case when broken is not null then seq end) broken_at,

@@ -32,11 +32,13 @@ def build_session(app: str = "landq", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only when none is set (tests)."""
+    """The cluster's shared checkpoint folder; a local one only where none is set and the master is local (tests)."""
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
     if not root:
         root = context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-landq-")
     if not context.getCheckpointDir():

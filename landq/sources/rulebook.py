@@ -71,9 +71,25 @@ class RuleBook:
 
     @staticmethod
     def from_table(rules: DataFrame) -> "RuleBook":
-        """Reads a ``rules`` table; it holds one row per rule, so at most ten rows reach the driver."""
+        """Reads a ``rules`` table. Repeated equal rows count once; a table that keeps a rule's older settings needs
+        a ``ts`` column, whose latest row counts. Unknown, missing and ambiguous rules are errors.
+
+        One row for each rule id reaches the driver, and only ids that are rules: the aggregate names the others.
+        """
+        settings = F.struct("severity", "applies_to", "enabled", "tolerance")
         known = [r[0] for r in RULES]
-        rows = rules.filter(F.col("rule_id").isin(known)).limit(len(known)).collect()
+        listed = F.when(F.col("rule_id").isin(known), F.col("rule_id")).otherwise("?")
+        order = F.col("ts") if "ts" in rules.columns else F.lit(0)
+        newest = rules.select(listed.alias("rule_id"), F.col("rule_id").alias("_id"), order.alias("_ts"), settings.alias("s"))
+        last = newest.groupBy("rule_id").agg(F.max("_ts").alias("_last"), F.min("_id").alias("_id"))
+        chosen = newest.drop("_id").join(last, "rule_id").filter(F.col("_ts").eqNullSafe(F.col("_last")) | (F.col("rule_id") == "?"))
+        found = chosen.groupBy("rule_id").agg(F.min("s").alias("s"), F.max("s").alias("t"), F.min("_id").alias("_id")).collect()
+        problems = [f"unknown rule {r['_id']}" for r in found if r["rule_id"] == "?"]
+        problems += [f"several settings for {r['rule_id']}" for r in found if r["rule_id"] != "?" and r["s"] != r["t"]]
+        problems += [f"no settings for {k}" for k in known if k not in {r["rule_id"] for r in found}]
+        if problems:
+            raise ValueError("; ".join(problems))
+        rows = [{"rule_id": r["rule_id"], **r["s"].asDict()} for r in found]
         return RuleBook(
             {
                 r["rule_id"]: Rule(
