@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from landq.functions.text import round_to
 
 EXACT = "decimal(28,10)"
-SCORE_DIGITS = 4
+#: Labelled rows that a fit looks at; of more, each counts with the same chance.
+FIT_ROWS = 1_000_000
 LOWEST, HIGHEST = 0.05, 0.99
 
 
@@ -49,14 +50,15 @@ def auto_accept(scored: DataFrame, threshold: float, confidence: str = "confiden
     )
 
 
-def _score(column: str) -> Column:
-    return round_to(F.col(column), SCORE_DIGITS)
+def fit_isotonic(scored: DataFrame, confidence: str = "confidence", label: str = "label", fit_rows: int = FIT_ROWS):
+    """Isotonic model of the scores as they are; equal ones merge to one weighted point first.
 
-
-def fit_isotonic(scored: DataFrame, confidence: str = "confidence", label: str = "label"):
-    """Isotonic model. Scores have four digits, so equal ones merge to at most 10,001 weighted points
-    first: the fit is the same and its size does not grow with the data."""
-    points = scored.groupBy(_score(confidence).alias("score")).agg(
+    The fit looks at ``fit_rows`` labelled rows, or as good as that by chance if there are more; prediction at all rows.
+    """
+    rows = scored.count()
+    if rows > fit_rows:
+        scored = scored.filter(F.rand(17) < fit_rows / rows)
+    points = scored.groupBy(F.col(confidence).alias("score")).agg(
         F.count(F.lit(1)).cast("double").alias("weight"),
         (F.sum(F.col(label).cast(EXACT)).cast("double") / F.count(F.lit(1))).alias("accuracy"),
     )
@@ -70,8 +72,9 @@ def calibrate(scored: DataFrame, confidence: str = "confidence", label: str = "l
     """Adds calibrated, the isotonic value of the score within [0.05, 0.99]."""
     model = fit_isotonic(scored, confidence, label)
     features = VectorAssembler(inputCols=["_score"], outputCol="features")
-    out = model.transform(features.transform(scored.withColumn("_score", _score(confidence))))
-    value = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.col("calibrated")))
+    out = model.transform(features.transform(scored.withColumn("_score", F.col(confidence))))
+    # twelve digits: pooled means don't depend on the order in which they were added up
+    value = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.round("calibrated", 12)))
     return out.withColumn("calibrated", value).select(*scored.columns, "calibrated")
 
 

@@ -238,23 +238,35 @@ SCALARS = {
 }
 OWNED = {"name": "name", "share": "share", "father_husband": "father_husband", "is_minor": "is_minor", "is_deceased": "is_deceased"}
 MOVED = {"no": "mutation_no", "date": "mutation_date", "reg_date": "registration_date", "from": "from_party", "to": "to_party", "order_ref": "order_ref"}
+NO_NUMBER = 'cast(null as double) "number"'
 FLAT = " union all ".join(
-    [f"select document_id, '{n}' field_name, {c} \"value\" from fx_records where {c} is not null" for n, c in SCALARS.items()]
-    + [f"select document_id, concat('owner_', p, '_{n}'), {c} from o where {c} is not null" for n, c in OWNED.items()]
-    + [f"select document_id, concat('mutation_', p, '_{n}'), {c} from m where {c} is not null" for n, c in MOVED.items()]
+    [f"select document_id, '{n}' field_name, {c} \"value\", {NO_NUMBER} from fx_records where {c} is not null" for n, c in SCALARS.items()]
+    + [f"select document_id, concat('owner_', p, '_{n}'), {c}, {NO_NUMBER} from o where {c} is not null" for n, c in OWNED.items()]
+    + [f"select document_id, concat('mutation_', p, '_{n}'), {c}, {NO_NUMBER} from m where {c} is not null" for n, c in MOVED.items()]
+    + ["select document_id, 'plot_area_value', null, cast(holding_sqm as double) from fx_records where holding_sqm is not null"]
+    + ["select document_id, concat('mutation_', p, '_area'), null, cast(transferred_area as double) from m where transferred_area is not null"]
+)
+# the order in which lists of structs are sorted: all columns in turn, nulls first
+OWNER_ORDER = ", ".join(f"{c} nulls first" for c in "pos parcel_id name share father_husband is_minor is_deceased".split())
+MOVE_ORDER = ", ".join(
+    f"{c} nulls first"
+    for c in "idx parcel_id mutation_no mutation_date registration_date from_party to_party transferred_area order_ref mutation_type".split()
 )
 
 
 @query(
     "p1_flatten_record",
     ["fx_records", "fx_owners", "fx_mutations"],
-    f"""with o as (select *, row_number() over (partition by document_id order by pos, parcel_id, name, share) - 1 p from fx_owners where document_id in (select document_id from fx_records)),
-        m as (select *, row_number() over (partition by document_id order by idx, parcel_id, mutation_no, mutation_date) - 1 p from fx_mutations where document_id in (select document_id from fx_records)) {FLAT}""",
+    f"""with o as (select *, row_number() over (partition by document_id order by {OWNER_ORDER}) - 1 p from fx_owners where document_id in (select document_id from fx_records)),
+        m as (select *, row_number() over (partition by document_id order by {MOVE_ORDER}) - 1 p from fx_mutations where document_id in (select document_id from fx_records)) {FLAT}""",
 )
 def flatten(spark, sf):
     rows = rec.flatten_fields(nested_records(spark, sf))
     numbers = F.col("field_name").isin("plot_area_value") | F.col("field_name").rlike("^mutation_[0-9]+_area$")
-    return rows.filter(~numbers).select("document_id", "field_name", "value")
+    value = F.col("value")
+    return rows.select(
+        "document_id", "field_name", F.when(~numbers, value).alias("value"), F.when(numbers, value.try_cast("double")).alias("number")
+    )
 
 
 @query(

@@ -302,7 +302,29 @@ def accept(spark, sf):
     return calibration.auto_accept(labelled(spark, sf), 0.9)
 
 
-@query("a8_isotonic_calibration")
+# isotonic value of the k-th distinct score: over starts up to k the largest of the smallest weighted means that end at k or later
+CALIBRATED = f"""s as ({SCORE_SQL}), g as (select confidence, count(*) w, sum(label) t, row_number() over (order by confidence) k from s group by confidence),
+        c as (select k, confidence, sum(w) over (order by k) w, sum(t) over (order by k) t from g),
+        m as (select a.k i, b.k j, (b.t - (a.t - x.t)) / cast(b.w - (a.w - x.w) as double) mean from c a join g x using (k) join c b on a.k <= b.k),
+        l as (select i, j, min(mean) over (partition by i order by j rows between current row and unbounded following) least from m),
+        v as (select j k, greatest(0.05, least(0.99, round(max(least), 12))) calibrated from l group by j),
+        fitted as (select s.confidence, s.label, cast(v.calibrated as double) calibrated from s join g on s.confidence = g.confidence join v on v.k = g.k)"""
+
+
+def _fitted_ece(column: str) -> str:
+    return f"""(select cast(sum(abs(c - l)) as double) / cast(sum(n) as double) from (select least(7, floor({column} * 8)) b, count(*) n,
+        sum(cast({column} as decimal(28,10))) c, sum(cast(label as decimal(28,10))) l from fitted group by 1) t)"""
+
+
+@query(
+    "a8_isotonic_calibration",
+    sql=f"""with {CALIBRATED}, e as (select {_fitted_ece("confidence")} pre, {_fitted_ece("calibrated")} post, count(*) samples,
+            count(*) filter (calibrated >= cast(0.9 as double)) accepted, sum(label) filter (calibrated >= cast(0.9 as double)) good from fitted)
+        select samples, {q.rounded("pre", 4)} ece_pre, {q.rounded("post", 4)} ece_post,
+            {q.rounded("((pre - post) / greatest(cast(1e-5 as double), pre) * cast(100 as double))", 1)} reduction_pct,
+            {q.rounded("coalesce(good / nullif(accepted, 0), cast(1 as double))", 4)} auto_accept_precision,
+            {q.rounded("(accepted * cast(100 as double) / samples)", 1)} automation_pct from e""",
+)
 def isotonic(spark, sf):
     return calibration.calibration_report(labelled(spark, sf))
 
