@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Suffixes whose bytes are laid out side by side at a time.
+TOGETHER = 100_000
+
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one that starts a byte later; the end is smaller than any byte."""
@@ -20,16 +23,36 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return signed[turn] < signed[turn + 1]
 
 
+def sorted_directly(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Some suffixes in order of their first ``depth`` bytes: by eight bytes first, and ties by all of them, so many at a time."""
+    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    words = np.ndarray(len(padded) - 7, dtype=">u8", buffer=padded, strides=(1,))
+    keys = words[starts].astype(np.uint64)
+    by_key = np.argsort(keys, kind="stable")
+    starts, keys = starts[by_key], keys[by_key]
+    same = np.flatnonzero(keys[1:] == keys[:-1]) if len(keys) else np.zeros(0, np.int64)
+    tied = np.zeros(len(keys), bool)
+    tied[same] = tied[same + 1] = True
+    places = np.flatnonzero(tied)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    at = 0
+    while at < len(places):
+        end = min(at + TOGETHER, len(places))
+        while end < len(places) and keys[places[end]] == keys[places[end - 1]]:
+            end += 1  # ties stay together
+        some = starts[places[at:end]]
+        rows = np.ascontiguousarray(windows[some]).view(f"S{depth}").ravel()
+        starts[places[at:end]] = some[np.argsort(rows, kind="stable")]
+        at = end
+    return starts
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of a block (bytes as uint8) in their order."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
-    direct = np.flatnonzero(smaller_than_next(text))
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[direct])
-    direct = direct[np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")]
-    del rows
+    direct = sorted_directly(text, np.flatnonzero(smaller_than_next(text)), depth)
     edges = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[n - 1]].append(np.array([n - 1]))
