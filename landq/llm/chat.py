@@ -132,10 +132,10 @@ def record_turns(df: DataFrame, column: str, layouts=LAYOUTS) -> DataFrame:
     record that is no JSON object. Fields that no layout names don't count.
     """
     names = sorted({part.strip("[]") for x in layouts for p in x.paths for part in p.split(".")})
-    scalar = "(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\\([0-9,]+\\))"
+    scalar = "(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|DECIMAL\\([0-9,]+\\))"
     shape = F.schema_of_variant(F.expr(f"try_parse_json(`{column}`)"))
-    shape = F.regexp_replace(shape, r"(?<=[<, ])(?!(?:%s): )[^<>:,]+: %s(?:, )?" % ("|".join(names), scalar), "")
-    shape = F.regexp_replace(F.regexp_replace(shape, scalar, ""), r"[ `]|,(?=>)", "")
+    shape = F.regexp_replace(shape, r"(?<=<|, )(?!(?:%s): )[^<>:, ][^<>:,]*: %s(?:, )?" % ("|".join(names), scalar), "")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(shape, scalar, ""), "[ `]", ""), ",(?=>)", "")
     kind, prints = _record_type(layouts), {_shape_print(x.paths): x for x in layouts}
     named = df.withColumn("layout", F.when(shape.startswith("OBJECT<"), F.sha2(shape, 256)))
     record = F.from_json(F.col(column), kind)
