@@ -229,8 +229,8 @@ def routing_reasons(fields: DataFrame, critical: DataFrame | None = None) -> Dat
     found = fields.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     reason = F.when(
         F.col("kind") == "critical_field",
-        F.format_string("Critical field '%s' confidence %.2f below threshold 0.6", "field_name", "confidence"),
-    ).otherwise(F.format_string("Field '%s' requires verification (confidence: %.2f)", "field_name", "confidence"))
+        F.format_string("Field '%s' is critical and its confidence is %.2f only", "field_name", "confidence"),
+    ).otherwise(F.format_string("Field '%s' should be looked at, its confidence is %.2f", "field_name", "confidence"))
     rows = found.select("document_id", "field_name", "kind", reason.alias("reason"))
     if critical is None:
         return rows
@@ -238,7 +238,7 @@ def routing_reasons(fields: DataFrame, critical: DataFrame | None = None) -> Dat
         "document_id",
         F.lit(None).cast("string").alias("field_name"),
         F.lit("rule").alias("kind"),
-        F.lit("Critical legal-logic validation rule failure").alias("reason"),
+        F.lit("A critical rule failed").alias("reason"),
     ).distinct()
     return rows.unionByName(rule_rows)
 

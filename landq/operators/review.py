@@ -208,6 +208,7 @@ def correction_messages(corrections: DataFrame) -> DataFrame:
     ask = F.concat(
         F.lit("Extract field '"), "field_name", F.lit("' from raw text: '"), F.coalesce("raw_text", F.lit("")), F.lit("'")
     )
+    # fixed values: the wording that stored training lines have
     messages = F.array(
         message("system", F.lit("Extract standardized land record field.")),
         message("user", ask),

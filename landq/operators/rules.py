@@ -73,15 +73,15 @@ def share_sum(owners: DataFrame, book: RuleBook) -> DataFrame:
     message = F.when(
         bad,
         F.format_string(
-            "Total registered share sum is %.4f (expected 1.0000). Discrepancy of %.4f detected across %d owners.",
+            "Shares add up to %.4f instead of 1, off by %.4f over %d owner rows.",
             "total_share", "discrepancy", "owner_count",
         ),
     ).otherwise(
-        F.format_string("All co-owner shares sum correctly to 1.0000 (discrepancy: %.4f).", "discrepancy")
+        F.format_string("Shares add up to 1, off by %.4f.", "discrepancy")
     )
     return _results(totals, _finding(
         rb.SHARES,
-        F.lit("Co-owner Shares Must Sum to 100%"),
+        F.lit("Shares Add Up"),
         F.when(bad, F.lit(book.severity(rb.SHARES))).otherwise("info"),
         message,
         _evidence(
@@ -121,10 +121,10 @@ def area_holding(records: DataFrame, mutations: DataFrame, book: RuleBook) -> Da
     excess = F.col("transferred_area") - F.col("holding_sqm")
     return _results(over, _finding(
         rb.HOLDING,
-        F.lit("Sale or Transfer Area Must Not Exceed Parcel Holding"),
+        F.lit("Moved Area within Holding"),
         F.lit(book.severity(rb.HOLDING)),
         F.format_string(
-            "Transferred area (%.2f) exceeds parcel holding area (%.2f) by %.2f (%.1f%%).",
+            "A mutation moves %.2f out of a holding of %.2f: %.2f too much, %.1f%% of the holding.",
             F.col("transferred_area"), F.col("holding_sqm"), excess, excess / F.col("holding_sqm") * 100.0,
         ),
         _evidence(
@@ -163,15 +163,15 @@ def chronology(records: DataFrame, mutations: DataFrame, book: RuleBook, as_of:
     early = F.col("kind") == "early"
     return _results(found, _finding(
         rb.CHRONOLOGY,
-        F.when(early, "Mutation Prior to Registration").otherwise("Future Date Prohibited"),
+        F.when(early, "Mutation before Deed").otherwise("Mutation to Come"),
         F.when(early, F.lit(book.severity(rb.CHRONOLOGY))).otherwise("error"),
         F.when(
             early,
             F.format_string(
-                "Temporal inconsistency: Mutation date (%s) is earlier than deed registration date (%s).",
+                "Mutated on %s, before the deed of %s.",
                 "mutation_date", "deed_text",
             ),
-        ).otherwise(F.format_string("Mutation date (%s) is in the future.", "mutation_date")),
+        ).otherwise(F.format_string("Mutated on %s, a day still to come.", "mutation_date")),
         _evidence(
             mutation_date=F.col("mutation_date"),
             registration_date=F.when(early, F.col("deed_text")),
@@ -253,18 +253,18 @@ def party_capacity(owners: DataFrame, mutations: DataFrame, book: RuleBook) -> D
     minors = unguarded_minors(owners)
     return _results(dead, _finding(
         rb.CAPACITY,
-        F.lit("Deceased Party Transfer Violation"),
+        F.lit("Deceased Transferor"),
         F.lit("critical"),
         F.format_string(
-            "Party '%s' is recorded as deceased, but appears as transferor in mutation #%s.", "party_name", "mutation_no"
+            "Deceased owner '%s' gives land away in mutation %s.", "party_name", "mutation_no"
         ),
         _evidence(party_name=F.col("party_name"), mutation_no=F.col("mutation_no")),
     )).unionByName(
         _results(minors, _finding(
             rb.CAPACITY,
-            F.lit("Minor Owner Missing Guardian"),
+            F.lit("Minor without Guardian"),
             F.lit("warn"),
-            F.format_string("Minor owner '%s' registered without legal guardian designation.", "name"),
+            F.format_string("Minor '%s' has no guardian on record.", "name"),
             _evidence(party_name=F.col("name"), mutation_no=F.lit(None)),
     ))
     )
@@ -281,10 +281,10 @@ def _conversion(book: RuleBook) -> tuple[Column, Column]:
     missing = F.coalesce(F.col("na_order_ref"), F.lit("")) == ""
     return land.isin(NON_AGRICULTURAL) & missing, _finding(
         rb.CONVERSION,
-        "Missing NA Conversion Order",
+        "Conversion Order Missing",
         book.severity(rb.CONVERSION),
         F.format_string(
-            "Land class '%s' requires a Non-Agricultural (NA) conversion order reference, none was found.", land
+            "Land class '%s' needs a conversion order and the record names none.", land
         ),
         _evidence(land_class=land),
     )
@@ -300,10 +300,10 @@ def _tenure(book: RuleBook) -> tuple[Column, Column]:
     missing = F.coalesce(F.col("tenure_perm_ref"), F.lit("")) == ""
     return tenure.rlike("restricted|tribal|inam") & missing, _finding(
         rb.TENURE,
-        "Missing Competent Authority Transfer Permission",
+        "Transfer Permission Missing",
         book.severity(rb.TENURE),
         F.format_string(
-            "Transfer on restricted tenure (%s) requires statutory Collector / Competent Authority permission.", tenure
+            "Tenure '%s' passes on with permission only and the record names none.", tenure
         ),
         _evidence(tenure_type=tenure),
     )
@@ -345,10 +345,10 @@ def _ceiling(book: RuleBook) -> tuple[Column, Column]:
     ceiling = ceiling_for(book, F.col("state"), F.col("land_class"))
     return F.col("holding_ha") > ceiling, _finding(
         rb.CEILING,
-        "Agricultural Land Ceiling Exceeded",
+        "Holding above Ceiling",
         book.severity(rb.CEILING),
         F.format_string(
-            "Recorded holding of %.2f ha exceeds statutory ceiling limit of %.2f ha.", F.col("holding_ha"), ceiling
+            "The holding has %.2f ha where %.2f ha are allowed.", F.col("holding_ha"), ceiling
         ),
         _evidence(holding_ha=F.col("holding_ha"), ceiling_ha=ceiling, state=F.lower("state")),
     )
@@ -381,9 +381,9 @@ def _identifier(book: RuleBook) -> tuple[Column, Column]:
     ulpin = F.trim("ulpin")
     return (F.col("ulpin") != "") & ~ulpin.rlike(rb.ULPIN_PATTERN), _finding(
         rb.IDENTIFIER,
-        "Invalid ULPIN 14-char Format",
+        "Land Id Malformed",
         book.severity(rb.IDENTIFIER),
-        F.format_string("ULPIN '%s' is invalid (must be 14-char alphanumeric checksum).", ulpin),
+        F.format_string("Land id '%s' is not 14 capital letters and digits.", ulpin),
         _evidence(ulpin=ulpin),
     )
 
@@ -412,17 +412,17 @@ def hierarchy_check(records: DataFrame) -> DataFrame:
 def hierarchy_reason() -> Column:
     level = F.col("failed_level")
     return (
-        F.when(level == "state", F.format_string("State '%s' not recognized in LRMS registry", "state"))
-        .when(level == "district", F.format_string("District '%s' not found in state '%s'", "district", "state"))
+        F.when(level == "state", F.format_string("No state '%s' in the directory", "state"))
+        .when(level == "district", F.format_string("No district '%s' in state '%s'", "district", "state"))
         .when(
             level == "tehsil",
-            F.format_string("Tehsil '%s' not found in district '%s', %s", "tehsil", "district", "state"),
+            F.format_string("No tehsil '%s' in district '%s', %s", "tehsil", "district", "state"),
         )
         .when(
             level == "village",
-            F.format_string("Village '%s' not mapped to tehsil '%s', %s", "village", "tehsil", "district"),
+            F.format_string("No village '%s' in tehsil '%s', %s", "village", "tehsil", "district"),
         )
-        .otherwise("Valid LRMS administrative hierarchy")
+        .otherwise("All levels known")
     )
 
 
@@ -431,10 +431,10 @@ def _hierarchy(book: RuleBook) -> tuple[Column, Column]:
     bad = F.col("failed_level").isNotNull()
     return F.lit(True), _finding(
         rb.HIERARCHY,
-        F.when(bad, "Invalid Administrative Hierarchy").otherwise("Administrative Hierarchy Validated"),
+        F.when(bad, "Place Unknown").otherwise("Place Known"),
         F.when(bad, F.lit(book.severity(rb.HIERARCHY))).otherwise("info"),
-        F.when(bad, F.concat(F.lit("Administrative hierarchy check failed: "), hierarchy_reason())).otherwise(
-            "Village, Tehsil, District, and State verified against National LRMS directory."
+        F.when(bad, F.concat(F.lit("Place not in the directory: "), hierarchy_reason())).otherwise(
+            "Village, tehsil, district and state are in the directory."
         ),
         _evidence(
             state=F.col("state"),
@@ -515,10 +515,10 @@ def holding_conflicts(records: DataFrame) -> DataFrame:
 def duplicate_registry(records: DataFrame, book: RuleBook) -> DataFrame:
     return _results(registration_conflicts(records), _finding(
         rb.DUPLICATE,
-        F.lit("Reused Registration Number Detected"),
+        F.lit("Registration Number Reused"),
         F.lit(book.severity(rb.DUPLICATE)),
         F.format_string(
-            "Duplicate registration number '%s' already registered in Document ID '%s'.",
+            "Registration number '%s' is that of document %s already.",
             F.col("reg_no"), F.col("conflicting_id").cast("string"),
         ),
         _evidence(conflicting_doc_id=F.col("conflicting_id"), reg_no=F.col("reg_no")),

@@ -76,8 +76,8 @@ DATED = f"""select m.document_id, m.idx, m.mutation_no, {q.date("m.mutation_date
 @query(
     "v3_chronology",
     ["fx_records", "fx_mutations"],
-    f"""select document_id, idx, 'Future Date Prohibited' rule_name from ({DATED}) t where d > date '{AS_OF}'
-        union all select document_id, idx, 'Mutation Prior to Registration' from ({DATED}) t where d < g""",
+    f"""select document_id, idx, 'Mutation to Come' rule_name from ({DATED}) t where d > date '{AS_OF}'
+        union all select document_id, idx, 'Mutation before Deed' from ({DATED}) t where d < g""",
 )
 def chronology(spark, sf):
     out = rules.chronology(fx(spark, sf, "fx_records"), fx(spark, sf, "fx_mutations"), BOOK, AS_OF)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landq.functions.hashing import GENESIS
-from landq.plans.catalogue import archive_views, workflow
+from landq.operators.rules import RECORD_RULES
+from landq.plans.catalogue import archive_views, legal, workflow
 from landq.plans.catalogue.registry import CATALOGUE, query
 from landq.plans.fixtures import VIEWS
 from landq.session import shared_path
+from landq.sources.readers import read_table
 from landq.streaming import jobs
 from landq.streaming.sources import event_time, stream_table
 
@@ -22,7 +24,33 @@ def ingest(spark, sf):
 @query("t1_stream_checks", sql=CATALOGUE["v9_identifier_format"].sql, streaming=True)
 def checks(spark, sf):
     arriving = spark.sql(VIEWS["fx_records"], orders=stream_table(spark, sf, "orders"))
-    return jobs.run_to_table(jobs.record_checks(arriving), "checks")
+    return jobs.run_to_table(jobs.identifier_checks(arriving), "checks")
+
+
+@query(
+    "t1_stream_history",
+    sql="select distinct sha256(text) sha256 from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0)",
+    streaming=True,
+)
+def news(spark, sf):
+    """Uploads whose content is not in the archive yet: the even documents are its history."""
+    docs = stream_table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000))
+    held = read_table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts", history=held).select("sha256"), "news")
+
+
+ALONE = "', '".join(RECORD_RULES)
+
+
+@query(
+    "t1_stream_rules",
+    legal.INPUTS,
+    f"select document_id, rule_id, status from ({legal.RESULTS}) t where rule_id in ('{ALONE}')",
+    streaming=True,
+)
+def rule_checks(spark, sf):
+    arriving = spark.sql(VIEWS["fx_records"], orders=stream_table(spark, sf, "orders"))
+    return jobs.run_to_table(jobs.record_checks(arriving, legal.BOOK), "rules").select("document_id", "rule_id", "status")
 
 
 @query(

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from landq.functions.hashing import GENESIS, payload
+from landq.operators import rules
 from landq.operators.audit import link_bodies
 from landq.operators.fanout import canonical_payload, match_subscriptions, outbox
 from landq.session import shared_path
+from landq.sources.rulebook import RuleBook
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
@@ -43,17 +45,27 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 # ---------------------------------------------------------------- ingest
 
 
-def first_uploads(uploads: DataFrame, content: str, time: str, delay: str = "1 day") -> DataFrame:
-    """First upload of each content within the watermark; ``sha256`` identifies it."""
+def first_uploads(
+    uploads: DataFrame, content: str, time: str, delay: str = "1 day", history: DataFrame | None = None
+) -> DataFrame:
+    """First upload of each content within the watermark; ``sha256`` identifies it.
+
+    Contents in ``history`` (sha256 of what the archive holds already) are no news, however old they are.
+    """
     hashed = uploads.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
+    if history is not None:
+        hashed = hashed.join(history.select("sha256"), "sha256", "left_anti")
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def record_checks(uploads: DataFrame) -> DataFrame:
-    """Checks that need nothing but the record itself, so they can run as records arrive."""
-    from landq.operators.rules import bad_identifiers
+def identifier_checks(uploads: DataFrame) -> DataFrame:
+    """Malformed identifiers of records as they arrive."""
+    return rules.bad_identifiers(uploads)
+
 
-    return bad_identifiers(uploads)
+def record_checks(uploads: DataFrame, book: RuleBook) -> DataFrame:
+    """The rules that need nothing but the record itself, so they can run as records arrive."""
+    return rules.record_rules(uploads, book)
 
 
 # ---------------------------------------------------------------- activity

@@ -124,14 +124,14 @@ def test_single_faults_are_found_and_nothing_else(results):
 def test_messages_and_evidence(results):
     rows = {(r.document_id, r.rule_id): r for r in results.collect()}
     share = rows[(rb.SHARES, rb.SHARES)]
-    assert share.message == "Total registered share sum is 0.8000 (expected 1.0000). Discrepancy of 0.2000 detected across 2 owners."
+    assert share.message == "Shares add up to 0.8000 instead of 1, off by 0.2000 over 2 owner rows."
     assert (share.severity, share.disclaimer) == ("critical", "advisory, not legal advice")
     over = rows[(rb.HOLDING, rb.HOLDING)]
-    assert over.evidence["mutation_index"] == "0" and over.message.startswith("Transferred area (8000.00) exceeds")
+    assert over.evidence["mutation_index"] == "0" and over.message.startswith("A mutation moves 8000.00 out of")
     twin = rows[("twin_a", rb.DUPLICATE)]
     assert twin.evidence["conflicting_doc_id"] == "twin_b"
     assert rows[("clean", rb.HIERARCHY)].status == "passed"
-    assert "not mapped to tehsil 'Haveli'" in rows[(rb.HIERARCHY, rb.HIERARCHY)].message
+    assert "in tehsil 'Haveli'" in rows[(rb.HIERARCHY, rb.HIERARCHY)].message
 
 
 def test_summary_scores(records, results):
