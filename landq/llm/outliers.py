@@ -21,6 +21,8 @@ from landq.llm.common import stored, table
 SHARE = 0.75
 STEPS = 3
 LEAST_ROWS = 60
+#: Parts into which the rows of each group are dealt for joins with its estimate.
+SALTS = 32
 #: Squared distance beyond which a vector is rejected: far behind any quantile of a normal cloud, texts are not normal.
 CUT = 25.0
 #: Corrects the covariance of the nearest 75 % of a four-dimensional normal cloud: .75 / P(chi2 with 6 degrees < 5.385).
@@ -143,10 +145,16 @@ def _factor(cov) -> dict[str, Column]:
     return made
 
 
+def _beside(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with what is known of their group. The salt spreads a hot group over tasks, and keeps sums combining before a shuffle."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, ["grp", "_salt"])
+
+
 def start(good: DataFrame) -> DataFrame:
     """Medians, and median deviations as a diagonal factor; the values are whole thousandths, so few distinct ones."""
     medians = good.groupBy("grp").agg(*(F.percentile(name, 0.5).alias(f"m_{i}") for i, name in enumerate(ENTRIES)))
-    off = good.join(medians, "grp").groupBy("grp").agg(
+    off = _beside(good, medians).groupBy("grp").agg(
         *(F.percentile(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, name in enumerate(ENTRIES))
     )
     scale = [F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + (UNIT * FLOORS[i]) ** 2) for i in range(len(ENTRIES))]
@@ -159,9 +167,9 @@ def start(good: DataFrame) -> DataFrame:
 
 def concentrate(good: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: mean and covariance of the share of each group that is nearest by the estimate so far."""
-    near = good.join(estimate, "grp").select("grp", *ENTRIES, F.floor(256 * F.log(1 + _distance())).alias("bin"))
+    near = _beside(good, estimate).select("grp", "_salt", *ENTRIES, F.floor(256 * F.log(1 + _distance())).alias("bin"))
     limit = near.groupBy("grp").agg(F.percentile("bin", SHARE).alias("limit"))
-    inner = near.join(limit, "grp").filter("bin <= limit")
+    inner = _beside(near, limit).filter("bin <= limit")
     exact = [F.col(name).cast("decimal(19,0)") for name in ENTRIES]
     pairs = [(i, j) for i in range(len(ENTRIES)) for j in range(i + 1)]
     sums = inner.groupBy("grp").agg(
@@ -188,7 +196,8 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     rows = stored(vectors(measured(docs, keep or docs.columns)), "measured")
     rows = grouped(rows)
-    good = rows.filter("not base_failed").select("grp", *ENTRIES)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt")
+    good = rows.filter("not base_failed").select("grp", salt, *ENTRIES)
     estimate = stored(start(good), "estimate")
     for _ in range(STEPS):
         estimate = stored(concentrate(good, estimate), "estimate")
