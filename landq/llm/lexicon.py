@@ -29,6 +29,8 @@ from landq.llm.vocabulary import BYTE_PATTERN, IRREGULAR, LATIN, Kept, byte_lett
 
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 40_000
+#: Words met fewer times are not worth an entry.
+LEAST_COUNT = 3
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
 KEPT_WORDS, KEPT_PIECES = 300_000, 150_000
@@ -256,8 +258,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon_image(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> bytes:
-    """Image of the most frequent words: at most ``words`` of them reach the driver, ties go to the smaller word."""
-    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """Image of the most frequent words; at most ``words`` of them reach the driver.
+
+    Counts are put into bins, sixteen for each doubling, and whole bins are taken from the top while there is room.
+    """
+    level = F.floor(16 * F.log2("n")).cast("int")
+    counted = stored(word_counts(docs).filter(F.col("n") >= LEAST_COUNT).withColumn("level", level), "words")
+    sizes = {r["level"]: r["count"] for r in counted.groupBy("level").count().collect()}  # a thousand bins at most
+    least, taken = 1 << 30, 0
+    for at in sorted(sizes, reverse=True):
+        taken += sizes[at]
+        if taken > words:
+            break
+        least = at
+    frequent = counted.filter(F.col("level") >= least).select("word").collect()
     merges = Merges(vocabulary_path(vocabulary))
     raw = [r["word"].encode() for r in frequent]
     return compiled({w: merges.merge(w) for w in raw if w})
