@@ -19,7 +19,6 @@ BLOCK_STD = 20.0
 BLOCK_GAP = 49
 BLOCK_DISTANCE = 100.0
 BLOCK_SIGNATURE = 0.6
-CLONES_KEPT = 3
 STROKE_PIXELS = 500
 INK_SPREAD = 0.45
 EDITORS = ["photoshop", "gimp", "canva", "paint.net", "imagemagick"]
@@ -114,11 +113,14 @@ def band_pairs(items: DataFrame, key: str, position: str, gap: int = BLOCK_GAP)
 
 
 def clone_pairs(
-    signatures: DataFrame, keep: int = CLONES_KEPT, distance: float = BLOCK_DISTANCE, signature: float = BLOCK_SIGNATURE
+    signatures: DataFrame,
+    keep: int | None = None,
+    distance: float = BLOCK_DISTANCE,
+    signature: float = BLOCK_SIGNATURE,
 ) -> DataFrame:
-    """First few pairs per page of far-apart blocks with nearly equal signatures.
+    """Pairs per page of far-apart blocks with nearly equal signatures; the first ``keep`` of each page if given.
 
-    The gap counts structured blocks only, so these are numbered first. The row limit per page is applied
+    The gap counts structured blocks only, so these are numbered first. A row limit per page is applied
     before the shuffle as well as after it.
     """
     from landq.operators.ordered import ranked
@@ -143,6 +145,8 @@ def clone_pairs(
             round_to(1.0 - F.col("signature_gap") / 5.0, 3).alias("similarity"),
         )
     )
+    if keep is None:
+        return near
     w = Window.partitionBy("page_id").orderBy("i", "j")
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 

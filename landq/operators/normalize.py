@@ -72,10 +72,16 @@ def convert_area(df: DataFrame, value: str, unit: str, state: str) -> DataFrame:
     )
 
 
-def _per_value(df: DataFrame, raw: str, id_column: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Joins back what ``answer`` adds to the distinct values of a column: each value is worked out once."""
-    values = df.select(F.col(raw).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
-    keyed = df.withColumn("_value", _spread(F.col(raw), id_column))
+def _per_value(
+    df: DataFrame, raw: str, id_column: str, open_: Column, answer: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Joins back what ``answer`` adds to the distinct values of a column: each value is worked out once.
+
+    Only rows that are still ``open_`` ask. The others are spread evenly: however common a settled value is, it is no hot key.
+    """
+    asked = F.when(open_, F.col(raw))
+    values = df.select(asked.alias("_value")).filter(F.col("_value").isNotNull()).distinct()
+    keyed = df.withColumn("_value", _spread(asked, id_column))
     return keyed.join(answer(values), "_value", "left").drop("_value")
 
 
@@ -84,14 +90,13 @@ def normalize_land_class(df: DataFrame, raw: str, id_column: str) -> DataFrame:
     exact = {s.lower(): c for c, names in LAND_CLASSES.items() for s in [c, *names]}
     fuzzy = [(c, s.lower()) for c, names in LAND_CLASSES.items() for s in names if len(s) >= SHORTEST_FUZZY]
     pick = similarity.best_of(fuzzy, "window", FUZZY_CLASS)
-    cleaned = F.lower(F.trim("_value"))
+    known = df.withColumn("_exact", F.try_element_at(_map(exact), F.lower(F.trim(raw))))
+    unknown = F.col("_exact").isNull() & (F.col(raw) != "")
 
     def answer(values: DataFrame) -> DataFrame:
-        known = values.withColumn("_exact", F.try_element_at(_map(exact), cleaned))
-        open_value = F.when(F.col("_exact").isNull() & (F.col("_value") != ""), cleaned)
-        return known.withColumn("_near", pick(open_value)["name"])
+        return values.withColumn("_near", pick(F.lower(F.trim("_value")))["name"])
 
-    joined = _per_value(df, raw, id_column, answer)
+    joined = _per_value(known, raw, id_column, unknown, answer)
     empty = F.coalesce(F.col(raw), F.lit("")) == ""
     land_class = F.when(empty, "unspecified").otherwise(F.coalesce("_exact", "_near", F.col(raw)))
     flag = (
@@ -112,17 +117,14 @@ def canonicalize_labels(df: DataFrame, raw: str, id_column: str) -> DataFrame:
     entries = [(c, s.lower()) for c, names in FIELD_LABELS.items() for s in names]
     pick = similarity.best_of(entries, "ratio", FUZZY_LABEL)
 
+    found = F.coalesce(
+        F.try_element_at(_map(exact), F.lower(F.trim(raw))), F.try_element_at(_map(exact), clean_label(F.col(raw)))
+    )
+
     def answer(values: DataFrame) -> DataFrame:
-        known = values.withColumn("_bare", clean_label(F.col("_value"))).withColumn(
-            "_exact",
-            F.coalesce(
-                F.try_element_at(_map(exact), F.lower(F.trim("_value"))), F.try_element_at(_map(exact), F.col("_bare"))
-            ),
-        )
-        open_value = F.when(F.col("_exact").isNull(), sorted_words(F.col("_bare")))
-        return known.withColumn("_near", pick(open_value)).drop("_bare")
+        return values.withColumn("_near", pick(sorted_words(clean_label(F.col("_value")))))
 
-    joined = _per_value(df, raw, id_column, answer)
+    joined = _per_value(df.withColumn("_exact", found), raw, id_column, F.col("_exact").isNull(), answer)
     return joined.select(
         *df.columns,
         F.coalesce("_exact", "_near.name", F.col(raw)).alias("canonical_name"),
@@ -141,17 +143,23 @@ def latin_names(df: DataFrame, name: str) -> DataFrame:
 def match_names(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Adds name_score and is_match for pairs of names across scripts.
 
-    Each distinct pair is transliterated and scored once; equal names are settled without scoring.
+    Equal spellings are settled where they are. Each other distinct pair is transliterated and scored once, and
+    such a pair counts as equal if the Latin names are.
     """
-    latin = pairs.select(left, right).distinct().withColumns(
-        {"_a": F.lower(transliterate(F.col(left))), "_b": F.lower(transliterate(F.col(right)))}
+    same = F.col(left) == F.col(right)
+    latin = pairs.filter(~same).select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct().withColumns(
+        {"_a": F.lower(transliterate(F.col("_l"))), "_b": F.lower(transliterate(F.col("_r")))}
     )
     different = F.col("_a") != F.col("_b")
     ratio = similarity.token_sort_ratio(F.when(different, F.col("_a")), F.when(different, F.col("_b")))
     scored = latin.withColumn("_ratio", ratio).select(
-        left, right, F.when(different, F.col("_ratio")).when(F.col("_a") == F.col("_b"), F.lit(100.0)).alias("_score")
+        "_l", "_r", F.when(different, F.col("_ratio")).when(F.col("_a") == F.col("_b"), F.lit(100.0)).alias("_other")
     )
-    return pairs.join(scored, [left, right], "left").select(
+    # settled pairs ask with a key of their own, which nothing answers to
+    asks = F.when(same, F.concat(F.lit("\u0000"), F.xxhash64(*pairs.columns).cast("string"))).otherwise(F.col(left))
+    asking = pairs.withColumns({"_same": same, "_ask": asks})
+    found = asking.join(scored, (F.col("_ask") == F.col("_l")) & (F.col(right) == F.col("_r")), "left")
+    return found.withColumn("_score", F.when(F.col("_same"), F.lit(100.0)).otherwise(F.col("_other"))).select(
         *pairs.columns,
         round_to(F.col("_score") / 100.0, 2).alias("name_score"),
         (F.col("_score") >= SAME_NAME).alias("is_match"),

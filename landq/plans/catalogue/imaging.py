@@ -144,6 +144,18 @@ def signatures(spark, sf):
 )
 def clones(spark, sf):
     """The blocks here are noise, so a wider signature distance is used to have pairs at all."""
+    out = forensics.clone_pairs(forensics.block_signatures(blocks(spark, sf)), keep=3, signature=2.5)
+    return out.select("page_id", "i", "j")
+
+
+@query(
+    "w6_all_clone_pairs",
+    sql=f"""with s as (select *, row_number() over (partition by page_id order by i) n from ({SIGS}) t where s > 20)
+        select a.page_id, a.i, b.i j from s a join s b on a.page_id = b.page_id and b.n - a.n between 1 and 49
+          where sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) > 100
+            and sqrt((a.m - b.m) * (a.m - b.m) + (a.s - b.s) * (a.s - b.s) + (a.dy - b.dy) * (a.dy - b.dy) + (a.dx - b.dx) * (a.dx - b.dx)) < 2.5""",
+)
+def all_clones(spark, sf):
     out = forensics.clone_pairs(forensics.block_signatures(blocks(spark, sf)), signature=2.5)
     return out.select("page_id", "i", "j")
 
