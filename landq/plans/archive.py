@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landq.functions.text import indic_to_ascii, to_number
+from landq.functions.text import indic_to_ascii, to_number, transliterate
 from landq.operators import confidence, forensics, geo, review, rules
 from landq.operators import normalize as norm
 from landq.operators import records as rec
@@ -51,6 +51,26 @@ def normalized_records(records: DataFrame) -> DataFrame:
     )
 
 
+def normalized_fields(records: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Extracted fields with the values that later steps judge: ASCII digits in survey and khata numbers, the canonical
+    land class; owner names carry their Latin form as a flag."""
+    fields = rec.flatten_fields(records)
+    classes = scalars.select("document_id", F.col("land_class").alias("_class"))
+    name = F.col("field_name")
+    value = (
+        F.when(name.isin("survey_no", "khata_no") & F.col("value").isNotNull(), indic_to_ascii(F.col("value")))
+        .when((name == "land_classification") & F.col("_class").isNotNull(), F.col("_class"))
+        .otherwise(F.col("value"))
+    )
+    changed = {"value": value}
+    if "flags" in fields.columns:
+        latin = F.concat(F.lit("canonical_latin_name:"), transliterate(F.col("value")))
+        named = name.rlike("^owner_[0-9]+_name$") & (F.col("value") != "")
+        known = F.coalesce("flags", F.array().cast("array<string>"))
+        changed["flags"] = F.when(named, F.array_append(known, latin)).otherwise(F.col("flags"))
+    return fields.join(classes, "document_id", "left").withColumns(changed).drop("_class")
+
+
 def process(
     records: DataFrame,
     pages: DataFrame,
@@ -70,7 +90,7 @@ def process(
     first_page = pages.groupBy("document_id").agg(F.min("page_id").alias("page_id"))
     agreed = rec.agreement_rows(records)
     fields = (
-        rec.flatten_fields(records)
+        normalized_fields(records, scalars)
         .join(first_page, "document_id", "left")
         .join(agreed, ["document_id", "field_name"], "left")
     )

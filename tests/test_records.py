@@ -194,6 +194,22 @@ def test_whole_archive(spark, records):
     tasks = {r.document_id: r for r in out.tasks.collect()}
     assert tasks["clean"].priority == "medium" and tasks["clean"].reasons == 1
     assert out.summary.count() == len(ids)
+    named = out.fields.filter("document_id = 'clean' and field_name rlike '^owner_[0-9]+_name$'").collect()
+    assert named and all(any(f.startswith("canonical_latin_name:") for f in r.flags) for r in named)
+
+
+def test_fields_are_normalized_before_they_are_scored(spark, folder):
+    raw = readers.read_records(spark, folder).filter("document_id = 'clean'")
+    item = lambda path, text: F.col(path).withField("value", F.lit(text))
+    regional = raw.withColumn(
+        "extraction",
+        F.col("extraction")
+        .withField("survey_no", item("extraction.survey_no", "१४२/३"))
+        .withField("land_classification", item("extraction.land_classification", " Irrigated ")),
+    )
+    fields = archive.normalized_fields(regional, archive.normalized_records(regional))
+    values = {r.field_name: r.value for r in fields.collect()}
+    assert values["survey_no"] == "142/3" and values["land_classification"] == "irrigated"
 
 
 def test_stage_writes_can_be_repeated(spark, results, tmp_path):
