@@ -23,6 +23,8 @@ STEPS = 3
 LEAST_ROWS = 60
 #: Parts into which the rows of each group are dealt for joins with its estimate.
 SALTS = 32
+#: Groups up to which their table is broadcast: a few hundred bytes each.
+BROADCAST_GROUPS = 20_000
 #: Squared distance beyond which a vector is rejected: far behind any quantile of a normal cloud, texts are not normal.
 CUT = 25.0
 #: Corrects the covariance of the nearest 75 % of a four-dimensional normal cloud: .75 / P(chi2 with 6 degrees < 5.385).
@@ -83,7 +85,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     rows = docs.select(
-        F.struct(*keep).alias("row"),
+        (F.struct(*keep) if keep else F.lit(True)).alias("row"),
         F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("own_group"),
         F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}).alias("lang_group"),
         _let(words, stats).alias("w"),
@@ -108,15 +110,18 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.round(UNIT * value).cast("long") for name, value in entries.items()})
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``, the group that a row is judged by."""
-    good = rows.filter("not base_failed")
-    own = good.groupBy("own_group", "lang_group").agg(F.count("*").alias("n"))
-    small = own.filter(F.col("n") < LEAST_ROWS).groupBy("lang_group").agg(F.sum("n").alias("n"))
-    large = own.filter(F.col("n") >= LEAST_ROWS).select("own_group", F.col("own_group").alias("g1"))
-    langs = small.filter(F.col("n") >= LEAST_ROWS).select("lang_group", F.col("lang_group").alias("g2"))
-    joined = rows.join(large, "own_group", "left").join(langs, "lang_group", "left")
-    return joined.withColumn("grp", F.coalesce("g1", "g2", F.lit("others"))).drop("g1", "g2")
+def groups(rows: DataFrame) -> DataFrame:
+    """own_group, grp: the group that the rows of each language and source with any good row are judged by."""
+    own = rows.filter("not base_failed").groupBy("own_group", "lang_group").agg(F.count("*").alias("n"))
+    small = own.filter(F.col("n") < LEAST_ROWS).groupBy("lang_group").agg(F.sum("n").alias("together"))
+    joined = own.join(small, "lang_group", "left")
+    grp = F.when(F.col("n") >= LEAST_ROWS, F.col("own_group")).when(F.col("together") >= LEAST_ROWS, F.col("lang_group"))
+    return joined.select("own_group", F.coalesce(grp, F.lit("others")).alias("grp"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of groups, broadcast if it is known to be small; else the join is left to the runtime."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
 def _distance() -> Column:
@@ -194,14 +199,19 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     others; repeated rows count each. A group of equal vectors has its floors as deviations, so nothing is divided by
     zero, and ties at the limit of a concentration step are all in. An empty table gives no rows.
     """
-    rows = stored(vectors(measured(docs, keep or docs.columns)), "measured")
-    rows = grouped(rows)
+    keep = keep or docs.columns
+    wide = "text" in keep
+    # texts are not stored for the estimates; with texts to keep, their statistics are worked out once more at the end
+    narrow = stored(vectors(measured(docs, [] if wide else keep)), "measured")
+    named = stored(groups(narrow), "groups")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt")
-    good = rows.filter("not base_failed").select("grp", salt, *ENTRIES)
+    good = narrow.filter("not base_failed").join(_small(named), "own_group").select("grp", salt, *ENTRIES)
     estimate = stored(start(good), "estimate")
     for _ in range(STEPS):
         estimate = stored(concentrate(good, estimate), "estimate")
-    far = rows.join(estimate, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    known = stored(named.join(estimate, "grp"), "known")
+    rows = vectors(measured(docs, keep)) if wide else narrow
+    far = rows.join(_small(known), "own_group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return far.withColumn("kept", kept)
 
