@@ -301,3 +301,28 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return with_components(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP4_SQL = r"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as shingle from d
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), links as (
+    select a.doc_id as a, b.doc_id as b from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), near as (
+    select a, b from links union all select b, a from links
+), reach(a, b) as (
+    select doc_id, doc_id from d union select reach.a, near.b from reach join near on near.a = reach.b
+), least as (
+    select a as doc_id, min(b) as component_id from reach group by a
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n on n.doc_id = d.doc_id join least on least.doc_id = d.doc_id
+"""

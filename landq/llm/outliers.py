@@ -224,3 +224,79 @@ def good_documents(docs: DataFrame) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_sql() -> str:
+    """The same rules as one SQL statement."""
+    ks = range(len(ENTRIES))
+    pairs = [(i, j) for i in ks for j in range(i + 1)]
+    solved = ", ".join(
+        f"({name} - m_{i}" + "".join(f" - l_{i}{j} * y_{j}" for j in range(i)) + f") / l_{i}{i} as y_{i}" for i, name in enumerate(ENTRIES)
+    )
+    distance = f"{solved}, " + " + ".join(f"y_{i} * y_{i}" for i in ks) + " as distance"
+
+    def cell(i: int, j: int) -> str:
+        cov = f"({CONSISTENCY}::double * (b_{i}{j} / n - m_{i} * m_{j})" + (f" + {(UNIT * FLOORS[i]) ** 2}::double" if i == j else "")
+        value = cov + "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j)) + ")"
+        return f"sqrt(greatest({value}, 1.0::double)) as l_{i}{j}" if i == j else f"{value} / l_{j}{j} as l_{i}{j}"
+
+    steps = ""
+    for k in range(STEPS):
+        steps += f""", near{k} as (
+    select good.*, {distance}, floor(256 * ln(1 + distance))::bigint as bin from good join e{k} using (grp)
+), limit{k} as (select grp, quantile_cont(bin, {SHARE}) as most from near{k} group by grp
+), sums{k} as (
+    select grp, count(*)::double as n, {", ".join(f"sum({e})::double as a_{i}" for i, e in enumerate(ENTRIES))},
+        {", ".join(f"sum({ENTRIES[i]} * {ENTRIES[j]})::double as b_{i}{j}" for i, j in pairs)}
+    from near{k} join limit{k} using (grp) where bin <= most group by grp
+), e{k + 1} as (
+    select grp, {", ".join(f"a_{i} / n as m_{i}" for i in ks)}, {", ".join(cell(i, j) for i, j in pairs)} from sums{k}
+)"""
+    space = r"\x20\x09-\x0D"
+    return f"""
+with d as (
+    select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(t, '[^{space}]+') as w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as lines from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 4], ' ') as window_text from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d) x
+), again as (
+    select doc_id, i from windows qualify count(*) over (partition by doc_id, window_text) > 1
+), covered as (
+    select doc_id, sum(case when before is null then 5 else least(5, i - before) end) as n from (
+        select doc_id, i, lag(i) over (partition by doc_id order by i) as before from again) x group by doc_id
+), b as (
+    select d.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+        len(lines)::bigint as n_lines, coalesce(n, 0)::bigint as n_repeat_words,
+        n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed
+    from d left join covered on covered.doc_id = d.doc_id
+), v as (
+    select *, round({UNIT} * ln(greatest(n_words, 1)::double))::bigint as size,
+        round({UNIT} * (ln(greatest(word_chars, 1) / greatest(n_words, 1)::double / {TYPICAL_WORD}::double)
+            * sqrt(least(greatest(n_words, 1), 100) / 100::double)))::bigint as word,
+        round({UNIT} * sqrt(n_symbols / greatest(word_chars, 1)::double))::bigint as symbol,
+        round({UNIT} * sqrt(n_dup_lines / greatest(n_lines, 1)::double))::bigint as line from b
+), own as (
+    select lang, source, count(*) as n from v where not base_failed group by lang, source
+), small as (
+    select lang, sum(n) as together from own where n < {LEAST_ROWS} group by lang
+), g as (
+    select own.lang, own.source, case when n >= {LEAST_ROWS} then to_json([own.lang, own.source])::varchar
+        when together >= {LEAST_ROWS} then to_json([own.lang])::varchar else 'others' end as grp
+    from own left join small on small.lang is not distinct from own.lang
+), good as (
+    select grp, {", ".join(ENTRIES)} from v join g on g.lang is not distinct from v.lang and g.source is not distinct from v.source where not base_failed
+), med as (
+    select grp, {", ".join(f"quantile_cont({e}, 0.5) as m_{i}" for i, e in enumerate(ENTRIES))} from good group by grp
+), dev as (
+    select grp, {", ".join(f"quantile_cont(abs({e} - m_{i}), 0.5) as s_{i}" for i, e in enumerate(ENTRIES))} from good join med using (grp) group by grp
+), e0 as (
+    select med.*, {", ".join(f"sqrt(pow(1.4826::double * s_{i}, 2) + {(UNIT * FLOORS[i]) ** 2}::double) as l_{i}{j}" if i == j else f"0::double as l_{i}{j}" for i, j in pairs)}
+    from med join dev using (grp)
+){steps}, far as (
+    select v.*, {distance} from v left join g on g.lang is not distinct from v.lang and g.source is not distinct from v.source
+    left join e{STEPS} using (grp)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and coalesce(distance <= {CUT}, true) as kept from far
+"""

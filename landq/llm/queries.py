@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from landq.llm.chat import OP2_SQL, op2_chat
 from landq.llm.lexicon import op6_bpe
-from landq.llm.near_duplicates import op4_near_duplicates
-from landq.llm.outliers import op7_quality
+from landq.llm.near_duplicates import OP4_SQL, op4_near_duplicates
+from landq.llm.outliers import op7_quality, op7_sql
 from landq.llm.packing import op8_packing
-from landq.llm.repeats import op5_repeats
+from landq.llm.repeats import OP5_SQL, op5_repeats
 from landq.llm.sharding import op10_sharding
 from landq.llm.token_files import op3_token_files
 from landq.llm.top_k import OP1_SQL, op1_top_k
-from landq.llm.warc import op9_warc
+from landq.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -33,4 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_chat": OP2_SQL}
+SQL: dict[str, str] = {
+    "op1_top_k": OP1_SQL,
+    "op2_chat": OP2_SQL,
+    "op4_near_duplicates": OP4_SQL,
+    "op5_repeats": OP5_SQL,
+    "op7_quality": op7_sql(),
+    "op9_warc": OP9_SQL,
+}

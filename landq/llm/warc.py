@@ -238,3 +238,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "warc")
     index = write(table(spark, sf_dir, "pages"), root)
     return read(index, root).drop("url", "payload")
+
+
+OP9_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as digest from pages),
+f as (select digest, min(page_id) as first_id from p group by digest),
+bits as (
+    select p.page_id, octet_length(body) as n, first_id, array_to_string(list_transform(string_split(p.digest, ''), lambda h:
+        ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111']
+        [strpos('0123456789abcdef', h)]), '') as b
+    from p join f using (digest)
+)
+select page_id, n::bigint as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+        + 16 * substr(b, 5 * i + 1, 1)::int + 8 * substr(b, 5 * i + 2, 1)::int + 4 * substr(b, 5 * i + 3, 1)::int
+        + 2 * substr(b, 5 * i + 4, 1)::int + substr(b, 5 * i + 5, 1)::int, 1)), '') as payload_digest,
+    case when first_id is null or page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+    case when page_id is distinct from first_id then first_id end as refers_to
+from bits
+"""
