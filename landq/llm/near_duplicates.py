@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landq.llm.common import Rows, per_worker, rows_of, stored, table
@@ -240,10 +240,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("text_id"), text.alias("text"))
     texts = named.select("text_id", "text")
-    made = described(named.select(F.struct("doc_id", "text_id").alias("row"), "text").select("row.text_id", "text"), words)
-    ids = named.select("doc_id", "text_id")
-    facts = stored(made.dropDuplicates(["text_id"]), "signatures")
-    rows = ids.join(facts.select("text_id", "n_shingles", "node"), "text_id")
+    facts = stored(described(texts, words).dropDuplicates(["text_id"]), "signatures")
+    rows = named.select("doc_id", "text_id").join(facts.select("text_id", "n_shingles", "node"), "text_id")
     rows = stored(rows, "nodes")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = facts.filter("node is not null").groupBy("node").agg(
