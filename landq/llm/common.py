@@ -16,7 +16,7 @@ from landq.session import shared_path
 
 #: Rows or bytes after which a task hands its output on.
 FLUSH_ROWS = 20_000
-FLUSH_BYTES = 16_000_000
+FLUSH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +32,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
-    """A value that is made once in each Python worker and kept for its later tasks."""
+    """A value that is made once in each Python worker and kept for its later tasks, until another one is wanted there."""
     kept = sys.__dict__.setdefault("_landq_llm", {})
     if key not in kept:
+        kept.clear()  # workers go on to other operators; what those knew would only take their memory
         kept[key] = make()
     return kept[key]
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(column.to_pylist() for column in batch.columns), strict=True)
+def rows_of(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple]:
+    """Rows of a batch as tuples, so many turned into Python values at a time."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(column.to_pylist() for column in batch.slice(at, step).columns), strict=True)
 
 
 class Rows:

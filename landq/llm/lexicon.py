@@ -305,11 +305,6 @@ def _run(docs: DataFrame, vocabulary: str, words: int, row):
     shared = docs.sparkSession.sparkContext.broadcast(image)  # bounded by the number of words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        kept = sys.__dict__.setdefault("_landq_llm", {})
-        for old in [k for k in kept if k[0] == "lexicon" and k != key]:
-            del kept[old]
         coder = per_worker(key, lambda: Coder(vocabulary_path(vocabulary), shared.value))
         out = Rows(pa.schema(FULL if row is _full else DIGEST))
         for batch in batches:

@@ -14,7 +14,7 @@ import regex
 from landq.llm.common import per_worker
 
 #: Words kept by one worker; further ones are encoded anew each time they occur.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 600_000
 KEPT_PIECES = 100_000
 #: Texts beyond Latin letters leave the split into pieces to the library.
 LATIN = re.compile("[\x00-ɏ]*")
