@@ -33,7 +33,7 @@ LEXICON_WORDS = 40_000
 LEAST_COUNT = 3
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
-KEPT_WORDS, KEPT_PIECES = 300_000, 150_000
+KEPT_WORDS, KEPT_PIECES = 600_000, 100_000
 MAGIC = b"LEX1"
 
 
@@ -54,6 +54,15 @@ class Merges:
         byte_of = {chr(c): b for b, c in letters.items()}
         self.bytes = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.bytes |= {i: content.encode() for content, i in self.special.items()}
+        merged = [new for _, new in self.rank.values()]
+        self.fast = None
+        if all(a < b for a, b in zip(merged, merged[1:], strict=False)):
+            # ids rise with the merges' ranks, so a compiled merger that goes by ids does the same
+            import tiktoken
+
+            special = set(self.special.values())
+            ranks = {raw: i for i, raw in self.bytes.items() if i not in special}
+            self.fast = tiktoken.Encoding("lexicon", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair with the lowest rank is merged first, the leftmost of equals."""
@@ -189,6 +198,7 @@ class Coder:
 
     def __init__(self, path: str, image: bytes):
         self.merges, self.lexicon = Merges(path), Lexicon(image)
+        self.merge = self.merges.fast or self.merges.merge
         self.split = regex.compile(BYTE_PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.path, self.whole = path, None
@@ -198,7 +208,7 @@ class Coder:
     def piece(self, piece: str) -> bytes:
         raw = piece.encode()
         found = self.lexicon.find(raw)
-        return packed(self.merges.merge(raw)) if found is None else found
+        return packed(self.merge(raw)) if found is None else found
 
     def part(self, text: str) -> bytes:
         if LATIN.fullmatch(text):
@@ -212,7 +222,13 @@ class Coder:
         return b"".join(self.pieces[text[a:b]] for a, b in bounds)
 
     def word(self, word: str) -> bytes:
-        return self.part(word if word[:1] == "\n" else " " + word)
+        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+            return self.piece(" " + word)
+        if word[-1] in ".,":
+            body = word[:-1]
+            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body)):
+                return self.words[body] + self.pieces[word[-1]]
+        return self.part(word if word[0] == "\n" else " " + word)
 
     def plain(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -234,13 +250,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all whole texts; a word is a piece of the vocabulary's split, its blank included."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chunks = regex.compile(BYTE_PATTERN), Counter()
+        split, firsts, chunks = regex.compile(BYTE_PATTERN), Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
             words: Counter = Counter()
-            for chunk, n in chunks.items():
+            for chunk, n in firsts.items():
                 for word in split.findall(chunk):
                     words[word] += n
+            for chunk, n in chunks.items():
+                if chunk.isalpha():
+                    words[" " + chunk] += n
+                else:
+                    for word in split.findall(chunk if chunk[:1] == "\n" else " " + chunk):
+                        words[word] += n
+            firsts.clear()
             chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
@@ -248,8 +271,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for (text,) in rows_of(batch):
                 # chunks begin at single blanks, as words do; how other white space is cut matters little for counts
                 first, *rest = (text or "").replace("\n", " \n").split(" ")
-                chunks[first] += 1
-                chunks.update([" " + c if c[:1] != "\n" else c for c in rest])
+                firsts[first] += 1
+                chunks.update(rest)
                 if len(chunks) >= COUNTED:
                     yield counted()
         yield counted()
