@@ -6,9 +6,14 @@ small region all nodes are candidates of each other; in a larger one depth adapt
 the sorted order, those with the longest common prefixes. Two sets of similarity .8 share a region in one of 24 orders
 but for a chance of 3 in a million.
 
+What neighbours leave open is settled exactly: in a crowded region whose nodes are not all in one component yet, every two
+nodes of different components are compared. Its nodes are dealt into blocks, and pairs of blocks into tasks; sketches rule
+out most pairs, by a bound that no similar pair exceeds, and full sets decide on the others. Two nodes of the region's
+largest component need no comparison, so a group that is one component but for a few nodes costs one more row for each node.
+
 The orders are sorted by range, so a region of any size spreads over tasks; only rows at the edges of tasks are looked at
 again. Candidates are confirmed on full sets in two rounds: first the best partner of every node, then whatever still joins
-different components, so a large group costs a few confirmations for each node and not for each pair.
+different components, so a large group costs a few confirmations for each node and not for each pair. Crowded regions come last.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ DEPTH = 4
 #: Nodes of a region up to which all are candidates of each other; neighbours on either side that count in larger ones.
 SMALL_REGION = 8
 NEIGHBOURS = 2
+#: Nodes of a block of a crowded region, about; bits of a sketch; parts into which the rows of a region are dealt for joins.
+BLOCK = 128
+SKETCH_BITS = (256, 32_768)
+SALTS = 32
 WORDS, PERCENT = 5, 80
 KEPT_WORDS = 400_000
 SET_DDL = "text_id binary, n_shingles long, node binary, labels array<struct<prefix:long,deep:long>>"
@@ -111,7 +120,11 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _neighbours(edges_only: bool):
-    """Candidate pairs in rows that come sorted by tree, prefix, deep; with edge rows if the order goes on in other tasks."""
+    """Candidate pairs in rows that come sorted by tree, prefix, deep; with edge rows if the order goes on in other tasks.
+
+    Members of crowded regions come as rows without b and deep. A region that goes on in other tasks shows up to
+    ``SMALL_REGION`` rows of each part among the edge rows, so that it is crowded there if it is not within a task.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -120,7 +133,7 @@ def _neighbours(edges_only: bool):
         held: list[pa.RecordBatch] = []
         count = 0
 
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             tree, prefix, size = (rows.column(c).to_numpy() for c in ("tree", "prefix", "n"))
             node = rows.column("node").combine_chunks()
             n = len(tree)
@@ -138,9 +151,14 @@ def _neighbours(edges_only: bool):
             left = np.concatenate(left) if left else np.zeros(0, int)
             right = np.concatenate(right) if right else np.zeros(0, int)
             none = pa.nulls(len(left), pa.int64())
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [node.take(pa.array(left)), node.take(pa.array(right)), none.cast(pa.int32()), none, none, none], names=names
             )
+            many = rows.filter(pa.array(members > SMALL_REGION)).combine_chunks()
+            for part in many.select(["node", "tree", "prefix"]).to_batches():
+                a, tree, prefix = part.columns
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([a, pa.nulls(len(a), pa.binary()), tree, prefix, none, none], names=names)
 
         def edge(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks().to_batches()[0] if rows.num_rows else rows.schema.empty_table().to_batches()
@@ -158,14 +176,14 @@ def _neighbours(edges_only: bool):
                 if first and not edges_only:
                     yield edge(rows.slice(0, width))
                 first = False
-                yield pairs(rows)
+                yield from pairs(rows)
                 held = rows.slice(max(0, rows.num_rows - width)).to_batches()
                 count = 0
         if held:
             rows = pa.Table.from_batches(held)
             if first and not edges_only:
                 yield edge(rows.slice(0, width))
-            yield pairs(rows)
+            yield from pairs(rows)
             if not edges_only:
                 yield edge(rows.slice(max(0, rows.num_rows - width)))
 
@@ -175,18 +193,22 @@ def _neighbours(edges_only: bool):
 PAIR_DDL = "a binary, b binary, tree int, prefix long, deep long, n long"
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes with the number of times they met; nodes: node, n_shingles, labels."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (a < b) of nodes with the number of times they met; members of crowded regions: tree, prefix, node).
+
+    nodes: node, n_shingles, labels.
+    """
     rows = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("labels").alias("tree", "label"))
     rows = rows.select("tree", "label.prefix", "label.deep", "node", "n")
     order = ["tree", "prefix", "deep", "node"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_neighbours(False), PAIR_DDL), "neighbours")
-    edges = found.filter("b is null").select("tree", "prefix", "deep", F.col("a").alias("node"), "n").distinct()
+    edges = found.filter("b is null and deep is not null").select("tree", "prefix", "deep", F.col("a").alias("node"), "n").distinct()
     across = edges.repartition("tree").sortWithinPartitions(*order).mapInArrow(_neighbours(True), PAIR_DDL)
-    both = found.filter("b is not null").select("a", "b").unionAll(across.select("a", "b"))
-    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    both = found.filter("b is not null or deep is null").unionAll(stored(across, "neighbours-across"))
+    pairs = both.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b")
+    crowded = both.filter("b is null").select("tree", "prefix", F.col("a").alias("node")).distinct()
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("votes")), crowded
 
 
 def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +217,7 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            if 100 * both >= PERCENT * (len(p) + len(q) - both):
+            if _similar(np, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -210,6 +230,91 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_confirmed, "a binary, b binary")
 
 
+def _similar(np, x, y) -> bool:
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _joins(rows: list[tuple]) -> list[tuple]:
+    """Pairs of roots that links between two blocks join, or within one; rows: block, root, hashes.
+
+    Bits of a sketch are parities of the number of hashes that fall there, so sketches differ in no more bits than sets
+    differ in members; similar sets of p and q members differ in no more than (p + q) * (100 - PERCENT) / (100 + PERCENT).
+    """
+    import numpy as np
+
+    rows.sort(key=lambda row: row[0])
+    block = np.array([row[0] for row in rows])
+    roots, group = np.unique(np.array([row[1] for row in rows], object), return_inverse=True)
+    if len(roots) < 2:
+        return []
+    sets = [np.frombuffer(row[2], np.uint64) for row in rows]
+    size = np.array([len(x) for x in sets])
+    bits = min(max(SKETCH_BITS[0], 1 << int(2 * size.max() - 1).bit_length()), SKETCH_BITS[1])
+    sketches = np.empty((len(rows), bits // 64), np.uint64)
+    for i, x in enumerate(sets):
+        odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        sketches[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    group, found = group.copy(), []
+    other = int(np.searchsorted(block, block[-1]))  # the second block's first row
+    for i in range(other if other else len(rows)):
+        j = np.arange(max(i + 1, other), len(rows))
+        p, q = size[i], size[j]
+        j = j[(group[j] != group[i]) & (100 * np.minimum(p, q) >= PERCENT * np.maximum(p, q))]
+        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        j = j[(100 + PERCENT) * apart <= (100 - PERCENT) * (p + size[j])]
+        for k in j.tolist():
+            if group[k] != group[i] and _similar(np, sets[i], sets[k]):
+                found.append((rows[i][1], rows[k][1]))
+                group[group == group[k]] = group[i]
+    return found
+
+
+def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined roots of rows that come sorted by their two blocks: tree, prefix, low, high, block, root, hashes."""
+    out = Rows(pa.schema([("x", pa.binary()), ("y", pa.binary())]))
+    now, held = None, []
+    for batch in batches:
+        for *key, block, root, hashes in rows_of(batch):
+            if key != now:
+                for link in _joins(held) if held else ():
+                    out.add(link)
+                now, held = key, []
+            held.append((block, root, hashes))
+            if out.full():
+                yield out.take()
+    for link in _joins(held) if held else ():
+        out.add(link)
+    yield out.take()
+
+
+def settle(crowded: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of roots with similar members in a crowded region; roots: node, root; sets: node, hashes."""
+    region = ["tree", "prefix"]
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("_salt")
+    members = crowded.join(roots, "node", "left").select(*region, "node", F.coalesce("root", "node").alias("root"), salt)
+    members = stored(members, "crowded")
+    parts = members.groupBy(*region, "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(*region).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    # blocks of the largest component come after those of the others
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    still = sizes.filter("most.n < n").select(
+        *region, F.col("most.root").alias("_most"), blocks(F.col("n") - F.col("most.n")).alias("_others"), blocks(F.col("most.n")).alias("_own")
+    )
+    still = stored(still, "open-regions").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    most = F.col("root") == F.col("_most")
+    place = F.xxhash64(F.lit(1), "node")
+    dealt = members.join(still, [*region, "_salt"]).select(
+        *region, "node", "root",
+        F.when(most, F.col("_others") + F.pmod(place, "_own")).otherwise(F.pmod(place, "_others")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.when(most, F.col("_others") - 1).otherwise(F.col("_others") + F.col("_own") - 1))).alias("_with"),
+    )
+    unit = [*region, "low", "high"]
+    dealt = dealt.select(*region, F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "root", "node")
+    full = dealt.join(sets, "node").select(*unit, "block", "root", "hashes")
+    return full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_settled, "x binary, y binary").distinct()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, hashes for the wanted text_ids; of copies of one text, which come in a row, one counts."""
 
@@ -247,8 +352,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     nodes = facts.filter("node is not null").groupBy("node").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")
     )
-    pairs = stored(candidates(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs, crowded = candidates(nodes)
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
     wanted = wanted.join(facts.groupBy("node").agg(F.min("text_id").alias("text_id")), "node")
     sets = stored(full_sets(texts, wanted, words), "sets")
     # first round: the best partner of each node
@@ -265,6 +371,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     links = first.unionAll(confirm(rest.select("a", "b"), sets))
     final = stored(components(links), "roots")
     joined = least.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # last: crowded regions with several components
+    more = stored(settle(crowded, final, sets), "settled")
+    if not more.isEmpty():
+        merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+        joined = joined.join(merged, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
     smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = joined.filter("root is not null").join(smallest, "root").select("node", "component_id")
     return rows, member

@@ -81,6 +81,34 @@ def test_planted(spark):
     check(spark, planted(), 4)
 
 
+def crowds():
+    """A template with variants that are similar to it and not to each other, and a chain of edits; several hundred each."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def edited(words):
+        new = list(words)
+        for i in rng.sample(range(4, len(words) - 4, 4), len(words) // 40):
+            new[i] = word()
+        return new
+
+    texts, template = [], [word() for _ in range(400)]
+    texts += [edited(template) for _ in range(300)] + [template]
+    chain = [[word() for _ in range(400)]]
+    while len(chain) < 300:
+        chain.append(edited(chain[-1]))
+    # many that share two thirds, so that they crowd regions, and a few near-copies among them
+    base = [word() for _ in range(400)]
+    apart = [base[:330] + [word() for _ in range(70)] for _ in range(300)]
+    texts += chain + apart + [edited(apart[i]) for i in range(0, 300, 7)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_crowded_regions(spark):
+    check(spark, crowds(), 4)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     check(spark, [(r.doc_id, r.text) for r in odd_docs.collect()], 5, odd_docs)
     assert with_components(no_docs).count() == 0
