@@ -17,8 +17,9 @@ from landq.streaming.sources import event_time, stream_table
 
 @query("t1_stream_ingest", sql="select distinct sha256(text) sha256 from documents", streaming=True)
 def ingest(spark, sf):
+    jobs.use_rocksdb(spark)
     docs = stream_table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000))
-    return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts").select("sha256"), "ingest")
+    return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts", delay=None).select("sha256"), "ingest")
 
 
 @query("t1_stream_checks", sql=CATALOGUE["v9_identifier_format"].sql, streaming=True)
@@ -34,9 +35,10 @@ def checks(spark, sf):
 )
 def news(spark, sf):
     """Uploads whose content is not in the archive yet: the even documents are its history."""
+    jobs.use_rocksdb(spark)
     docs = stream_table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000))
     held = read_table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts", history=held).select("sha256"), "news")
+    return jobs.run_to_table(jobs.first_uploads(docs, "text", "ts", delay=None, history=held).select("sha256"), "news")
 
 
 ALONE = "', '".join(RECORD_RULES)

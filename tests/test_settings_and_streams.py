@@ -1,8 +1,11 @@
 """Rule tables with history, regional digits, signatures, streams over folders, and queries tested without SQL."""
 
+import functools
 import hashlib
 import hmac
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,24 @@ def test_streams_over_folders(spark, folders, name):
     assert same(run(spark, folders), run(spark, SF))
 
 
+@pytest.mark.parametrize("name", ["t1_stream_ingest", "t1_stream_history"])
+def test_uploads_over_several_triggers(spark, tmp_path, monkeypatch, name):
+    """Files of far and falling ids, one a trigger, with copies across them, against the query's own SQL."""
+    folder, files = tmp_path / "documents.parquet", set()
+    for at, first in enumerate([900_001, 500_001, 1]):
+        rows = [(first + 2 * i, f"text {i + 5 * at}") for i in range(10)] + [(first + 1, f"even {at}"), (first + 101, "even 0")]
+        part = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        part.write.mode("append").parquet(str(folder))
+        for f in set(folder.glob("*.parquet")) - files:
+            os.utime(f, (1_000_000 + at * 100, 1_000_000 + at * 100))
+            files.add(f)
+    monkeypatch.setattr(streams, "stream_table", functools.partial(stream_table, trigger_bytes=1))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/*.parquet'")
+    want = sorted(r[0] for r in con.execute(CATALOGUE[name].sql).fetchall())
+    assert sorted(r.sha256 for r in CATALOGUE[name].run(spark, str(tmp_path)).collect()) == want
+
+
 def test_a_stream_without_files_is_an_error(spark, folders):
     with pytest.raises(Exception, match="(?i)not.exist|not_found"):
         stream_table(spark, folders, "nothing")
