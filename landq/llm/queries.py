@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from landq.llm.chat import OP2_SQL, op2_chat
 from landq.llm.lexicon import op6_bpe
+from landq.llm.lines import OP13_SQL, op13_shared_lines
+from landq.llm.manifest import OP12_SQL, op12_manifest
 from landq.llm.near_duplicates import OP4_SQL, op4_near_duplicates
 from landq.llm.outliers import op7_quality, op7_sql
 from landq.llm.packing import op8_packing
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_warc,
         op10_sharding,
+        op12_manifest,
+        op13_shared_lines,
     )
 }
 
@@ -40,4 +44,6 @@ SQL: dict[str, str] = {
     "op5_repeats": OP5_SQL,
     "op7_quality": op7_sql(),
     "op9_warc": OP9_SQL,
+    "op12_manifest": OP12_SQL,
+    "op13_shared_lines": OP13_SQL,
 }
