@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from landq.llm.chat import OP2_SQL, op2_chat
+from landq.llm.collocations import OP11_SQL, op11_collocations
 from landq.llm.lexicon import op6_bpe
 from landq.llm.lines import OP13_SQL, op13_shared_lines
 from landq.llm.manifest import OP12_SQL, op12_manifest
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_warc,
         op10_sharding,
+        op11_collocations,
         op12_manifest,
         op13_shared_lines,
     )
@@ -44,6 +46,7 @@ SQL: dict[str, str] = {
     "op5_repeats": OP5_SQL,
     "op7_quality": op7_sql(),
     "op9_warc": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_manifest": OP12_SQL,
     "op13_shared_lines": OP13_SQL,
 }
