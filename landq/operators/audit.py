@@ -4,7 +4,9 @@ A single chain would force one task to write everything. Here each chain (a docu
 them) is cut into segments of a fixed number of entries, and a segment starts from a seed of its own, so
 no task ever handles more than one segment at a time. The head table is a second chain, over the segments'
 last hashes. Changing, dropping or swapping entries breaks a hash; a segment that is gone breaks the link
-of the next one; a segment that was rewritten as a whole, or cut off at the end, differs from its head.
+of the next one; a segment that was rewritten as a whole, or cut off at the end, differs from its head. The
+heads of a batch are the leaves of a digest tree, and the roots of the batches form a chain of their own: whoever
+holds its last hash can tell whether any head, and so any entry, has changed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landq.functions.hashing import GENESIS, chain_hash, chain_step, payload
+from landq.operators import merkle
 from landq.operators.ordered import HOT_ROWS, hot_keys, ranked
 
 SEGMENT_ROWS = 100_000
@@ -138,18 +141,19 @@ def verify_chain(log: DataFrame, chain: str, hashed: list[str], segment_rows: in
     """chain, seq, broken: null, 'link' (previous hash does not fit) or 'content' (entry was changed).
 
     A segment starts from its own seed, so each one is checked on its own: one shuffle by (chain, segment),
-    groups of bounded size however long a chain is. Its first entry also needs the whole segment before it:
-    a segment that is gone or incomplete breaks the next one's link.
+    groups of bounded size however long a chain is. Its first entry also needs the last entry of the segment
+    before it; a hole inside a segment is reported where it is, and only there.
     """
     segment = F.floor(F.col("seq") / segment_rows).cast("long")
     w = Window.partitionBy(chain, "_segment").orderBy("seq")
     near = log.withColumn("_segment", segment).withColumns(
         {"_before": F.lag("current_hash").over(w), "_place": F.lag("seq").over(w)}
     )
-    sizes = log.groupBy(F.col(chain).alias("_c"), (segment + 1).alias("_s")).agg(F.count(F.lit(1)).alias("_size_before"))
-    near = near.join(sizes, near[chain].eqNullSafe(sizes["_c"]) & (near["_segment"] == sizes["_s"]), "left")
+    lasts = log.filter((F.col("seq") + 1) % segment_rows == 0).select(F.col(chain).alias("_c"), (segment + 1).alias("_s"))
+    lasts = lasts.distinct().withColumn("_ended", F.lit(True))
+    near = near.join(lasts, near[chain].eqNullSafe(lasts["_c"]) & (near["_segment"] == lasts["_s"]), "left")
     # a link to a missing entry is a break too: nothing to compare with is not a match
-    complete = (F.col("_segment") == 0) | F.coalesce(F.col("_size_before") == segment_rows, F.lit(False))
+    complete = (F.col("_segment") == 0) | F.coalesce(F.col("_ended"), F.lit(False))
     first = F.col("seq") % segment_rows == 0
     expected = F.when(first & complete, segment_seed(F.col(chain), F.col("_segment"))).when(
         ~first &
@@ -162,6 +166,24 @@ def verify_chain(log: DataFrame, chain: str, hashed: list[str], segment_rows: in
     return near.select(F.col(chain), F.col("seq"), broken.alias("broken"), F.col("current_hash"))
 
 
+def sealed_breaks(log: DataFrame, heads: DataFrame, chain: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """chain_id, seq, broken of the heads that the log does not bear out any more.
+
+    ``missing``: the entry that a head names is gone, from ``seq`` on as far as the segment goes; so is a cut-off tail, a
+    segment or a whole chain. ``rewritten``: it has another hash, whatever the log itself says; the segment begins at
+    ``seq``. Entries appended since then don't matter, so heads may be older than the log.
+    """
+    ends = log.select(F.col(chain).alias("_c"), F.col("seq").alias("_at"), F.col("current_hash").alias("_now"))
+    last = F.col("segment") * segment_rows + F.col("entries") - 1
+    met = heads.join(ends, heads["chain_id"].eqNullSafe(ends["_c"]) & (last == ends["_at"]), "left").filter(~F.col("_now").eqNullSafe(F.col("last_hash")))
+    left = log.groupBy(F.col(chain).alias("_l"), F.floor(F.col("seq") / segment_rows).cast("long").alias("_s")).agg(F.max("seq").alias("_max"))
+    met = met.join(left, met["chain_id"].eqNullSafe(left["_l"]) & (met["segment"] == left["_s"]), "left")
+    start = F.col("segment") * segment_rows
+    gone = F.col("_now").isNull()
+    seq = F.when(gone & F.col("_max").isNotNull(), F.least(F.col("_max") + 1, last)).otherwise(start)
+    return met.select("chain_id", seq.cast("long").alias("seq"), F.when(gone, "missing").otherwise("rewritten").alias("broken"))
+
+
 def missing_tails(log: DataFrame, heads: DataFrame, chain: str) -> DataFrame:
     """Segments that no longer end as the head table says."""
     now = segment_heads(log, chain).withColumnsRenamed({"last_hash": "_hash", "entries": "_entries"})
@@ -170,13 +192,71 @@ def missing_tails(log: DataFrame, heads: DataFrame, chain: str) -> DataFrame:
     return joined.filter(~same).select("chain_id", "segment")
 
 
-def chain_summary(verified: DataFrame, chain: str) -> DataFrame:
-    """Per chain: valid, blocks, first break and its kind, latest hash."""
+def chain_summary(verified: DataFrame, chain: str, sealed: DataFrame | None = None) -> DataFrame:
+    """Per chain: valid, blocks, first break and its kind, latest hash.
+
+    With ``sealed`` (from sealed_breaks) what the log itself cannot show counts as well: cut-off tails, rewritten
+    segments, and chains that are gone, which come back as rows of no blocks.
+    """
+    rows = verified.select(chain, "seq", "broken", "current_hash", F.lit(1).alias("_n"))
+    if sealed is not None:
+        rows = rows.unionAll(sealed.select("chain_id", "seq", "broken", F.lit(None).cast("string"), F.lit(0)))
     bad = F.col("broken").isNotNull()
-    return verified.groupBy(chain).agg(
-        F.count(F.lit(1)).alias("total_blocks"),
+    return rows.groupBy(chain).agg(
+        F.sum("_n").alias("total_blocks"),
         (F.count_if(bad) == 0).alias("chain_valid"),
         F.min(F.when(bad, F.col("seq"))).alias("broken_at"),
-        F.min_by("broken", F.when(bad, F.col("seq"))).alias("break_kind"),
-        F.max_by("current_hash", "seq").alias("latest_hash"),
+        # at one place, what the log itself shows comes first
+        F.min_by("broken", F.when(bad, F.struct("seq", (F.col("_n") == 0).alias("_sealed")))).alias("break_kind"),
+        F.max_by("current_hash", F.when(F.col("_n") == 1, F.col("seq"))).alias("latest_hash"),
     )
+
+
+# ---------------------------------------------------------------- seals
+
+
+def batch_heads(log: DataFrame, chain: str, batch: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """batch, chain_id, segment, last_hash, entries: the heads of the segments that each batch wrote to, as it left them."""
+    held = log.groupBy(F.col(batch).alias("batch"), F.col(chain).alias("chain_id"), "segment").agg(
+        F.max_by("current_hash", "seq").alias("last_hash"), F.max("seq").alias("_seq")
+    )
+    return held.select("batch", "chain_id", "segment", "last_hash", (F.col("_seq") - F.col("segment") * segment_rows + 1).alias("entries"))
+
+
+def head_leaf() -> Column:
+    return merkle.leaf_hash(F.col("chain_id"), F.col("segment"), F.col("entries"), F.col("last_hash"))
+
+
+def placed_heads(heads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds pos, a head's place in its batch's tree: by the hash of the chain's name, which spreads them, then by segment."""
+    named = heads.withColumn("_h", F.sha2(F.col("chain_id").cast("string"), 256))
+    order, splits = ["_h", "chain_id", "segment"], [F.substring("_h", 1, 3)]
+    return ranked(named, ["batch"], order, splits, "pos", hot_rows).withColumn("pos", F.col("pos") - 1).drop("_h")
+
+
+def sealed_tree(heads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Nodes of the digest trees over the heads of each batch, one tree for a batch."""
+    placed = placed_heads(heads, hot_rows)
+    return merkle.tree_nodes(placed.select(F.col("batch").alias("tree"), "pos", head_leaf().alias("digest")))
+
+
+def batch_seals(nodes: DataFrame) -> DataFrame:
+    """batch, heads, root and the hash chain over the roots; its last hash stands for the whole log.
+
+    One row for each batch; kept where the log's writers cannot reach, it shows any change to log and heads.
+    """
+    sizes = nodes.filter("level = 0").groupBy("tree").agg(F.count(F.lit(1)).alias("heads"))
+    listed = merkle.roots(nodes).join(sizes, "tree").select(F.lit("seals").alias("log"), F.col("tree").alias("batch"), "heads", "root")
+    return append_chain(listed, "log", ["batch"], [F.col("batch")], ["batch", "heads", "root"]).drop("log", "segment")
+
+
+def seal_breaks(heads: DataFrame, seals: DataFrame) -> DataFrame:
+    """batch, valid: whether the heads that are presented give the root that was sealed."""
+    now = merkle.roots(sealed_tree(heads)).select(F.col("tree").alias("batch"), F.col("root").alias("_now"))
+    return seals.join(now, "batch", "left").select("batch", F.col("root").eqNullSafe(F.col("_now")).alias("valid"))
+
+
+def head_proofs(heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """batch, chain_id, segment, digest, proof: enough to show one head to somebody who holds the batch's root alone."""
+    found = merkle.proofs(nodes).withColumnRenamed("tree", "batch")
+    return placed_heads(heads).select("batch", "chain_id", "segment", "pos").join(found, ["batch", "pos"]).drop("pos")

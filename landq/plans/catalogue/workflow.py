@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landq.functions.hashing import GENESIS
-from landq.operators import audit, ordered, ownership, review
+from landq.operators import audit, merkle, ordered, ownership, review
 from landq.plans.catalogue import sqltext as q
 from landq.plans.catalogue.registry import query
 from landq.plans.catalogue.scoring import fields
@@ -175,14 +175,21 @@ def chained(spark, sf):
 
 
 CELLS = ", ".join(f"cast({c} as varchar)" for c in ["user_id", "seq", *HASHED])
-CHAIN = f"""recursive e as (select *, cast(to_json([{CELLS}]) as varchar) body, cast(floor(seq / {SEGMENT}) as bigint) segment
-        from (select *, row_number() over (partition by user_id order by us, event_id) - 1 seq from ({ENTRIES}) x) y),
+
+
+def chain_sql(rows: str) -> str:
+    """The hash chain ``c`` over entries, as steps of a recursive statement."""
+    return f"""recursive e as (select *, cast(to_json([{CELLS}]) as varchar) body, cast(floor(seq / {SEGMENT}) as bigint) segment
+        from (select *, row_number() over (partition by user_id order by us, event_id) - 1 seq from ({rows}) x) y),
       s as (select *, case when segment = 0 then '{GENESIS}' else sha256(concat(user_id, ':', segment)) end seed from e),
-      c as (select user_id, event_id, seq, segment, seed previous_hash, sha256(seed || body) current_hash from s where seq % {SEGMENT} = 0
-        union all select s.user_id, s.event_id, s.seq, s.segment, c.current_hash, sha256(c.current_hash || s.body)
+      c as (select user_id, event_id, us, seq, segment, seed previous_hash, sha256(seed || body) current_hash from s where seq % {SEGMENT} = 0
+        union all select s.user_id, s.event_id, s.us, s.seq, s.segment, c.current_hash, sha256(c.current_hash || s.body)
           from c join s on s.user_id = c.user_id and s.seq = c.seq + 1 and s.seq % {SEGMENT} <> 0)"""
 
 
+CHAIN = chain_sql(ENTRIES)
+
+
 @query("w2_audit_append", sql=f"with {CHAIN} select user_id, event_id, seq, segment, previous_hash, current_hash from c")
 def append(spark, sf):
     return chained(spark, sf).select("user_id", "event_id", "seq", "segment", "previous_hash", "current_hash")
@@ -219,8 +226,7 @@ def missing_segment(spark, sf):
 
 @query(
     "w1_link_break",
-    sql=f"""select user_id, seq, case when seq % {SEGMENT} = 8 or seq % {SEGMENT} = 0 and seq > 0 then 'link' end broken
-        from ({NUMBERED}) y where seq % {SEGMENT} <> 7""",
+    sql=f"""select user_id, seq, case when seq % {SEGMENT} = 8 then 'link' end broken from ({NUMBERED}) y where seq % {SEGMENT} <> 7""",
 )
 def link_break(spark, sf):
     """The log without one entry of every segment."""
@@ -268,6 +274,142 @@ def heads(spark, sf):
     return audit.segment_heads(chained(spark, sf), "user_id")
 
 
+CUT = 3
+
+
+def sizes(log):
+    return log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_off(log, which):
+    """The log without the last entries of some chains."""
+    kept = ~which | (F.col("seq") < F.col("n") - CUT)
+    return log.join(sizes(log), "user_id").filter(kept).drop("n")
+
+
+def rewritten(log, which):
+    """The log after somebody changed the second segment of some chains and worked out all hashes anew."""
+    forged = F.col("cents") + F.when(which & (F.col("segment") == 1), 1).otherwise(0)
+    entered = log.select("user_id", "event_id", "event_type", forged.alias("cents"), "ts", "us")
+    return audit.append_chain(entered, "user_id", ["us", "event_id"], [F.floor(F.col("us") / 86_400_000_000)], HASHED, SEGMENT)
+
+
+COUNTED = f"select user_id, seq, seq // {SEGMENT} segment, count(*) over (partition by user_id) n from ({NUMBERED}) y"
+
+
+@query(
+    "w1_cut_tail",
+    sql=f"""select user_id chain_id, greatest(n - {CUT}, segment * {SEGMENT}) seq, 'missing' broken from (select distinct user_id, segment, n from ({COUNTED}) k) t
+        where user_id % 2 = 0 and least(n, (segment + 1) * {SEGMENT}) > n - {CUT}""",
+)
+def cut_tail(spark, sf):
+    """Chains that end too early, which only the heads can tell."""
+    log = chained(spark, sf)
+    kept = cut_off(log, F.col("user_id") % 2 == 0)
+    return audit.sealed_breaks(kept, audit.segment_heads(log, "user_id"), "user_id", SEGMENT)
+
+
+@query(
+    "w1_removed_chain",
+    sql=f"select distinct user_id chain_id, segment * {SEGMENT} seq, 'missing' broken from ({COUNTED}) k where user_id % 7 = 0",
+)
+def removed_chain(spark, sf):
+    log = chained(spark, sf)
+    return audit.sealed_breaks(log.filter("user_id % 7 <> 0"), audit.segment_heads(log, "user_id"), "user_id", SEGMENT)
+
+
+@query(
+    "w1_rewritten_segment",
+    sql=f"select distinct user_id chain_id, {SEGMENT}::bigint seq, 'rewritten' broken from ({COUNTED}) k where user_id % 3 = 0 and n > {SEGMENT}",
+)
+def rewritten_segment(spark, sf):
+    """Every link of these logs fits; the heads differ."""
+    log = chained(spark, sf)
+    return audit.sealed_breaks(rewritten(log, F.col("user_id") % 3 == 0), audit.segment_heads(log, "user_id"), "user_id", SEGMENT)
+
+
+FORGED = f"select user_id, event_id, event_type, cents + case when user_id % 4 = 3 and seq // {SEGMENT} = 1 then 1 else 0 end cents, ts, us from ({NUMBERED}) f"
+
+
+@query(
+    "a12_with_heads",
+    sql=f"""with {chain_sql(FORGED)}, z as (select *, count(*) over (partition by user_id) n from c),
+        k as (select *, not (user_id % 4 = 2 or user_id % 4 = 1 and seq >= n - {CUT}) kept from z)
+        select user_id, count(*) filter (kept) total_blocks, user_id % 4 = 0 or user_id % 4 = 3 and n <= {SEGMENT} chain_valid,
+          case when user_id % 4 = 1 then greatest(n - {CUT}, 0) when user_id % 4 = 2 then 0 when user_id % 4 = 3 and n > {SEGMENT} then {SEGMENT} end broken_at,
+          case when user_id % 4 in (1, 2) then 'missing' when user_id % 4 = 3 and n > {SEGMENT} then 'rewritten' end break_kind,
+          arg_max(current_hash, seq) filter (kept) latest_hash from k group by user_id, n""",
+)
+def summary_with_heads(spark, sf):
+    """A log with intact chains, cut tails, removed chains and rewritten segments, judged with the heads of the true one."""
+    log = chained(spark, sf)
+    kind = F.col("user_id") % 4
+    now = cut_off(rewritten(log, kind == 3), kind == 1).filter(kind != 2)
+    verified = audit.verify_chain(now, "user_id", HASHED, SEGMENT)
+    return audit.chain_summary(verified, "user_id", audit.sealed_breaks(now, audit.segment_heads(log, "user_id"), "user_id", SEGMENT))
+
+
+WEEK = 7 * 86_400_000_000
+SEALED = f"""{CHAIN}, heads as (select us // {WEEK} batch, user_id chain_id, segment, arg_max(current_hash, seq) last_hash, max(seq) - segment * {SEGMENT} + 1 entries
+        from c group by 1, 2, 3),
+      leaves as (select *, row_number() over (partition by batch order by sha256(cast(chain_id as varchar)), chain_id, segment) - 1 pos,
+        count(*) over (partition by batch) n, sha256('leaf:' || cast(to_json([cast(chain_id as varchar), cast(segment as varchar), cast(entries as varchar), last_hash]) as varchar)) digest
+        from heads),
+      nodes as (select batch, 0 as level, pos, n, digest from leaves
+        union all select a.batch, a.level + 1, a.pos // 2, (a.n + 1) // 2, case when b.digest is null then a.digest else sha256('node:' || a.digest || b.digest) end
+          from nodes a left join nodes b on b.batch = a.batch and b.pos = a.pos + 1 where a.pos % 2 = 0 and a.n > 1)"""
+
+
+def weekly_heads(spark, sf):
+    log = chained(spark, sf).withColumn("batch", F.floor(F.col("us") / WEEK))
+    return audit.batch_heads(log, "user_id", "batch", SEGMENT)
+
+
+@query(
+    "w1_batch_seals",
+    sql=f"""with {SEALED}, r as (select batch, digest root, row_number() over (order by batch) - 1 seq from nodes where n = 1),
+        b as (select r.*, (select count(*) from leaves l where l.batch = r.batch) heads from r),
+        p as (select *, cast(to_json(['seals', cast(seq as varchar), cast(batch as varchar), cast(heads as varchar), root]) as varchar) body from b),
+        x as (select batch, heads, root, seq, '{GENESIS}' previous_hash, sha256('{GENESIS}' || body) current_hash from p where seq = 0
+          union all select p.batch, p.heads, p.root, p.seq, x.current_hash, sha256(x.current_hash || p.body) from x join p on p.seq = x.seq + 1)
+        select * from x""",
+)
+def batch_seals(spark, sf):
+    """One root for each week's writing, and the chain over the roots."""
+    return audit.batch_seals(audit.sealed_tree(weekly_heads(spark, sf)))
+
+
+@query(
+    "w1_forged_heads",
+    sql=f"with w as (select distinct us // {WEEK} batch from ({ENTRIES}) e) select batch, batch % 2 <> 0 valid from w",
+)
+def forged_heads(spark, sf):
+    """Heads of which one was changed in every second batch, against the sealed roots."""
+    heads = weekly_heads(spark, sf)
+    seals = audit.batch_seals(audit.sealed_tree(heads))
+    chosen = heads.groupBy("batch").agg(F.min(F.struct("chain_id", "segment")).alias("f"))
+    one = (F.col("batch") % 2 == 0) & (F.struct("chain_id", "segment") == F.col("f"))
+    presented = heads.join(chosen, "batch").withColumn("entries", F.col("entries") + one.cast("int")).drop("f")
+    return audit.seal_breaks(presented, seals)
+
+
+@query(
+    "w1_head_proofs",
+    sql=f"""with {SEALED}, walk as (select batch, chain_id, segment, 0 as level, pos, n, '' path, 0 as steps from leaves
+          union all select w.batch, w.chain_id, w.segment, w.level + 1, w.pos // 2, (w.n + 1) // 2, w.path || coalesce(s.digest, ''), w.steps + (s.digest is not null)::int
+          from walk w left join nodes s on s.batch = w.batch and s.level = w.level and s.pos = xor(w.pos, 1) where w.n > 1)
+        select batch, chain_id, segment, steps, sha256(path) path_hash, true verified from walk where n = 1""",
+)
+def head_proofs(spark, sf):
+    """What shows each head to somebody who holds the week's root alone."""
+    heads = weekly_heads(spark, sf)
+    nodes = audit.sealed_tree(heads)
+    found = audit.head_proofs(heads, nodes).join(audit.batch_seals(nodes).select("batch", "root"), "batch")
+    path = F.sha2(F.concat_ws("", F.transform("proof", lambda p: p["sibling"])), 256)
+    shown = merkle.folded(F.col("digest"), F.col("proof")) == F.col("root")
+    return found.select("batch", "chain_id", "segment", F.size("proof").alias("steps"), path.alias("path_hash"), shown.alias("verified"))
+
+
 @query(
     "w7_sliding_requests",
     sql="select event_id, count(*) over (partition by user_id order by ts range between interval 86400 seconds preceding and current row) n from events",
