@@ -7,8 +7,9 @@
    added up in two rounds, those of the others are dealt finely.
 3. Frequent pairs are ranked in turn, ``PAIRS`` at most have ids, and a pair's id with the next word's id is counted in
    the same way, which gives phrases of three words.
-4. Phrases with words or pairs beyond the two lists are counted as plain rows. That step is left out where the lists
-   hold all that is frequent enough, since all parts of a frequent phrase are frequent too.
+4. Phrases with words or pairs beyond the two lists are counted as plain rows. All parts of a frequent phrase are
+   frequent, so bitmaps of the frequent words and pairs beyond the lists (of fixed size; a false hit costs a row and
+   changes nothing) keep most others out, and the step is left out where the lists hold all that is frequent enough.
 
 Texts are taken whole, null as empty; a null lang counts as ``und``. Words and pieces are told by ASCII characters only,
 so bytes are as good as characters. Equal scores are ordered by frequency, then by phrase; repeated rows count each
@@ -29,15 +30,17 @@ from landq.llm.common import Rows, rows_of, stored, table, task_number
 
 LEAST = 10
 TOP = 2000
-#: Words and pairs that have ids; the bound of what the driver and every worker hold.
-WORDS, PAIRS = 1 << 18, 1 << 21
+#: Words and pairs that have ids: some 40 bytes each, which the driver and every worker hold.
+WORDS, PAIRS = 1 << 20, 1 << 21
+#: Places in a bitmap of what is frequent beyond these lists; 32 MB at most.
+BITMAP_BITS = 28
 SIDE_BITS = 11
 SIDE = 1 << SIDE_BITS
 #: Tiles (i, j) with (i + 1) * (j + 1) up to this are counted with a place for each cell.
 CORNER = 8
 CORNER_TILES = [(i, j) for i in range(CORNER) for j in range(CORNER) if (i + 1) * (j + 1) <= CORNER]
 #: Words or pairs that a task counts at a time.
-HELD_WORDS, HELD_PAIRS = 400_000, 1 << 22
+HELD_WORDS, HELD_PAIRS = 300_000, 1 << 20
 #: Occurrences of words for each deal of sparse tiles, and deals in which a corner tile is added up first.
 DEALT, SALTS = 500_000, 16
 #: Deals of a language's phrases whose best are found before the best of all.
@@ -93,29 +96,80 @@ def most_frequent(counted: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return counted, True
 
 
+def _word_keys(lang: str, words: Iterable[bytes]):
+    """Two halves of a 128-bit hash for each word of a language."""
+    import numpy as np
+    import xxhash
+
+    name = lang.encode()
+    start = b"%d:%b" % (len(name), name)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(start + w) for w in words]), np.uint64)
+    return digests[0::2], digests[1::2]
+
+
 class Ranks:
     """Ids of frequent words and pairs by rank; words belong to a language."""
 
-    def __init__(self, words: list[tuple[str, str]], pairs=None):
+    def __init__(self, words: pa.Table, pairs=None):
+        """words: lang, word in order of rank; pairs: arrays of left and right word ids in order of rank."""
         import numpy as np
 
-        self.words = words
-        self.known: dict[str, dict[bytes, int]] = {}
-        for i, (lang, word) in enumerate(words):
-            self.known.setdefault(lang, {b"": NOTHING, b"\n": BREAK})[word.encode()] = i
+        self.words = words["word"].combine_chunks()
+        self.langs = words["lang"].combine_chunks().dictionary_encode()
+        high, low = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+        codes, spelled = self.langs.indices.to_numpy(), self.words.cast(pa.binary())
+        for code, lang in enumerate(self.langs.dictionary.to_pylist()):
+            at = np.flatnonzero(codes == code)
+            for part in range(0, len(at), 10_000):
+                few = at[part : part + 10_000]
+                high[few], low[few] = _word_keys(lang, spelled.take(pa.array(few)).to_pylist())
+        self.word_order = np.argsort(high, kind="stable").astype(np.int32)
+        self.high, self.low = high[self.word_order], low[self.word_order]
+        self.caches: dict[str, dict[bytes, int]] = {}
         self.left, self.right = (np.zeros(0, np.int64),) * 2 if pairs is None else pairs
         keys = self.left << 32 | self.right
-        self.order = np.argsort(keys)
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
 
+    def table(self) -> pa.Table:
+        return pa.table({"lang": self.langs.cast(pa.string()), "word": self.words})
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"caches": {}}
+
+    def _found(self, lang: str, words: list[bytes]) -> list[int]:
+        import numpy as np
+
+        if not len(self.high):
+            return [UNKNOWN] * len(words)
+        high, low = _word_keys(lang, words)
+        at = np.searchsorted(self.high, high)
+        out = np.full(len(words), UNKNOWN, np.int64)
+        open_ = np.arange(len(words))
+        while len(open_):  # words with one first half stand in a row; a second round is next to never needed
+            inside = at[open_] < len(self.high)
+            open_ = open_[inside]
+            same = self.high[at[open_]] == high[open_]
+            open_ = open_[same]
+            hit = self.low[at[open_]] == low[open_]
+            out[open_[hit]] = self.word_order[at[open_[hit]]]
+            open_ = open_[~hit]
+            at[open_] += 1
+        return out.tolist()
+
     def ids(self, lang: str, raw: bytes):
         """Ids of a text's words in a row, with BREAK between pieces and behind the text."""
         import numpy as np
 
         tokens = raw.translate(FOLDED).replace(b"\n", b" \n ").split(b" ")
         tokens.append(b"\n")
-        known = self.known.get(lang, {b"": NOTHING, b"\n": BREAK})
-        found = np.fromiter(map(known.get, tokens, repeat(UNKNOWN)), np.int64, len(tokens))
+        known = self.caches.get(lang)
+        if known is None or len(known) > HELD_WORDS // 2:
+            known = self.caches[lang] = {b"": NOTHING, b"\n": BREAK}
+        new = list(set(tokens).difference(known))
+        if new:
+            known.update(zip(new, self._found(lang, new), strict=True))
+        found = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         return found[found != NOTHING]
 
     def pairs(self, ids):
@@ -127,7 +181,34 @@ class Ranks:
         known = (ids[:-1] >= 0) & (ids[1:] >= 0)
         keys = np.where(known, ids[:-1] << 32 | np.maximum(ids[1:], 0), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.order[at], -1)
+        return np.where(self.keys[at] == keys, self.order[at], -1).astype(np.int64)
+
+
+class Bits:
+    """A bitmap of hashes of rows of texts, of fixed size."""
+
+    def __init__(self, df: DataFrame, *columns: str):
+        import numpy as np
+
+        place = F.xxhash64(*columns).bitwiseAND((1 << BITMAP_BITS) - 1)
+        parts = df.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+        self.image = np.zeros((1 << BITMAP_BITS) // 8 + 8192, np.uint8)
+        # 4 KB for each 32,768 places: 32 MB at most, however many rows there are
+        for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
+            start = (r["bucket"] - 1) * 4096
+            self.image[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, *values: bytes) -> bool:
+        import xxhash
+
+        seed = 42
+        for value in values:
+            seed = xxhash.xxh64_intdigest(value, seed=seed)
+        # position 0 of a bucket stands for the number that ends the bucket before it
+        at = seed & ((1 << BITMAP_BITS) - 1)
+        bucket, position = (at + 32767) // 32768, (at - 1) % 32768
+        at = (bucket - 1) * 32768 + position if at else 0
+        return bool(self.image[at >> 3] >> (at & 7) & 1)
 
 
 def cell_keys(left, right):
@@ -249,96 +330,115 @@ class Sums:
         return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def _summed(last: bool):
-    """Sums over rows that come in order of deal; a corner tile's first round keeps all counts, others keep frequent ones."""
+def _summed(finish):
+    """Sums over rows that come in order of deal, handed on as ``finish(deal, keys, counts)`` gives them.
+
+    In the first round a corner tile keeps all counts, other tiles are through and keep frequent ones.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        out = Rows(pa.schema([("deal", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
         sums: Sums | None = None
+        group = None
 
-        def done() -> None:
+        def done() -> Iterator[pa.RecordBatch]:
             keys, counts = sums.total()
-            if last or sums.cells is None:
+            if finish is not _partial or sums.cells is None:
                 kept = counts >= LEAST
                 keys, counts = keys[kept], counts[kept]
             if len(keys):
-                out.add((sums.deal, keys.tobytes(), counts.tobytes()), 16 * len(keys))
+                yield finish(sums.deal, keys, counts)
 
-        group = None
         for batch in batches:
             for deal, salt, keys, counts in rows_of(batch, 20):
                 if (deal, salt) != group:
                     if sums:
-                        done()
-                        if out.full():
-                            yield out.take()
+                        yield from done()
                     sums, group = Sums(deal), (deal, salt)
                 sums.add(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64))
         if sums:
-            done()
-        yield out.take()
+            yield from done()
 
     return run
 
 
-def frequent_cells(docs: DataFrame, ranks: Ranks, deals: int, triples: bool = False) -> DataFrame:
-    """left, right, n of frequent pairs of ids: two words, or with ``triples`` a pair and a word."""
-    rows = _tally(docs, ranks, deals, triples)
-    ddl = "deal long, keys binary, counts binary"
-    first = rows.repartition("deal", "salt").sortWithinPartitions("deal", "salt").mapInArrow(_summed(False), ddl)
-    whole = first.withColumn("salt", F.lit(0).cast("long")).select("deal", "salt", "keys", "counts")
-    second = whole.repartition("deal").sortWithinPartitions("deal").mapInArrow(_summed(True), ddl)
+def _partial(deal: int, keys, counts) -> pa.RecordBatch:
+    columns = [pa.array([deal], pa.int64()), pa.array([0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, counts))]
+    return pa.RecordBatch.from_arrays(columns, names=["deal", "salt", "keys", "counts"])
 
-    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        for batch in batches:
-            for _, keys, counts in rows_of(batch, 1):
-                left, right = cell_ids(np.frombuffer(keys, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(np.frombuffer(counts, np.int64))], names=["left", "right", "n"])
+def _cells(deal: int, keys, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, cell_ids(keys)), pa.array(counts)], names=["left", "right", "n"])
+
 
-    return second.mapInArrow(cells, "left long, right long, n long")
+def _frequent(docs: DataFrame, ranks: Ranks, deals: int, triples: bool, finish, ddl: str) -> DataFrame:
+    rows = _tally(docs, ranks, deals, triples)
+    first = rows.repartition("deal", "salt").sortWithinPartitions("deal", "salt").mapInArrow(_summed(_partial), rows.schema)
+    return first.repartition("deal").sortWithinPartitions("deal").mapInArrow(_summed(finish), ddl)
+
+
+def frequent_pairs(docs: DataFrame, ranks: Ranks, deals: int) -> DataFrame:
+    """left, right, n of frequent pairs of word ids."""
+    return _frequent(docs, ranks, deals, False, _cells, "left long, right long, n long")
 
 
 PHRASE_DDL = "lang string, w1 string, w2 string, w3 string, a long"
 
 
-def _spelled(cells: DataFrame, ranks: Ranks, triples: bool) -> DataFrame:
-    shared = cells.sparkSession.sparkContext.broadcast(ranks)
+def _phrase_rows(known: Ranks, ids: list, counts) -> pa.RecordBatch:
+    spelled = [known.words.take(pa.array(column)) for column in ids]
+    spelled += [pa.nulls(len(counts), pa.string())] * (3 - len(spelled))
+    langs = known.langs.take(pa.array(ids[0])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, *spelled, pa.array(counts)], names=["lang", "w1", "w2", "w3", "a"])
+
+
+def _spelled(pairs: DataFrame, ranks: Ranks) -> DataFrame:
+    """frequent_pairs as words."""
+    shared = pairs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.words
         for batch in batches:
-            left, right = (batch.column(i).to_pylist() for i in (0, 1))
-            if triples:
-                firsts, seconds = shared.value.left[left].tolist(), shared.value.right[left].tolist()
-                ids = [firsts, seconds, right]
-            else:
-                ids = [left, right]
-            spelled = [pa.array([words[i][1] for i in column], pa.string()) for column in ids]
-            spelled += [pa.nulls(len(left), pa.string())] * (3 - len(spelled))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words[i][0] for i in ids[0]], pa.string()), *spelled, batch.column(2)], names=["lang", "w1", "w2", "w3", "a"]
-            )
+            left, right, n = (batch.column(i).to_numpy() for i in range(3))
+            yield _phrase_rows(shared.value, [left, right], n)
 
-    return cells.select("left", "right", "n").mapInArrow(run, PHRASE_DDL)
+    return pairs.select("left", "right", "n").mapInArrow(run, PHRASE_DDL)
 
 
-def _other_phrases(docs: DataFrame, ranks: Ranks, all_words: bool, all_pairs: bool) -> DataFrame:
-    """Phrases with a word or pair that has no id, as plain rows. Where all frequent words have ids, unknown words are rare."""
+def frequent_triples(docs: DataFrame, ranks: Ranks, deals: int) -> DataFrame:
+    """Frequent phrases of three words whose pairs have ids; spelled where they are summed, so a task needs one worker."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    def finish(deal: int, keys, counts) -> pa.RecordBatch:
+        known = shared.value
+        pair, word = cell_ids(keys)
+        return _phrase_rows(known, [known.left[pair], known.right[pair], word], counts)
+
+    return _frequent(docs, ranks, deals, True, finish, PHRASE_DDL)
+
+
+def _other_phrases(docs: DataFrame, ranks: Ranks, words: Bits | None, pairs: Bits | None, triples: bool) -> DataFrame:
+    """Phrases with a word or pair that has no id, as plain rows; the bitmaps tell what is frequent without one (None: nothing)."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, words, pairs))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known, counts = shared.value, Counter()
+        known, words, pairs = shared.value
+        counts: Counter = Counter()
+        frequent: dict[tuple[bytes, bytes], bool] = {}
+
+        def is_frequent(lang: bytes, word: bytes) -> bool:
+            if len(frequent) > HELD_WORDS:
+                frequent.clear()
+            if (lang, word) not in frequent:
+                frequent[lang, word] = words is not None and words.has(lang, word)
+            return frequent[lang, word]
 
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*((*key, n) for key, n in counts.items()), strict=True)) if counts else [()] * 5
             counts.clear()
-            kinds = [pa.string(), *[pa.binary()] * 3, pa.int64()]
+            kinds = [*[pa.binary()] * 4, pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([a.cast(pa.string()) if a.type == pa.binary() else a for a in arrays], names=["lang", "w1", "w2", "w3", "a"])
 
@@ -346,18 +446,23 @@ def _other_phrases(docs: DataFrame, ranks: Ranks, all_words: bool, all_pairs: bo
             for lang, raw in rows_of(batch):
                 if not raw:
                     continue
-                ids = known.ids(lang, raw)
+                ids, name = known.ids(lang, raw), lang.encode()
                 tokens = [t for t in raw.translate(FOLDED).replace(b"\n", b" \n ").split(b" ") if t]
                 tokens.append(b"\n")
-                word = (ids >= 0) if all_words else (ids != BREAK)
+                word = ids >= 0
+                for t in np.flatnonzero(ids == UNKNOWN).tolist():
+                    word[t] = is_frequent(name, tokens[t])
                 both = word[:-1] & word[1:]
-                if not all_words:
+                if triples:
+                    paired = known.pairs(ids) >= 0
+                    fine = paired.copy()
+                    for t in np.flatnonzero(both & ~paired).tolist() if pairs is not None else ():
+                        fine[t] = pairs.has(name, tokens[t], tokens[t + 1])
+                    for t in np.flatnonzero(fine[:-1] & fine[1:] & ~(paired[:-1] & paired[1:])).tolist():
+                        counts[name, tokens[t], tokens[t + 1], tokens[t + 2]] += 1
+                else:
                     for t in np.flatnonzero(both & ((ids[:-1] < 0) | (ids[1:] < 0))).tolist():
-                        counts[lang, tokens[t], tokens[t + 1], None] += 1
-                if not (all_words and all_pairs):
-                    pairs = known.pairs(ids)
-                    for t in np.flatnonzero(both[:-1] & both[1:] & ((pairs[:-1] < 0) | (pairs[1:] < 0))).tolist():
-                        counts[lang, tokens[t], tokens[t + 1], tokens[t + 2]] += 1
+                        counts[name, tokens[t], tokens[t + 1], None] += 1
                 if len(counts) >= HELD_WORDS:
                     yield flushed()
         yield flushed()
@@ -374,22 +479,26 @@ def phrases(docs: DataFrame, most_words: int = WORDS, most_pairs: int = PAIRS) -
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.filter(F.col("n") >= LEAST)
     top, all_words = most_frequent(frequent, most_words)
-    listed = sorted(top.collect(), key=lambda r: (-r["n"], r["lang"], r["word"]))  # bounded by WORDS
-    ranks = Ranks([(r["lang"], r["word"]) for r in listed])
+    ranks = Ranks(top.toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")]))  # bounded by WORDS
     # more words in all, more deals: a deal's sums stay within a worker's memory
     deals = 64 + (words.agg(F.sum("n")).first()[0] or 0) // DEALT
-    pairs = stored(frequent_cells(docs, ranks, deals), "pairs")
+    pairs = stored(frequent_pairs(docs, ranks, deals), "pairs")
     best, all_pairs = most_frequent(pairs, most_pairs)
-    held = best.toPandas()  # bounded by PAIRS
-    held = held.sort_values(["n", "left", "right"], ascending=[False, True, True], kind="stable")
-    both = Ranks(ranks.words, (held["left"].to_numpy(np.int64), held["right"].to_numpy(np.int64)))
-    found = _spelled(pairs, ranks, False).unionAll(_spelled(frequent_cells(docs, both, deals, True), both, True))
+    held = best.toArrow().sort_by([("n", "descending"), ("left", "ascending"), ("right", "ascending")])  # bounded by PAIRS
+    both = Ranks(ranks.table(), (held["left"].to_numpy().astype(np.int64), held["right"].to_numpy().astype(np.int64)))
+    twos = _spelled(pairs, ranks)
+    other_words = other_pairs = None
+    if not all_words:
+        other_words = Bits(frequent.join(top.select("lang", "word"), ["lang", "word"], "left_anti"), "lang", "word")
+        twos = stored(twos.unionAll(_other_phrases(docs, ranks, other_words, None, False)), "twos")
+    found = twos.unionAll(frequent_triples(docs, both, deals))
     if not (all_words and all_pairs):
-        found = found.unionAll(_other_phrases(docs, both, all_words, all_pairs))
+        # pairs that have ids are told by these; their places in the bitmap are of no use and no harm
+        other_pairs = Bits(twos, "lang", "w1", "w2")
+        found = found.unionAll(_other_phrases(docs, both, other_words, other_pairs, True))
     return totals, frequent, stored(found, "phrases")
 
 
-
 def _score(left: str, right: str) -> Column:
     """floor(1,000,000 a a / (l r)) in decimals of 38 digits; counts may have 15."""
     return F.expr(f"(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * cast(1000000 as decimal(7,0))) div (cast({left} as decimal(15,0)) * cast({right} as decimal(15,0)))")

@@ -1,7 +1,9 @@
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from landq.llm import collocations
@@ -109,13 +111,30 @@ def test_sums_in_parts():
 
 
 def test_ranks():
-    ranks = Ranks([("en", "b"), ("en", "a"), ("de", "a")], (np.array([1, 0]), np.array([0, 0])))
+    words = pa.table({"lang": ["en", "en", "de"], "word": ["b", "a", "a"]})
+    ranks = pickle.loads(pickle.dumps(Ranks(words, (np.array([1, 0]), np.array([0, 0])))))
     ids = ranks.ids("en", b"A b\tb q. a")
     assert ids.tolist() == [1, 0, 0, -3, -1, 1, -1]
     assert ranks.pairs(ids).tolist() == [0, 1, -1, -1, -1, -1]
     assert ranks.ids("it", b"a a").tolist() == [-3, -3, -1]
 
 
+def test_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BITMAP_BITS", 17)
+    words = [f"word{i}" for i in range(3000)]
+    bits = collocations.Bits(spark.createDataFrame([("é", w) for w in words], "lang string, word string"), "lang", "word")
+    assert all(bits.has("é".encode(), w.encode()) for w in words)
+    assert sum(bits.has("é".encode(), f"other{i}".encode()) for i in range(3000)) < 150
+
+
+def test_equal_first_halves(monkeypatch):
+    # words whose hashes agree in the first half are told apart by the second
+    halves = lambda lang, words: (np.zeros(len(words), np.uint64), np.array([len(w) for w in words], np.uint64))
+    monkeypatch.setattr(collocations, "_word_keys", lambda lang, words: halves(lang, list(words)))
+    ranks = Ranks(pa.table({"lang": ["en"] * 3, "word": ["aaa", "a", "aa"]}))
+    assert ranks.ids("en", b"b bb bbb bbbb").tolist() == [1, 2, 0, -3, -1]
+
+
 def test_large_counts(spark):
     a, left, right = 9 * 10**12, 10**13 + 7, 9 * 10**12 + 1
     frame = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(collocations._score("l", "r"))
