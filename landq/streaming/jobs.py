@@ -1,24 +1,17 @@
-"""Continuous forms of ingest, activity counts, admission control, audit append and event fan-out."""
+"""Continuous forms of ingest, activity counts and event fan-out."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from landq.functions.hashing import GENESIS, payload
 from landq.operators import rules
-from landq.operators.audit import link_bodies
 from landq.operators.fanout import canonical_payload, match_subscriptions, outbox
 from landq.session import shared_path
 from landq.sources.rulebook import RuleBook
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MICROS = 1_000_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -28,6 +21,11 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there now into a Parquet table in the shared folder, and read it back."""
+    return run_with_state(stream, name, mode)[0]
+
+
+def run_with_state(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, str]:
+    """As run_to_table, with the folder of the stream's checkpoint, whose state can be read on."""
     spark = stream.sparkSession
     path = shared_path(spark, name)
     query = (
@@ -39,7 +37,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return spark.read.schema(stream.schema).parquet(f"{path}/table"), f"{path}/state"
 
 
 # ---------------------------------------------------------------- ingest
@@ -81,97 +79,6 @@ def activity_counts(events: DataFrame, time: str, kind: str, width: str = "1 day
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
 
 
-# ---------------------------------------------------------------- admission control
-
-
-class SlidingAdmission(StatefulProcessor):
-    """At most ``limit`` accepted requests in any ``seconds`` seconds per client.
-
-    The state is the accepted times still inside the window: never more than ``limit`` numbers. A client's
-    requests of one trigger are put in time order first; the trigger's size bounds them.
-    """
-
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.span = limit, seconds * MICROS
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "us long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        window = deque(r[0] for r in self.accepted.get()) if self.accepted.exists() else deque()
-        requests = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        verdicts = []
-        for us in requests["us"]:
-            while window and window[0] <= us - self.span:
-                window.popleft()
-            verdicts.append(len(window) < self.limit)
-            if verdicts[-1]:
-                window.append(int(us))
-        self.accepted.put([(t,) for t in window])
-        yield requests.assign(accepted=verdicts)[["client", "request_id", "us", "accepted"]]
-
-    def close(self) -> None:
-        pass
-
-
-def admit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Adds accepted. ``requests``: client (string), request_id, us (microseconds since the epoch)."""
-    return requests.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=SlidingAdmission(limit, seconds),
-        outputStructType="client string, request_id long, us long, accepted boolean",
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-# ---------------------------------------------------------------- audit
-
-
-class ChainAppend(StatefulProcessor):
-    """Last sequence number and hash per chain; a trigger's entries are linked in (us, entry_id) order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "seq long, hash string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, last = self.head.get() if self.head.exists() else (-1, GENESIS)
-        entries = pd.concat(list(rows)).sort_values(["us", "entry_id"])
-        hashes = link_bodies(entries["body"], last)
-        self.head.update((seq + len(entries), hashes[-1]))
-        yield entries.assign(
-            seq=range(seq + 1, seq + 1 + len(entries)), previous_hash=hashes[:-1], current_hash=hashes[1:]
-        )[["chain_id", "entry_id", "seq", "body", "previous_hash", "current_hash"]]
-
-    def close(self) -> None:
-        pass
-
-
-def audit_entries(events: DataFrame, chain: str, entry_id: str, time: str, columns: list[str], lanes: int = 1) -> DataFrame:
-    """chain_id, entry_id, us, body. With ``lanes`` a busy chain is written as that many parallel chains."""
-    name = F.col(chain).cast("string")
-    if lanes > 1:
-        lane = F.pmod(F.xxhash64(entry_id), F.lit(lanes)).cast("string")
-        name = F.concat(name, F.lit("/"), lane)
-    return events.select(
-        name.alias("chain_id"),
-        F.col(entry_id).cast("long").alias("entry_id"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("us"),
-        payload(*[F.col(c) for c in columns]).alias("body"),
-    )
-
-
-def append_audit(entries: DataFrame) -> DataFrame:
-    """Adds seq, previous_hash and current_hash to audit_entries."""
-    return entries.groupBy("chain_id").transformWithStateInPandas(
-        statefulProcessor=ChainAppend(),
-        outputStructType=(
-            "chain_id string, entry_id long, seq long, body string, previous_hash string, current_hash string"
-        ),
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
 # ---------------------------------------------------------------- fan-out
 
 
