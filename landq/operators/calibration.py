@@ -1,4 +1,4 @@
-"""Expected calibration error, isotonic calibration and auto-accept precision."""
+"""Expected calibration error, isotonic and logistic calibration and auto-accept precision."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landq.functions.text import round_to
+from landq.session import written
 
 EXACT = "decimal(28,10)"
 #: Labelled rows that a fit looks at; of more, each counts with the same chance.
 FIT_ROWS = 1_000_000
 LOWEST, HIGHEST = 0.05, 0.99
+NEWTON_STEPS, RIDGE = 8, 1.0
 
 
 def calibration_bins(scored: DataFrame, n_bins: int, confidence: str = "confidence", label: str = "label") -> DataFrame:
@@ -68,6 +70,36 @@ def fit_isotonic(scored: DataFrame, confidence: str = "confidence", label: str =
     ).fit(features)
 
 
+def fit_logistic(
+    scored: DataFrame, confidence: str = "confidence", label: str = "label", steps: int = NEWTON_STEPS, ridge: float = RIDGE
+) -> tuple[float, float]:
+    """(intercept, slope) of the logistic curve of the score: Newton steps, each over five sums of all rows.
+
+    Equal scores merge to one weighted point first. The ridge keeps the curve finite where scores tell labels apart.
+    """
+    points = scored.groupBy(F.col(confidence).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast(EXACT)).cast("double").alias("t"))
+    points = written(points, "points")
+    a = b = 0.0
+    for _ in range(steps):
+        p = F.lit(1.0) / (F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))) + 1.0)
+        gap, weight = F.col("t") - F.col("n") * p, F.col("n") * p * (F.lit(1.0) - p)
+        sums = points.select(gap.alias("g"), weight.alias("h"), "x").agg(
+            F.sum("g"), F.sum(F.col("g") * F.col("x")), F.sum("h"), F.sum(F.col("h") * F.col("x")), F.sum(F.col("h") * F.col("x") * F.col("x"))
+        )
+        g0, g1, h00, h01, h11 = (v or 0.0 for v in sums.first())
+        g0, g1, h00, h11 = g0 - ridge * a, g1 - ridge * b, h00 + ridge, h11 + ridge
+        det = h00 * h11 - h01 * h01
+        a, b = a + (g0 * h11 - g1 * h01) / det, b + (g1 * h00 - g0 * h01) / det
+    return a, b
+
+
+def calibrate_logistic(scored: DataFrame, confidence: str = "confidence", label: str = "label", steps: int = NEWTON_STEPS) -> DataFrame:
+    """Adds calibrated by the fitted logistic curve, within [0.05, 0.99]: for scores that an isotonic fit cannot serve."""
+    a, b = fit_logistic(scored, confidence, label, steps)
+    curve = F.lit(1.0) / (F.exp(-(F.lit(a) + F.lit(b) * F.col(confidence))) + 1.0)
+    return scored.withColumn("calibrated", F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.round(curve, 9))))
+
+
 def calibrate(scored: DataFrame, confidence: str = "confidence", label: str = "label") -> DataFrame:
     """Adds calibrated, the isotonic value of the score within [0.05, 0.99]."""
     model = fit_isotonic(scored, confidence, label)
@@ -78,9 +110,9 @@ def calibrate(scored: DataFrame, confidence: str = "confidence", label: str = "l
     return out.withColumn("calibrated", value).select(*scored.columns, "calibrated")
 
 
-def calibration_report(scored: DataFrame, threshold: float = 0.90, n_bins: int = 8) -> DataFrame:
+def calibration_report(scored: DataFrame, threshold: float = 0.90, n_bins: int = 8, fit=calibrate) -> DataFrame:
     """One row: errors before and after, reduction, precision and automation at the threshold."""
-    fitted = calibrate(scored)
+    fitted = fit(scored)
     before = ece(fitted, n_bins).select(F.col("ece").alias("ece_pre"), F.lit(1).alias("_k"))
     after = ece(fitted, n_bins, "calibrated").select(F.col("ece").alias("ece_post"), F.lit(1).alias("_k"))
     accept = auto_accept(fitted, threshold, "calibrated").withColumn("_k", F.lit(1))

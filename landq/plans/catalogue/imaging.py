@@ -17,7 +17,7 @@ SIDE = 16
 
 
 def tiles(spark, sf):
-    """Four embeddings of 64 numbers make one 16 x 16 tile; sixteen tiles make a page of 4 x 4."""
+    """Four embeddings of 64 numbers make one 16 x 16 tile, fewer a lower one; sixteen tiles make a page of 4 x 4."""
     v = read_table(spark, sf, "embeddings").select(
         "vec_id",
         F.transform(
@@ -27,25 +27,24 @@ def tiles(spark, sf):
     )
     tile = F.floor(F.col("vec_id") / 4).cast("long")
     grouped = v.groupBy(tile.alias("tile")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "px"))).alias("parts"))
-    whole = grouped.filter(F.size("parts") == 4)
-    return whole.select(
+    return grouped.select(
         F.floor(F.col("tile") / 16).cast("long").alias("page_id"),
         F.floor(F.col("tile") % 16 / 4).cast("int").alias("row"),
         (F.col("tile") % 4).cast("int").alias("col"),
-        F.lit(SIDE).alias("h"),
+        (F.size("parts") * 4).alias("h"),
         F.lit(SIDE).alias("w"),
         F.flatten(F.transform("parts", lambda p: p["px"])).alias("pixels"),
     )
 
 
-TILES = """select cast(floor(tile / 16) as bigint) page_id, cast(floor(tile % 16 / 4) as int) "row", cast(tile % 4 as int) "col", px from (
+TILES = """select cast(floor(tile / 16) as bigint) page_id, cast(floor(tile % 16 / 4) as int) "row", cast(tile % 4 as int) "col", px, n from (
       select cast(floor(vec_id / 4) as bigint) tile, flatten(list(px order by vec_id)) px, count(*) n from (
-        select vec_id, list_transform(embedding, lambda x: cast(greatest(0, least(255, floor(cast(x as double) * 300 + 160))) as int)) px from embeddings) a group by 1) b where n = 4"""
+        select vec_id, list_transform(embedding, lambda x: cast(greatest(0, least(255, floor(cast(x as double) * 300 + 160))) as int)) px from embeddings) a group by 1) b"""
 # cells of a tile: every second pixel (8 x 8), and all pixels
 HALF = "px[(2 * (r + {dr})) * 16 + 2 * (c + {dc}) + 1]"
 FULL = "px[(r + {dr}) * 16 + (c + {dc}) + 1]"
-INNER8 = "(select unnest(range(1, 7)) r) a, (select unnest(range(1, 7)) c) b"
-INNER16 = "(select unnest(range(1, 15)) r) a, (select unnest(range(1, 15)) c) b"
+INNER8 = "(select unnest(range(1, 7)) r) a, (select unnest(range(1, 7)) c) b where r < 2 * n - 1"
+INNER16 = "(select unnest(range(1, 15)) r) a, (select unnest(range(1, 15)) c) b where r < 4 * n - 1"
 
 
 def _at(form: str, dr: int, dc: int) -> str:
@@ -57,11 +56,11 @@ BOX = "(" + " + ".join(_at(HALF, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
 RES = f"({_at(FULL, 0, 0)} - ({_at(FULL, -1, 0)} + {_at(FULL, 1, 0)} + {_at(FULL, 0, -1)} + {_at(FULL, 0, 1)}) / cast(4 as double))"
 COUNT = lambda low, high: f"len(list_filter(px, lambda p: p between {low} and {high}))"
 METRICS = f"""select t.page_id, t."row", t."col",
-      round((select var_pop(cast({LAP} as double)) from {INNER8}), 2) blur,
+      case when n = 1 then cast(200 as double) else round((select var_pop(cast({LAP} as double)) from {INNER8}), 2) end blur,
       round(least(1, sqrt((select var_pop(p) from (select unnest(px) p) u)) / 64), 3) contrast,
       case when {COUNT(0, 99)} + {COUNT(150, 215)} = 0 then cast(0 as double) else round({COUNT(150, 215)} / ({COUNT(0, 99)} + {COUNT(150, 215)} + cast(0.00001 as double)), 3) end fade,
-      round(least(1, (select var_pop({_at(HALF, 0, 0)} - {BOX} / cast(9 as double)) from {INNER8}) / 150), 3) noise,
-      round({COUNT(130, 185)} / cast(256 as double), 3) stain,
+      case when n < 3 then cast(0 as double) else round(least(1, (select var_pop({_at(HALF, 0, 0)} - {BOX} / cast(9 as double)) from {INNER8}) / 150), 3) end noise,
+      round({COUNT(130, 185)} / cast(len(px) as double), 3) stain,
       case when "row" in (0, 3) and "col" in (0, 3) and ((select avg(p) from (select unnest(px) p) u) > 248 or (select var_pop(p) from (select unnest(px) p) u) < 15) then cast(0.35 as double) else cast(0 as double) end tear
     from ({TILES}) t"""
 
@@ -71,7 +70,7 @@ def tile_metrics(spark, sf):
     return forensics.tile_metrics(tiles(spark, sf)).drop("residual")
 
 
-RESIDUAL = f"""select page_id, "row", "col", (select var_pop({RES}) from {INNER16}) residual from ({TILES}) t"""
+RESIDUAL = f"""select page_id, "row", "col", case when n = 1 then cast(0 as double) else (select var_pop({RES}) from {INNER16}) end residual from ({TILES}) t"""
 
 
 @query("f2_residual_noise", sql=f'select page_id, "row", "col", cast(round(residual * 100) as bigint) residual from ({RESIDUAL}) r')

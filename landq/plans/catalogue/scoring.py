@@ -265,14 +265,14 @@ def bare(spark, sf):
 
 
 # labels: document quality against a score from its length
-SCORE_SQL = "select least(cast(d.n_chars as double), 5000) / 5000 confidence, cast(l.quality as double) label from labels l join documents d on l.doc_id = d.doc_id"
+SCORE_SQL = "select cast(10000 * d.n_chars // (d.n_chars + 2500) as double) / 10000 confidence, cast(l.quality as double) label from labels l join documents d on l.doc_id = d.doc_id"
 
 
 def labelled(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "n_chars")
     joined = read_table(spark, sf, "labels").join(docs, "doc_id")
     return joined.select(
-        (F.least(F.col("n_chars").cast("double"), F.lit(5000.0)) / 5000).alias("confidence"),
+        (F.expr("10000 * n_chars div (n_chars + 2500)").cast("double") / 10000).alias("confidence"),
         F.col("quality").cast("double").alias("label"),
     )
 
@@ -329,6 +329,34 @@ def isotonic(spark, sf):
     return calibration.calibration_report(labelled(spark, sf))
 
 
+LOGISTIC = f"""recursive s as ({SCORE_SQL}), pts as (select confidence x, cast(count(*) as double) n, sum(label) t from s group by confidence),
+        it as (select 0 k, cast(0 as double) a, cast(0 as double) b
+          union all select k + 1, a + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) from (
+            select k, a, b, sum(t - n * p) - a g0, sum((t - n * p) * x) - b g1, sum(n * p * (1 - p)) + 1 h00, sum(n * p * (1 - p) * x) h01, sum(n * p * (1 - p) * x * x) + 1 h11
+            from (select k, a, b, x, n, t, cast(1 as double) / (exp(-(a + b * x)) + 1) p from it, pts where k < {calibration.NEWTON_STEPS}) u group by k, a, b) z),
+        curve as (select a, b from it where k = {calibration.NEWTON_STEPS}),
+        fitted as (select s.confidence, s.label, greatest(cast(0.05 as double), least(cast(0.99 as double), round(cast(1 as double) / (exp(-(a + b * s.confidence)) + 1), 9))) calibrated from s, curve)"""
+
+
+@query("a8_logistic_curve", sql=f"with {LOGISTIC} select round(a, 6) intercept, round(b, 6) slope from curve")
+def logistic_curve(spark, sf):
+    a, b = calibration.fit_logistic(labelled(spark, sf))
+    return spark.createDataFrame([(round(a, 6), round(b, 6))], "intercept double, slope double")
+
+
+@query(
+    "a8_logistic_calibration",
+    sql=f"""with {LOGISTIC}, e as (select {_fitted_ece("confidence")} pre, {_fitted_ece("calibrated")} post, count(*) samples,
+            count(*) filter (calibrated >= cast(0.9 as double)) accepted, sum(label) filter (calibrated >= cast(0.9 as double)) good from fitted)
+        select samples, {q.rounded("pre", 4)} ece_pre, {q.rounded("post", 4)} ece_post,
+            {q.rounded("((pre - post) / greatest(cast(1e-5 as double), pre) * cast(100 as double))", 1)} reduction_pct,
+            {q.rounded("coalesce(good / nullif(accepted, 0), cast(1 as double))", 4)} auto_accept_precision,
+            {q.rounded("(accepted * cast(100 as double) / samples)", 1)} automation_pct from e""",
+)
+def logistic(spark, sf):
+    return calibration.calibration_report(labelled(spark, sf), fit=calibration.calibrate_logistic)
+
+
 @query(
     "a9_fault_recall",
     ALL,
