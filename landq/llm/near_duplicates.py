@@ -376,8 +376,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, Dat
     if not more.isEmpty():
         merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
         joined = joined.join(merged, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    member = joined.filter("root is not null").join(smallest, "root").select("node", "component_id")
+    # nodes on their own know their component; those of a large one meet its smallest doc_id in several tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    smallest = smallest.select("root", "component_id", salts.alias("_salt"))
+    dealt = joined.filter("root is not null").withColumn("_salt", F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(SALTS)).cast("int"))
+    member = dealt.join(smallest, ["root", "_salt"], "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows, member
 
 
@@ -397,14 +401,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Rows with equal doc_id and text are one document, of which one row stays. Rows without words stay, all of them.
     """
     marked = with_components(docs, words).filter("kept").groupBy("doc_id", "text_id")
-    marked = marked.agg((F.max("n_shingles") > 0).alias("_some"), F.count("*").alias("_rows"))
-    marked = marked.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), (F.col("_some") & (F.col("_rows") > 1)).alias("_again"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = docs.withColumn("_id", F.unhex(F.md5(text.cast("binary"))))
-    same = known["doc_id"].eqNullSafe(marked["_d"]) & (known["_id"] == marked["_t"])
-    once = known.join(marked.filter("not _again"), same).select(docs.columns)
-    again = known.join(marked.filter("_again"), same).dropDuplicates(["_d", "_t"]).select(docs.columns)
-    return once.unionAll(again)
+    marked = marked.agg((F.max("n_shingles") > 0).alias("some"), F.count("*").alias("rows"))
+    marked = marked.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), (F.col("some") & (F.col("rows") > 1)).alias("again"))
+    # the row travels in one column, so that its names don't meet those of the other side
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    known = whole.withColumn("id", F.unhex(F.md5(text.cast("binary"))))
+    same = known["row.doc_id"].eqNullSafe(marked["d"]) & (known["id"] == marked["t"])
+    once = known.join(marked.filter("not again"), same).select("row")
+    again = known.join(marked.filter("again"), same).dropDuplicates(["d", "t"]).select("row")
+    return once.unionAll(again).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,14 @@ ODD_TEXTS = [
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Odd texts, some of them twice, with null and repeated ids and columns named like those that operators add."""
-    rows = [(i, t, "en", "s", 1, "x", 7) for i, t in enumerate(ODD_TEXTS)]
-    rows += [(3, ODD_TEXTS[6], None, "s", 1, "x", 7), (3, ODD_TEXTS[6], None, "s", 1, "x", 7), (None, ODD_TEXTS[8], "en", None, 1, None, None)]
+    more = ("i", "t", 5, "s", 0.5, "salt", "g", "r")
+    rows = [(i, t, "en", "s", 1, "x", 7, *more) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(3, ODD_TEXTS[6], None, "s", 1, "x", 7, *more), (3, ODD_TEXTS[6], None, "s", 1, "x", 7, *more)]
+    rows += [(None, ODD_TEXTS[8], "en", None, 1, None, None, *more)]
     return spark.createDataFrame(
-        rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int"
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, "
+        "_id string, _t string, _d int, _spans string, _w double, _salt string, grp string, row string",
     ).repartition(3)
 
 

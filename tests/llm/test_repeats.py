@@ -63,7 +63,7 @@ def corpus():
 
 def run(spark, texts):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: removed_runs(r._spans, 200) for r in with_spans(frame).collect()}
+    got = {r.row.doc_id: removed_runs(r.spans, 200) for r in with_spans(frame).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 200)
 
 
@@ -92,6 +92,14 @@ def test_remove_repeats(spark, odd_docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "short", "double", "string"])
+def test_n_chars_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(1, "x" * 500, "1"), (2, "y", "1"), (3, None, None)], "doc_id int, text string, n string")
+    out = remove_repeats(docs.withColumn("n_chars", F.col("n").cast(kind)).drop("n"))
+    assert out.schema["n_chars"].dataType.simpleString() == {"long": "bigint", "short": "smallint"}.get(kind, kind)
+    assert {r.doc_id: r.n_chars and float(r.n_chars) for r in out.collect()} == {1: 0, 2: 1, 3: None}
+
+
 def test_characters_stay_whole():
     raw = "aébécé".encode()
     assert kept_text(raw, [(2, 5)]) == "acé"
