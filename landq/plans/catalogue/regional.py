@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landq.functions import text
-from landq.operators import confidence, evaluate
+from landq.operators import confidence, evaluate, name_pairs
 from landq.operators import normalize as norm
 from landq.plans.catalogue import sqltext as q
 from landq.plans.catalogue.registry import query
@@ -218,6 +218,40 @@ def name_match(spark, sf):
     return norm.match_names(moves, "from_party", "to_party")
 
 
+ALL_NAMES = "select name v from fx_owners union select from_party from fx_mutations union select to_party from fx_mutations"
+CLASSES = f"""select v name, {SORTED.format(words=q.words(f"lower({_latin('v')})"))} class from ({ALL_NAMES}) u where v is not null"""
+
+
+def all_names(spark, sf):
+    moves = fx(spark, sf, "fx_mutations")
+    owners = fx(spark, sf, "fx_owners").select("name")
+    return owners.unionAll(moves.select("from_party")).unionAll(moves.select("to_party"))
+
+
+@query("p13_name_classes", ["fx_owners", "fx_mutations"], CLASSES)
+def name_classes(spark, sf):
+    return name_pairs.name_classes(all_names(spark, sf), "name")
+
+
+@query(
+    "p13_name_links",
+    ["fx_owners", "fx_mutations"],
+    f"""with c as (select distinct class from ({CLASSES}) x where class <> ''), p as (select a.class a, b.class b, {q.ratio("a.class", "b.class")} score from c a join c b on a.class < b.class)
+        select a, b, {q.rounded("(score / 100)", 2)} name_score from p where score >= 75""",
+)
+def name_links(spark, sf):
+    """Which of all owners and parties have like names: the archive's names against themselves."""
+    return name_pairs.class_links(name_pairs.name_classes(all_names(spark, sf), "name"))
+
+
+@query("p13_title_links")
+def title_links(spark, sf):
+    """The same over many different texts: the first three words of every document."""
+    first = F.array_join(F.slice(text.words(F.lower(F.coalesce(F.col("text"), F.lit("")))), 1, 3), " ")
+    titles = read_table(spark, sf, "documents").select(text.sorted_words(first).alias("class"))
+    return name_pairs.class_links(titles)
+
+
 def _type_sql(x: str) -> str:
     groups = " ".join(
         "when " + " or ".join(f"contains({x}, '{t}')" for t in terms) + f" then '{name}'"

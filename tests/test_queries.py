@@ -16,7 +16,10 @@ def con():
 
 
 #: Queries that SQL cannot express or is too slow for, with the test that compares them with brute force.
-BRUTE_FORCED = {"j9_engine_agreement": "test_settings_and_streams.test_engine_agreement_by_brute_force"}
+BRUTE_FORCED = {
+    "j9_engine_agreement": "test_settings_and_streams.test_engine_agreement_by_brute_force",
+    "p13_title_links": "test_name_pairs.test_title_links_by_brute_force",
+}
 
 
 @pytest.mark.parametrize("name", list(CATALOGUE))
