@@ -117,15 +117,20 @@ class WordEncoder(Encoder):
         self.normalize = self.whole.normalizer.normalize_str
 
     def word(self, word: str) -> bytes:
-        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
-            return self.piece(self.normalize(word))
+        if word.isascii() and word.isalpha():
+            lowered = word.lower()
+            return self.piece(word) if lowered == word else self.words[lowered]
         if word[-1] in ".,":
             body = word[:-1]
-            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body)):
+            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body) and self.normalize(body).isalpha()):
                 return self.words[body] + self.pieces[word[-1]]
-        if not LATIN.fullmatch(word) or any(s in word for s in self.specials):
+        # what is split is the normalized word: a letter may become a letter and a mark
+        plain = self.normalize(word)
+        if plain.isalpha() and LATIN.fullmatch(plain):
+            return self.piece(plain)
+        if not LATIN.fullmatch(plain) or any(s in word for s in self.specials):
             return self.library(word)
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(self.normalize(word))))
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(plain)))
 
     def encode(self, text: str) -> bytes:
         if ODD_SPACES.search(text):

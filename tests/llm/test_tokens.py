@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import struct
 import zlib
 
@@ -8,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from landq.llm.lexicon import Lexicon, Merges, coded, compiled
-from landq.llm.packing import Room, best_fit, cut, pack, sequences
-from landq.llm.token_files import digest, read_index, read_tokens, write_tokens
+from landq.llm.lexicon import Lexicon, Merges, coded, compiled, op6_bpe
+from landq.llm.packing import Room, best_fit, cut, op8_packing, pack, sequences
+from landq.llm.token_files import digest, op3_token_files, read_index, read_tokens, write_tokens
 from landq.llm.vocabulary import ByteEncoder, WordEncoder, vocabulary_path
 from landq.session import shared_path
 
@@ -35,6 +36,61 @@ def test_encoders_equal_the_library(spark, odd_docs, kind, name):
         assert made.encode(text) == struct.pack(f"<{len(want)}I", *want), repr(text[:80])
 
 
+@pytest.mark.parametrize(("kind", "name"), [(ByteEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")])
+def test_every_letter(kind, name):
+    # letters that change length in lower case among them, such as the first of Istanbul in Turkish
+    tok, made = library(name), kind(vocabulary_path(name))
+    for c in map(chr, range(0x21, 0x3000)):
+        if c.isalpha() or c.isnumeric():
+            text = f"{c} a{c}b {c.upper()}x. x{c}, A{c}"
+            want = ids_of(tok, text)
+            assert made.encode(text) == struct.pack(f"<{len(want)}I", *want), hex(ord(c))
+    for text in ("İstanbul İZMİR, dİyarbakır. İ İİ. Iİı", "don't Don'T. ABC. É. ÉCOLE, École"):
+        want = ids_of(tok, text)
+        assert made.encode(text) == struct.pack(f"<{len(want)}I", *want), text
+
+
+def test_op3_query(spark):
+    """The query's rows against the library, document by document."""
+    tok, at = library("word_bpe_49k.json"), 0
+    want = []
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = [*ids_of(tok, r.text), 1]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    assert sorted(map(tuple, op3_token_files(spark, SF).collect())) == want
+
+
+def test_op6_query(spark):
+    tok = library("byte_bpe_50k.json")
+    tok.no_truncation()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = ids_of(tok, r.text)
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, op6_bpe(spark, SF).collect())) == sorted(want)
+
+
+def test_op8_query(spark):
+    """Pieces of the query: ids of the library, cut without a gap, in sequences without a gap."""
+    tok = library("byte_bpe_50k.json")
+    ids = {r.doc_id: [*ids_of(tok, r.text), 1] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    pieces, sequences_ = {}, {}
+    for r in op8_packing(spark, SF).collect():
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[r.doc_id][r.start : r.start + r.length]))
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences_.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held, size in [*((pieces[d], len(i)) for d, i in ids.items()), *((s, None) for s in sequences_.values())]:
+        at = 0
+        for start, length in sorted(held):
+            assert start == at
+            at += length
+        assert at == size if size else at <= 2048
+    assert pieces.keys() == ids.keys()
+
+
 def test_token_files(spark, odd_docs):
     path = shared_path(spark, "test-tokens")
     write_tokens(odd_docs, path)
