@@ -10,6 +10,12 @@ from pyspark.sql import types as T
 
 from landq.functions import text
 
+try:
+    import ahocorasick
+except ImportError:  # the values are looked for one after the other then
+    ahocorasick = None
+
+FEW_VALUES = 8
 PAD_A, PAD_B = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 CELLS = 4_000_000
 
@@ -111,8 +117,28 @@ def _window_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def contained(values: list[str], text: str) -> set[str]:
+    """Which of the values occur in a text: one pass over the text for all of them where there are several."""
+    if len(values) > FEW_VALUES and ahocorasick is not None:
+        automaton = ahocorasick.Automaton()
+        for v in values:
+            automaton.add_word(v, v)
+        automaton.make_automaton()
+        return {v for _, v in automaton.iter(text)}
+    return {v for v in values if v in text}
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _windows_udf(values: pd.Series, text: pd.Series) -> pd.Series:
+    out = []
+    for wanted, page in zip(values, text):
+        held = contained(list(wanted), page)
+        out.append([100.0 if v in held else best_window(v, page) for v in wanted])
+    return pd.Series(out, dtype=object)
+
+
 # dear to compute: a filter on the result must not compute it a second time
-_ratio_udf, _window_udf = _ratio_udf.asNondeterministic(), _window_udf.asNondeterministic()
+_ratio_udf, _window_udf, _windows_udf = (f.asNondeterministic() for f in (_ratio_udf, _window_udf, _windows_udf))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -129,6 +155,11 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return _window_udf(a, b)
 
 
+def partial_ratios(values: Column, text: Column) -> Column:
+    """partial_ratio of each value of a list with one text."""
+    return _windows_udf(values, text)
+
+
 def best_of(entries: list[tuple[str, str]], scorer: str, cutoff: float):
     """UDF: best dictionary entry for each value, struct<name, score>, ties to the first entry.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landq.functions import similarity
 from landq.functions.text import round_to, to_number
+from landq.operators.ordered import hot_keys
 from landq.sources import rulebook as rb
 
 # fixed values: weights, penalty ceiling and thresholds
@@ -15,6 +16,9 @@ MAX_DAMAGE = 0.35
 AUTO_ACCEPT = 0.90
 FIELD_REVIEW = 0.60
 DEFAULT_AGREEMENT = 0.95
+LEAST_AGREEMENT = 0.4
+#: Distinct values of a page that are looked for together, and parts of those of a page with more.
+PAGE_VALUES, HOT_PARTS = 1000, 64
 
 # rule -> (field-name keywords, consistency score)
 CONSISTENCY = {
@@ -26,30 +30,31 @@ CONSISTENCY = {
 }
 
 
-def engine_agreement(fields: DataFrame, texts: DataFrame) -> DataFrame:
+def engine_agreement(fields: DataFrame, texts: DataFrame, page_values: int = PAGE_VALUES) -> DataFrame:
     """Adds agreement: how well each value is found in the other engine's text of the page.
 
-    ``texts``: document_id, page_id, text. Values contained in the text never reach Python; of the others
-    each distinct (page, value) is scored once.
+    ``texts``: document_id, page_id, text, one row for a page. A page's distinct values meet its text in one row and are
+    looked for in one pass; of a page with very many values, in parts. Rows of fields never carry texts.
     """
     keys = ["document_id", "page_id"]
-    paged = fields.join(texts.select(*keys, F.lower("text").alias("_text")), keys, "left")
     value = F.lower(F.col("value").cast("string"))
-    missing = (F.coalesce(value, F.lit("")) == "") | (F.coalesce(F.col("_text"), F.lit("")) == "")
-    judged = paged.withColumns(
-        {"_value": value, "_known": F.when(missing, F.lit(DEFAULT_AGREEMENT)).when(F.col("_text").contains(value), 1.0)}
-    )
-    rest = judged.filter(F.col("_known").isNull()).select(*keys, "_value").distinct()
-    measured = rest.join(texts.select(*keys, F.lower("text").alias("_text")), keys).select(
-        *keys, "_value", similarity.partial_ratio(F.col("_value"), F.col("_text")).alias("_ratio")
-    )
-    score = round_to(F.greatest(F.lit(0.4), F.col("_ratio") / 100.0), 2)
-    scored = measured.select(*keys, "_value", score.alias("_score"))
-    return (
-        judged.drop("_text")
-        .join(scored, [*keys, "_value"], "left")
-        .select(*fields.columns, F.coalesce("_known", "_score").alias("agreement"))
-    )
+    asked = fields.withColumn("_value", F.nullif(value, F.lit("")))
+    wanted = asked.filter(F.col("_value").isNotNull()).select(*keys, "_value").distinct()
+    part = F.lit(0)
+    hot = hot_keys(wanted, keys, page_values)
+    if hot is not None:
+        wanted = wanted.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
+        part = F.when(F.col("_hot"), F.pmod(F.xxhash64("_value"), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    lists = wanted.groupBy(*keys, part.alias("_part")).agg(F.collect_list("_value").alias("_values"))
+    paged = lists.join(texts.select(*keys, F.lower("text").alias("_text")).filter("_text <> ''"), keys)
+    scored = paged.select(*keys, "_values", similarity.partial_ratios(F.col("_values"), F.col("_text")).alias("_ratios"))
+    scored = scored.select(*keys, F.explode(F.arrays_zip("_values", "_ratios")).alias("_v"))
+    score = round_to(F.greatest(F.lit(LEAST_AGREEMENT), F.col("_v._ratios") / 100.0), 2)
+    answers = scored.select(*keys, F.col("_v._values").alias("_value"), score.alias("_score"))
+    # rows without a value ask with a key of their own, which nothing answers to
+    ask = F.coalesce("_value", F.concat(F.lit("\u0000"), F.xxhash64(*fields.columns).cast("string")))
+    joined = asked.withColumn("_value", ask).join(answers, [*keys, "_value"], "left")
+    return joined.select(*fields.columns, F.coalesce("_score", F.lit(DEFAULT_AGREEMENT)).alias("agreement"))
 
 
 def tile_penalty(blur: Column, fade: Column, stain: Column, tear: Column) -> Column:

@@ -33,22 +33,34 @@ def survey_variants(survey: Column, hissa: Column) -> Column:
     )
 
 
-def _substrings(value: Column) -> Column:
-    """All distinct pieces of a (short) name."""
+GRAM = 3
+
+
+def _pieces(value: Column, size: int) -> Column:
+    """Distinct pieces of this many characters; none of a shorter name."""
     n = F.length(value)
-    pieces = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda at: F.transform(F.sequence(F.lit(1), n - at + 1), lambda size: F.substring(value, at, size)),
-    )
-    return F.array_distinct(F.flatten(pieces))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda at: F.substring(value, at, F.lit(size)))
+    return F.when(n >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def _held_names(small: DataFrame, large: DataFrame, s: str, l: str) -> DataFrame:
+    """Pairs of distinct names with ``s`` inside ``l``: they meet on the piece of ``s`` that the fewest names have.
+
+    Pieces have three characters, those of shorter names are these names. A name gives one row for each of its places.
+    """
+    sizes = F.concat(*[_pieces(F.col(l), size) for size in range(1, GRAM + 1)])
+    pieces = large.select(l, F.explode(sizes).alias("_piece"))
+    counts = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length(s) >= GRAM, _pieces(F.col(s), GRAM)).otherwise(F.array(s))
+    rarest = small.select(s, F.explode(own).alias("_piece")).join(counts, "_piece")
+    rarest = rarest.groupBy(s).agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    return rarest.join(pieces, "_piece").filter(F.col(l).contains(F.col(s))).select(s, l)
 
 
 def contained_names(asked: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs of non-empty names where one contains the other, by an equi-join on pieces of names."""
-    asked, known = (d.filter(F.col(c) != "").distinct() for d, c in ((asked.select(a), a), (known.select(b), b)))
-    in_known = known.withColumn(a, F.explode(_substrings(F.col(b)))).join(asked, a).select(a, b)
-    in_asked = asked.withColumn(b, F.explode(_substrings(F.col(a)))).join(known, b).select(a, b)
-    return in_known.union(in_asked).distinct()
+    """Distinct pairs of non-empty names where one contains the other, by an equi-join on rare pieces of names."""
+    asked, known = (d.filter(F.col(c) != "").select(c).distinct() for d, c in ((asked, a), (known, b)))
+    return _held_names(asked, known, a, b).union(_held_names(known, asked, b, a).select(a, b)).distinct()
 
 
 def find_parcels(records: DataFrame, parcels: DataFrame) -> DataFrame:

@@ -319,6 +319,30 @@ def agreement(spark, sf):
     return confidence.engine_agreement(values, texts)
 
 
+WINDOWS = """range(1 - length(s), length(l))"""
+
+
+@query(
+    "j9_party_agreement",
+    ["fx_mutations"],
+    f"""with m as (select document_id, idx, parcel_id, lower(to_party) v, lower(from_party) t from fx_mutations),
+        p as (select distinct v, t, case when length(v) <= length(t) then v else t end s, case when length(v) <= length(t) then t else v end l from m where v <> '' and t <> ''),
+        d as (select v, t, s, l from p union all select v, t, l, s from p where length(s) = length(l)),
+        w as (select v, t, s, l, unnest({WINDOWS}) i from d),
+        c as (select v, t, s, substring(l, greatest(i, 0) + 1, i + length(s) - greatest(i, 0)) x from w),
+        r as (select v, t, max({q.ratio("s", "x")}) score from c where x <> '' group by v, t)
+        select m.document_id, m.idx, m.parcel_id, coalesce(case when contains(m.t, m.v) and m.v <> '' then cast(1 as double) when r.score is not null then greatest(cast(0.4 as double), {q.rounded("(r.score / 100)", 2)}) end, cast(0.95 as double)) agreement
+        from m left join r on r.v = m.v and r.t = m.t""",
+)
+def party_agreement(spark, sf):
+    """A receiving party's name looked up in the text that names the giving one: few pages, each asked for very often."""
+    page = F.xxhash64("from_party").alias("document_id"), F.lit(0).alias("page_id")
+    moves = fx(spark, sf, "fx_mutations")
+    values = moves.select(*page, F.struct("document_id", "idx", "parcel_id").alias("at"), F.col("to_party").alias("value"))
+    texts = moves.select("from_party").distinct().select(*page, F.col("from_party").alias("text"))
+    return confidence.engine_agreement(values, texts).select("at.*", "agreement")
+
+
 TRUTH = "select document_id, field_name, line_id, value from fx_fields"
 READ = """case when line_id % 4 = 0 then concat(value, 'x') when line_id % 4 = 1 and length(value) > 1 then substring(value, 2) else value end"""
 COMPARED = f"""select t.document_id, t.field_name, t.value true_value, r.read_value, trim(t.value) = trim(r.read_value) is_exact,
