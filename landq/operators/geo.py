@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landq.functions import geometry as G
 from landq.functions.text import round_to
+from landq.operators.ordered import hot_keys
 from landq.session import cut_lineage
 
 SIGNIFICANT = 1e-9
@@ -15,6 +16,8 @@ LONGEST_ASPECT = 20.0
 WARN_PCT, ERROR_PCT = 5.0, 10.0
 # the place of a parcel in the file and the tier of a match share one sortable number
 TIER_SHIFT = 56
+#: Shapes of a grid cell from which on they are dealt in so many parts.
+CROWD, CROWD_PARTS = 5000, 64
 
 
 # ---------------------------------------------------------------- lookup
@@ -185,7 +188,7 @@ def distinct_shapes(parcels: DataFrame) -> DataFrame:
     return boxed.select("shape_id", "ring", "box", G.is_box(F.col("ring"), F.col("box")).alias("boxy"), "copies")
 
 
-def _touching(large: DataFrame, small: DataFrame, levels: list[int]) -> DataFrame:
+def _touching(large: DataFrame, small: DataFrame, levels: list[int], crowd: int = CROWD) -> DataFrame:
     """Pairs (a of ``large``, b of ``small``) whose boxes share area, with their boxes and rings.
 
     Every shape stands in its own level's cells and visits the coarser levels' cells it lies in, so small
@@ -199,6 +202,8 @@ def _touching(large: DataFrame, small: DataFrame, levels: list[int]) -> DataFram
     homes = sided(large).select(
         *side("a"), F.col("own").alias("level"), F.explode(_cells(F.col("box"), F.col("own"))).alias("cell")
     )
+    cell_keys = ["level", "cell"]
+    crowded = hot_keys(homes, cell_keys, crowd)
     coarser = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("own"))
     visits = (
         sided(small)
@@ -213,10 +218,17 @@ def _touching(large: DataFrame, small: DataFrame, levels: list[int]) -> DataFram
         F.floor(F.greatest(a["y0"], b["y0"]) / size) == F.col("cell.cy")
     )
     once = (F.col("own") < F.col("level")) | (F.col("a_id") < F.col("b_id"))
-    return homes.join(visits, ["level", "cell"]).filter(shared & here & once)
+    keys = cell_keys
+    if crowded is not None:
+        # shapes of a crowded cell are dealt in parts, and those that visit it meet every part
+        keys, hot = [*cell_keys, "part"], crowded.withColumn("hot", F.lit(True))
+        homes = homes.join(hot, cell_keys, "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("a_id"), F.lit(CROWD_PARTS)).cast("int")).otherwise(0)).drop("hot")
+        parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(CROWD_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        visits = visits.join(hot, cell_keys, "left").withColumn("part", F.explode(parts)).drop("hot")
+    return homes.join(visits, keys).filter(shared & here & once).select("a_id", "a_box", "a_ring", "b_id", "b_box", "b_ring")
 
 
-def overlap_pairs(shapes: DataFrame) -> DataFrame:
+def overlap_pairs(shapes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """i, j, overlap_area (squared ring units), overlap_sqm for distinct shapes with a common part.
 
     Two rectangles have a closed form and stay out of Python; pairs with any other shape are clipped
@@ -228,12 +240,12 @@ def overlap_pairs(shapes: DataFrame) -> DataFrame:
     left, right = F.greatest(a["x0"], b["x0"]), F.least(a["x1"], b["x1"])
     low, high = F.greatest(a["y0"], b["y0"]), F.least(a["y1"], b["y1"])
     ends = [F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")]
-    measured = _touching(boxy, boxy, levels).select(
+    measured = _touching(boxy, boxy, levels, crowd).select(
         *ends, ((right - left) * (high - low)).alias("overlap_area"), ((low + high) / 2.0).alias("_lat")
     )
     if not only_boxes:
         other = shapes.filter(~F.col("boxy"))
-        rest = _touching(other, shapes, levels).unionByName(_touching(boxy, other, levels))
+        rest = _touching(other, shapes, levels, crowd).unionByName(_touching(boxy, other, levels, crowd))
         clipped = rest.select(*ends, G.ring_overlap(F.col("a_ring"), F.col("b_ring")).alias("_clip"))
         measured = measured.unionByName(
             clipped.select("i", "j", F.col("_clip.area").alias("overlap_area"), F.col("_clip.cy").alias("_lat"))

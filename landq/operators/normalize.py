@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landq.functions import similarity
 from landq.functions.text import clean_label, round_to, sorted_words, strip_honorifics, transliterate
-from landq.sources.dictionaries import FIELD_LABELS, LAND_CLASSES, state_factors, unit_synonyms
+from landq.sources.dictionaries import FIELD_LABELS, LAND_CLASSES, inline_table, state_factors, unit_synonyms
 
 FUZZY_CLASS = 88.0
 FUZZY_LABEL = 80.0
@@ -17,8 +17,15 @@ SAME_NAME = 75.0
 SHORTEST_FUZZY = 4
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+def _looked_up(df: DataFrame, pairs: dict[str, str], out: str, *keys: Column) -> DataFrame:
+    """Adds the value of the first of the keys that is in a fixed dictionary, by broadcast joins on constant tables."""
+    found = []
+    for i, key in enumerate(keys):
+        table = inline_table(df.sparkSession, [f"_key{i}", f"_found{i}"], list(pairs.items()))
+        asked = F.when(F.coalesce(*found).isNull(), key) if found else key
+        df = df.join(F.broadcast(table), asked == F.col(f"_key{i}"), "left").drop(f"_key{i}")
+        found.append(F.col(f"_found{i}"))
+    return df.withColumn(out, F.coalesce(*found)).drop(*[f"_found{i}" for i in range(len(keys))])
 
 
 def _spread(key: Column, *ids: str) -> Column:
@@ -90,7 +97,7 @@ def normalize_land_class(df: DataFrame, raw: str, id_column: str) -> DataFrame:
     exact = {s.lower(): c for c, names in LAND_CLASSES.items() for s in [c, *names]}
     fuzzy = [(c, s.lower()) for c, names in LAND_CLASSES.items() for s in names if len(s) >= SHORTEST_FUZZY]
     pick = similarity.best_of(fuzzy, "window", FUZZY_CLASS)
-    known = df.withColumn("_exact", F.try_element_at(_map(exact), F.lower(F.trim(raw))))
+    known = _looked_up(df, exact, "_exact", F.lower(F.trim(raw)))
     unknown = F.col("_exact").isNull() & (F.col(raw) != "")
 
     def answer(values: DataFrame) -> DataFrame:
@@ -117,14 +124,12 @@ def canonicalize_labels(df: DataFrame, raw: str, id_column: str) -> DataFrame:
     entries = [(c, s.lower()) for c, names in FIELD_LABELS.items() for s in names]
     pick = similarity.best_of(entries, "ratio", FUZZY_LABEL)
 
-    found = F.coalesce(
-        F.try_element_at(_map(exact), F.lower(F.trim(raw))), F.try_element_at(_map(exact), clean_label(F.col(raw)))
-    )
+    known = _looked_up(df, exact, "_exact", F.lower(F.trim(raw)), clean_label(F.col(raw)))
 
     def answer(values: DataFrame) -> DataFrame:
         return values.withColumn("_near", pick(sorted_words(clean_label(F.col("_value")))))
 
-    joined = _per_value(df.withColumn("_exact", found), raw, id_column, F.col("_exact").isNull(), answer)
+    joined = _per_value(known, raw, id_column, F.col("_exact").isNull(), answer)
     return joined.select(
         *df.columns,
         F.coalesce("_exact", "_near.name", F.col(raw)).alias("canonical_name"),

@@ -112,6 +112,96 @@ def planar(spark, sf):
     return parcels(spark, sf).select("ord", G.ring_area(ring).alias("area"), G.ring_perimeter(ring).alias("perimeter"))
 
 
+# ---------------------------------------------------------------- shapes that are no rectangles
+
+# a square on its corner: |x - cx| + |y - cy| <= r; two of them meet in a rectangle of x + y and x - y
+CX, CY, R = "(x0 + x1) / cast(2 as double)", "(y0 + y1) / cast(2 as double)", "(x1 - x0) / cast(2 as double)"
+TURNED = f"select min(ord) id, u, v, r from (select ord, {CX} + {CY} u, {CX} - {CY} v, {R} r from fx_parcels) t group by u, v, r"
+
+
+def turned(spark, sf):
+    """Every parcel as a square on its corner."""
+    cx, cy, r = (F.col(a) + F.col(b) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0")))
+    cx, cy, r = cx / 2.0, cy / 2.0, (F.col("x1") - F.col("x0")) / 2.0
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(point(cx, cy - r), point(cx + r, cy), point(cx, cy + r), point(cx - r, cy), point(cx, cy - r))
+    return fx(spark, sf, "fx_parcels").select("ord", ring.alias("ring"))
+
+
+@query(
+    "j7_turned_squares",
+    ["fx_parcels"],
+    f"""with s as ({TURNED}), p as (select least(a.id, b.id) i, greatest(a.id, b.id) j,
+          (least(a.u + a.r, b.u + b.r) - greatest(a.u - a.r, b.u - b.r)) du, (least(a.v + a.r, b.v + b.r) - greatest(a.v - a.r, b.v - b.r)) dv from s a join s b on a.id < b.id)
+        select i, j, round(du * dv / 2, 6) area from p where du > 0 and dv > 0""",
+)
+def turned_overlaps(spark, sf):
+    found = geo.overlap_pairs(geo.distinct_shapes(turned(spark, sf)))
+    return found.select("i", "j", F.round("overlap_area", 6).alias("area"))
+
+
+# an L: the parcel without the upper right quarter of its box
+CORNERED = """select x0, y0, x1, y1, (x0 + x1) / cast(2 as double) xm, (y0 + y1) / cast(2 as double) ym, min(ord) id from fx_parcels group by x0, y0, x1, y1"""
+
+
+def ells(spark, sf):
+    xm, ym = (F.col("x0") + F.col("x1")) / 2.0, (F.col("y0") + F.col("y1")) / 2.0
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    corners = [(x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0)]
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    return fx(spark, sf, "fx_parcels").select("ord", ring.alias("ring"))
+
+
+def _common(a: tuple, b: tuple) -> str:
+    side = lambda low, high: f"greatest(0, least(a.{a[high]}, b.{b[high]}) - greatest(a.{a[low]}, b.{b[low]}))"
+    return f"{side(0, 2)} * {side(1, 3)}"
+
+
+WHOLE_BOX, QUARTER = ("x0", "y0", "x1", "y1"), ("xm", "ym", "x1", "y1")
+
+
+@query(
+    "j7_ell_overlaps",
+    ["fx_parcels"],
+    f"""with s as ({CORNERED}), p as (select a.id i, b.id j, cast({_common(WHOLE_BOX, WHOLE_BOX)} - {_common(WHOLE_BOX, QUARTER)} - {_common(QUARTER, WHOLE_BOX)} + {_common(QUARTER, QUARTER)} as double) area
+          from s a join s b on a.id < b.id and {MEETS})
+        select i, j, round(area, 6) area from p where area > 1e-9""",
+)
+def ell_overlaps(spark, sf):
+    found = geo.overlap_pairs(geo.distinct_shapes(ells(spark, sf)))
+    return found.select("i", "j", F.round("overlap_area", 6).alias("area"))
+
+
+@query(
+    "j8_points_in_ells",
+    ["fx_points", "fx_parcels"],
+    """select e.event_id, min(p.ord) ord from fx_points e join fx_parcels p on e.x > p.x0 and e.x < p.x1 and e.y > p.y0 and e.y < p.y1
+        and not (e.x >= (p.x0 + p.x1) / cast(2 as double) and e.y >= (p.y0 + p.y1) / cast(2 as double)) group by e.event_id""",
+)
+def points_in_ells(spark, sf):
+    return geo.locate_points(fx(spark, sf, "fx_points"), ells(spark, sf), "event_id")
+
+
+@query(
+    "g2_odd_shapes",
+    ["fx_parcels"],
+    """select ord, ord % 3 <> 1 is_valid, case when ord % 3 = 1 then 'Self-intersection' else 'Valid geometry' end validity_reason, ord % 3 <> 0 is_sliver from fx_parcels""",
+)
+def odd_shapes(spark, sf):
+    """L shapes, crossed rings (whose halves cancel out, so they count as slivers too) and slivers: a third each."""
+    kind, d = F.col("ord") % 3, F.lit(0.001)
+    x0, y0, x1, y1 = (F.col(c) * d for c in ("x0", "y0", "x1", "y1"))
+    xm, ym, thin = (x0 + x1) / 2.0, (y0 + y1) / 2.0, (x1 - x0) / 200.0
+    ring = lambda *corners: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    shape = (
+        F.when(kind == 0, ring((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0)))
+        .when(kind == 1, ring((x0, y0), (x1, y1), (x1, y0), (x0, y1), (x0, y0)))
+        .otherwise(ring((x0, y0), (x1, y0), (x1, y0 + thin), (x0, y0 + thin), (x0, y0)))
+    )
+    out = geo.shape_checks(fx(spark, sf, "fx_parcels").select("ord", shape.alias("ring")))
+    return out.select("ord", "is_valid", "validity_reason", "is_sliver")
+
+
 def _metres(lat: str) -> tuple[str, str]:
     d = lambda v: f"cast({v} as double)"
     phi = f"radians({lat})"

@@ -139,3 +139,14 @@ def test_cross_check(spark):
         "east_neighbour_unmatched:doc='7'",
     ]
     assert (got[4].matched, got[4].status, got[4].deviations) == (False, "error", ["missing_cadastral_parcel"])
+
+
+def test_crowded_cells_in_parts(spark):
+    """A heap of shapes of one size in one grid cell, beside others: the same pairs, dealt in parts."""
+    rng = np.random.default_rng(3)
+    rings = [box(0.5 + x, 0.5 + y, 0.9, 0.9) for x, y in rng.random((60, 2)) / 20] + [box(x, y, w, w) for x, y, w in rng.random((80, 3)) * [6, 6, 1.5] + [0, 0, 0.01]]
+    rings += [[(0.6, 0.2), (1.4, 0.6), (1.0, 1.4), (0.2, 1.0), (0.6, 0.2)]]
+    shapes = geo.distinct_shapes(layer(spark, *[parcel(i, r) for i, r in enumerate(rings)]))
+    plain = {(r.i, r.j): round(r.overlap_area, 9) for r in geo.overlap_pairs(shapes).collect()}
+    dealt = {(r.i, r.j): round(r.overlap_area, 9) for r in geo.overlap_pairs(shapes, crowd=4).collect()}
+    assert dealt == plain and len(plain) > 60 * 59 / 2
