@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landq.operators import fanout, listing, masking, metrics, rules
+from landq.operators import fanout, listing, lookup_index, masking, metrics, rules
 from landq.operators import records as rec
 from landq.plans.catalogue import legal
 from landq.plans.catalogue import sqltext as q
@@ -94,6 +94,38 @@ def search(spark, sf):
     return listing.search(fx(spark, sf, "fx_records"), "N_12", ["filename", "reg_no", "document_id"]).select("document_id")
 
 
+TERMS = ["N_12", "reg-1", "scan_9", "no such term", "77"]
+
+
+def _has(term: str) -> str:
+    return " or ".join(f"contains(lower({c}), '{term.lower()}')" for c in ("filename", "reg_no", "cast(document_id as varchar)"))
+
+
+@query(
+    "s7_indexed_search",
+    ["fx_records"],
+    " union all ".join(f"select '{t}' term, document_id from fx_records where {_has(t)}" for t in TERMS),
+)
+def indexed_search(spark, sf):
+    """The same search through a stored index of pieces of the texts."""
+    path = shared_path(spark, "search")
+    lookup_index.build_search_index(fx(spark, sf, "fx_records"), "document_id", ["filename", "reg_no", "document_id"], path)
+    found = [lookup_index.search(spark, path, t).select(F.lit(t).alias("term"), F.col("id").alias("document_id")) for t in TERMS]
+    return rec.union_all(found)
+
+
+@query(
+    "s6_deep_page",
+    ["fx_records"],
+    "select document_id, created_at from fx_records where status = 'published' order by created_at desc, document_id limit 40 offset 180",
+)
+def deep_page(spark, sf):
+    """A page far behind the first one, which the index of places leads to."""
+    path = shared_path(spark, "pages")
+    lookup_index.build_page_index(fx(spark, sf, "fx_records"), "created_at", "document_id", path, ["status"])
+    return lookup_index.page(spark, path, "created_at", "document_id", 180, 40, status="published").select("document_id", "created_at")
+
+
 @query(
     "s8_document_view",
     ["fx_records", "fx_fields", "fx_mutations"],
