@@ -84,7 +84,8 @@ def build_page_index(df: DataFrame, newest: str, id_column: str, path: str, by:
     by = by or []
     order = [*[F.col(c).asc() for c in by], F.col(newest).desc(), F.col(id_column).asc()]
     parted = df.repartitionByRange(*([parts] if parts else []), *order).withColumn("part", F.spark_partition_id())
-    parted.sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/rows")
+    df.limit(0).write.parquet(f"{path}/rows/part=-1")  # has the columns, even of a table without rows
+    parted.sortWithinPartitions("part", *order).write.mode("append").partitionBy("part").parquet(f"{path}/rows")
     counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"))
     # a row for each part and kind of page
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -56,4 +56,5 @@ def test_nothing(spark, table, tmp_path):
     none = table.filter(F.lit(False))
     lookup_index.build_page_index(none, "t", "id", str(tmp_path / "pages"))
     lookup_index.build_search_index(none, "id", ["name"], str(tmp_path / "search"))
+    assert lookup_index.page(spark, str(tmp_path / "pages"), "t", "id", 0, 5).columns == table.columns
     assert lookup_index.search(spark, str(tmp_path / "search"), "abc").count() == 0
