@@ -1,4 +1,4 @@
-"""Continuous forms of ingest, activity counts and event fan-out."""
+"""Continuous forms of rule checks, activity counts and event fan-out."""
 
 from __future__ import annotations
 
@@ -40,22 +40,7 @@ def run_with_state(stream: DataFrame, name: str, mode: str = "append") -> tuple[
     return spark.read.schema(stream.schema).parquet(f"{path}/table"), f"{path}/state"
 
 
-# ---------------------------------------------------------------- ingest
-
-
-def first_uploads(
-    uploads: DataFrame, content: str, time: str, delay: str | None = "1 day", history: DataFrame | None = None
-) -> DataFrame:
-    """First upload of each content within the watermark; ``sha256`` identifies it.
-
-    Without ``delay`` nothing is late and no content is forgotten: the state is one hash for each content ever seen. Contents in ``history`` (sha256 of what the archive holds already) are no news, however old they are.
-    """
-    hashed = uploads.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
-    if history is not None:
-        hashed = hashed.join(history.select("sha256"), "sha256", "left_anti")
-    if delay is None:
-        return hashed.dropDuplicates(["sha256"])
-    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
+# ---------------------------------------------------------------- checks
 
 
 def identifier_checks(uploads: DataFrame) -> DataFrame:
