@@ -192,10 +192,10 @@ class Bits:
 
         place = F.xxhash64(*columns).bitwiseAND((1 << BITMAP_BITS) - 1)
         parts = df.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
-        self.image = np.zeros((1 << BITMAP_BITS) // 8 + 8192, np.uint8)
-        # 4 KB for each 32,768 places: 32 MB at most, however many rows there are
+        self.image = np.zeros(((1 << BITMAP_BITS) // 32768 + 2) * 4096, np.uint8)
+        # 4 KB for each 32,768 places: 32 MB at most, however many rows there are; bucket 0 holds place 0 alone
         for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
-            start = (r["bucket"] - 1) * 4096
+            start = r["bucket"] * 4096
             self.image[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
 
     def has(self, *values: bytes) -> bool:
@@ -204,10 +204,8 @@ class Bits:
         seed = 42
         for value in values:
             seed = xxhash.xxh64_intdigest(value, seed=seed)
-        # position 0 of a bucket stands for the number that ends the bucket before it
-        at = seed & ((1 << BITMAP_BITS) - 1)
-        bucket, position = (at + 32767) // 32768, (at - 1) % 32768
-        at = (bucket - 1) * 32768 + position if at else 0
+        place = seed & ((1 << BITMAP_BITS) - 1)
+        at = place + 32767 if place else 0
         return bool(self.image[at >> 3] >> (at & 7) & 1)
 
 

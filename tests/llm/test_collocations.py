@@ -125,6 +125,12 @@ def test_bitmap(spark, monkeypatch):
     bits = collocations.Bits(spark.createDataFrame([("é", w) for w in words], "lang string, word string"), "lang", "word")
     assert all(bits.has("é".encode(), w.encode()) for w in words)
     assert sum(bits.has("é".encode(), f"other{i}".encode()) for i in range(3000)) < 150
+    # all places of a small bitmap, the first and the last one included
+    monkeypatch.setattr(collocations, "BITMAP_BITS", 4)
+    few = collocations.Bits(spark.createDataFrame([("é", w) for w in words], "lang string, word string"), "lang", "word")
+    assert all(few.has("é".encode(), f"other{i}".encode()) for i in range(200))
+    one = collocations.Bits(spark.createDataFrame([("é", "word1")], "lang string, word string"), "lang", "word")
+    assert one.has("é".encode(), b"word1") and sum(one.has("é".encode(), w.encode()) for w in words) < 400
 
 
 def test_equal_first_halves(monkeypatch):
