@@ -150,3 +150,27 @@ def test_crowded_cells_in_parts(spark):
     plain = {(r.i, r.j): round(r.overlap_area, 9) for r in geo.overlap_pairs(shapes).collect()}
     dealt = {(r.i, r.j): round(r.overlap_area, 9) for r in geo.overlap_pairs(shapes, crowd=4).collect()}
     assert dealt == plain and len(plain) > 60 * 59 / 2
+
+
+def test_grid_tables_are_never_broadcast(spark):
+    """Files of narrow columns look small; rings and cells made of them must not pass through the driver."""
+    rows = spark.range(300).selectExpr("id ord", "cast(id % 20 * 3 as double) x", "cast(floor(id / 20) * 3 as double) y")
+    ell = F.expr("""array(named_struct('x', x, 'y', y), named_struct('x', x + 4, 'y', y), named_struct('x', x + 4, 'y', y + 2),
+        named_struct('x', x + 2, 'y', y + 2), named_struct('x', x + 2, 'y', y + 4), named_struct('x', x, 'y', y + 4), named_struct('x', x, 'y', y))""")
+    df = rows.select("ord", ell.alias("ring"))
+    points = spark.range(50).selectExpr("id p", "cast(id as double) x", "cast(id as double) + 0.5 y")
+    shapes = geo.distinct_shapes(df)
+    pairs = geo.overlap_pairs(shapes)
+    for out in (geo.locate_points(points, df, "p"), pairs, geo.overlap_counts(df, pairs, shapes)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_of_many_pairs_are_those_of_each_pair():
+    r = np.random.default_rng(3)
+    turn = np.sort(r.uniform(0, 2 * np.pi, (2, 40, 6)), axis=2)
+    a, b = (np.concatenate([p, p[:, :1]], axis=1) for p in np.stack([np.cos(turn), np.sin(turn)], axis=3) * r.uniform(0.5, 2, (2, 40, 6, 1)))
+    b[::2] = b[::2, ::-1]
+    a[0], b[1] = 0.0, 50.0
+    many = G.polygon_overlaps(a, b)
+    assert many[:2, 0].tolist() == [0.0, 0.0]
+    assert many.tolist() == [list(G.polygon_overlap(p, q)) for p, q in zip(a, b)]
