@@ -58,3 +58,22 @@ def test_incomplete_tiles(spark, tmp_path, name):
     names = [d[0] for d in cur.description]
     rounded = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
     assert rounded(tuple(r[n] for n in names) for r in got.collect()) == rounded(cur.fetchall())
+
+
+#: A tile whose residual is a tie of hundredths exactly, and less in the floating-point variance of the SQL.
+TIE = (
+    "b7889e0a9b8c9a8c9d3d8cb0cd98a37081b2c9618b9d837d8999b0d1a97e76ada268a985c57c868994c1915c889c70b573c3e8a896bf9aa282839595b4a9b58a"
+    "be9e7596a7bb8594c39fba43a97fbb9888c99bd28ca9748da7f39957a18f9c8455b16193b5a9a1a19797d2d7c7aa5672a39a9ba769a0815ddcc5abafa4998841"
+    "9fa999ae75a168a5bbfc7bf898b0bbacc87d9d9d9388c9d47cc18bc5c190c2a274c2beacaaab91eeeb74cf9fbee7b19f6ccbecb9cba59de6b7889ba66090c978"
+    "96debc89779e7eeda3567d7588a69094dba9d0c8a58ac092a296cdd5d3aa8f8576afa79c87d9e4acc86f86939a83c4ce3487aebe6de4cb8ba4a67aaac46aab96"
+)
+
+
+def test_residual_is_rounded_as_the_sql_rounds_it(spark, tmp_path):
+    pixels = np.frombuffer(bytes.fromhex(TIE), dtype=np.uint8).reshape(4, 64)
+    rows = [(i, ((row + 0.5 - 160) / 300).tolist(), 0) for i, row in enumerate(pixels)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    entry, con = CATALOGUE["f2_residual_noise"], duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in entry.run(spark, str(tmp_path)).collect()]
+    assert got == con.execute(entry.sql).fetchall() == [(0, 0, 0, 132712)]
