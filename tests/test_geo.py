@@ -174,3 +174,12 @@ def test_overlaps_of_many_pairs_are_those_of_each_pair():
     many = G.polygon_overlaps(a, b)
     assert many[:2, 0].tolist() == [0.0, 0.0]
     assert many.tolist() == [list(G.polygon_overlap(p, q)) for p, q in zip(a, b)]
+
+
+def test_areas_are_rounded_once(spark, tmp_path):
+    """Parcel 89341 has just below 20,691,500 square metres: to two digits first, it would be 20,692 thousand."""
+    from landq.plans.catalogue import CATALOGUE
+
+    part = spark.range(89341, 89342).selectExpr("id p_partkey", "'blue rod' p_name", "'Brand#5' p_brand", "'SMALL' p_type", "41 p_size", "934.1D p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    assert CATALOGUE["g1_metric_area"].run(spark, str(tmp_path)).first().thousand_sqm == 20691
