@@ -183,3 +183,15 @@ def test_areas_are_rounded_once(spark, tmp_path):
     part = spark.range(89341, 89342).selectExpr("id p_partkey", "'blue rod' p_name", "'Brand#5' p_brand", "'SMALL' p_type", "41 p_size", "934.1D p_retailprice")
     part.write.parquet(f"{tmp_path}/part.parquet")
     assert CATALOGUE["g1_metric_area"].run(spark, str(tmp_path)).first().thousand_sqm == 20691
+
+
+def test_rings_of_few_points_are_judged_together():
+    """All rings of one length at a time, convex or not, with what each ring gives alone."""
+    p = np.random.default_rng(2).uniform(0, 3, (200, 6, 2))
+    p = np.concatenate([p, p[:, :1]], axis=1)
+    valid, _, decided = G._sane_many(p[..., 0], p[..., 1])
+    alone = [G._sane_one(ring) for ring in p]
+    assert decided.all() and 0 < valid.sum() < 200
+    assert valid.tolist() == [v for v, _ in alone]
+    ell = np.array([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)]) * np.array([[[1.0, 2.0]], [[3.0, 1.0]], [[1.0, 40.0]]])
+    assert G._sane_many(ell[..., 0], ell[..., 1])[1].tolist() == pytest.approx([G._sane_one(ring)[1] for ring in ell])
