@@ -31,7 +31,8 @@ PART = 2000
 
 def name_classes(names: DataFrame, column: str) -> DataFrame:
     """name, class of each distinct name; the class is its Latin lower-case form with sorted words."""
-    distinct = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
+    # written, since a later distinct over the classes makes the optimizer drop this one, and all rows would be spelled
+    distinct = written(names.select(F.col(column).alias("name")).filter("name is not null").distinct(), "names")
     return distinct.select("name", sorted_words(F.lower(transliterate(F.col("name")))).alias("class"))
 
 

@@ -56,6 +56,14 @@ def test_few_pairs_are_compared(spark):
     assert name_pairs.candidates(texts, 75).count() < 600 * 599 / 2 / 4
 
 
+def test_only_distinct_names_are_spelled(spark):
+    names = spark.range(1000).selectExpr("concat('Ram ', id % 3) name")
+    classes = name_pairs.name_classes(names, "name").select("class").distinct()
+    plan = classes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Relation" in plan
+    assert {r["class"] for r in classes.collect()} == {"0 ram", "1 ram", "2 ram"}
+
+
 def test_no_names(spark):
     assert name_pairs.class_links(spark.createDataFrame([], "class string")).count() == 0
     with pytest.raises(ValueError):
