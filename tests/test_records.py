@@ -223,3 +223,32 @@ def test_stage_writes_can_be_repeated(spark, results, tmp_path):
 
 def test_schema_is_explicit(spark, folder):
     assert readers.read_records(spark, folder).schema["extraction"].dataType == RECORD["extraction"].dataType
+
+
+def test_results_make_only_what_is_asked_for(spark):
+    """Messages and evidence of a rule are not put together for queries that count its results."""
+    owners = spark.createDataFrame([("d", "1/2")], "document_id string, share string")
+    records = spark.createDataFrame([("d", "na", "", "x", "tribal", "")], "document_id string, land_class string, na_order_ref string, ulpin string, ownership_type string, tenure_perm_ref string")
+    book = RuleBook.default()
+    alone = rules._results(records, rules._conversion(book), rules._tenure(book), rules._identifier(book))
+    for results in (rules.share_sum(owners, book), alone):
+        asked = results.select("document_id", "rule_id", "status")
+        plan = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert "format_string" not in plan and "map(" not in plan
+        assert asked.collect() == results.drop("rule_name", "severity", "message", "evidence", "disclaimer").collect()
+    assert sorted(r.message for r in alone.collect()) == [
+        "Land class 'na' needs a conversion order and the record names none.",
+        "Land id 'x' is not 14 capital letters and digits.",
+        "Tenure 'tribal' passes on with permission only and the record names none.",
+    ]
+
+
+def test_deed_dates_of_mutation_and_document(spark):
+    records = spark.createDataFrame([("d", "2020-01-05"), ("e", "bad")], "document_id string, reg_date string")
+    moves = [("d", 0, "2020-02-01"), ("d", 1, ""), ("d", 2, None), ("d", 3, "bad"), ("e", 0, "1.2.2021"), ("e", 1, ""), ("f", 0, None)]
+    moves = spark.createDataFrame([(d, i, "2020-03-01", g) for d, i, g in moves], "document_id string, idx int, mutation_date string, registration_date string")
+    got = {(r.document_id, r.idx): (r.deed_text, str(r.deeded_on)) for r in rules.dated_mutations(records, moves).collect()}
+    assert got == {
+        ("d", 0): ("2020-02-01", "2020-02-01"), ("d", 1): ("2020-01-05", "2020-01-05"), ("d", 2): ("2020-01-05", "2020-01-05"),
+        ("d", 3): ("bad", "None"), ("e", 0): ("1.2.2021", "2021-02-01"), ("e", 1): ("bad", "None"), ("f", 0): (None, "None"),
+    }
