@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Pieces of a term whose lists are read, the rarest ones, and ids that are looked up by a list of them.
 LISTS, LISTED = 3, 10_000
+#: Entries of lists that a task sorts or counts; compressed sizes, by which Spark would deal them, tell little about memory.
+DEALT = 1_000_000
 #: Version 2 pages carry delta encodings: sorted ids take a few bits each.
 LAYOUT = {
     "parquet.writer.version": "v2",
@@ -21,6 +23,10 @@ LAYOUT = {
 }
 
 
+def _tasks(entries: int) -> int:
+    return max(1, -(-entries // DEALT))
+
+
 def _grams(text: Column) -> Column:
     n = F.length(text)
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - GRAM + 1)), lambda at: F.substring(text, at, F.lit(GRAM)))
@@ -40,7 +46,9 @@ def build_search_index(df: DataFrame, id_column: str, columns: list[str], path:
     rows.repartitionByRange("id").sortWithinPartitions("id").write.options(**LAYOUT).parquet(f"{path}/texts")
     rows = df.sparkSession.read.parquet(f"{path}/texts")
     pieces = rows.select("id", F.explode(F.array_distinct(F.flatten(F.transform("texts", _grams)))).alias("piece"))
-    lists = pieces.repartitionByRange("piece", "id").sortWithinPartitions("piece", "id")
+    # a text has at most as many pieces as characters
+    most = rows.agg(F.sum(F.length(F.array_join("texts", "")))).first()[0] or 0
+    lists = pieces.repartitionByRange(_tasks(most), "piece", "id").sortWithinPartitions("piece", "id")
     lists.write.options(**LAYOUT).parquet(f"{path}/lists")
     sizes = df.sparkSession.read.parquet(f"{path}/lists").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     sizes.repartitionByRange("piece").sortWithinPartitions("piece").write.options(**LAYOUT).parquet(f"{path}/sizes")
@@ -63,6 +71,7 @@ def search(spark: SparkSession, path: str, term: str) -> DataFrame:
         return texts.select("id").limit(0)
     rarest = sorted((r["n"], r["piece"]) for r in sizes)[:LISTS]
     lists = spark.read.parquet(f"{path}/lists").filter(F.col("piece").isin([p for _, p in rarest]))
+    lists = lists.repartition(_tasks(sum(n for n, _ in rarest)), "id")
     shared = lists.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rarest)).select("id")
     if rarest[0][0] <= LISTED:
         # few enough for a filter that the texts' files and row groups can be skipped by

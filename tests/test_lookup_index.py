@@ -58,3 +58,14 @@ def test_nothing(spark, table, tmp_path):
     lookup_index.build_search_index(none, "id", ["name"], str(tmp_path / "search"))
     assert lookup_index.page(spark, str(tmp_path / "pages"), "t", "id", 0, 5).columns == table.columns
     assert lookup_index.search(spark, str(tmp_path / "search"), "abc").count() == 0
+
+
+def test_lists_are_dealt_by_their_entries(spark, tmp_path, monkeypatch):
+    """Small files of a common piece hold many entries; a task sorts a bounded number of them."""
+    monkeypatch.setattr(lookup_index, "DEALT", 500, raising=False)
+    df = spark.range(2000).selectExpr("id", "concat('abc', id) t")
+    lookup_index.build_search_index(df, "id", ["t"], str(tmp_path / "x"))
+    lists = spark.read.parquet(str(tmp_path / "x" / "lists"))
+    files = lists.groupBy("_metadata.file_path").count().collect()
+    assert max(r["count"] for r in files) < 2000
+    assert {r.id for r in lookup_index.search(spark, str(tmp_path / "x"), "BC1").collect()} == {i for i in range(2000) if str(i)[0] == "1"}
