@@ -1,18 +1,23 @@
-"""Similar names among all names of an archive, without comparing every two of them.
+"""Similar names among all names of an archive, without a row for every two of them.
 
 Names are compared as sets of classes: spellings that mean the same in Latin letters with sorted words are one class.
 Two classes are linked if the ratio of their texts reaches a cutoff. The ratio is 200 * common / (la + lb), where
 ``common`` is the length of the longest common subsequence, so linked texts have at least cutoff * (la + lb) / 200
 characters in common, counted with repeats, and their lengths differ by a bounded factor.
 
-Characters are numbered by occurrence ("a1", "a2") and put in order, rare ones first. The first few common characters of
-two linked texts then stand in a prefix of both, whose length follows from what they must have in common. Every choice
-of ``SHARED`` characters of a prefix is a key of an inverted index; linked texts meet under the key of their first
-common characters, so none is lost. What meets is filtered by common characters, and only then compared in full.
+Short names have most of their characters in common by chance, so what meets under any shared key grows with the square
+of the archive. Texts are therefore dealt in blocks of like length, blocks meet whose lengths allow a link, and a task
+compares two blocks in memory: characters are numbered by occurrence ("a1", "a2"), the frequent ones are bits of a text,
+and the bits that two texts share bound what they have in common. Only what passes is compared in full, and only links
+leave the task: shuffles hold each text once for each block it meets, never a pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +26,18 @@ from landq.functions.text import round_to, sorted_words, transliterate
 from landq.operators.normalize import SAME_NAME
 from landq.session import written
 
-#: Characters of a key.
-SHARED = 3
-#: Characters whose frequency decides their order; all others are rarer than these.
+#: Numbered characters that are bits of a text, the most frequent ones; of all others a text has a count.
 RANKED = 128
-#: Texts of one key that are met together; of a commoner key the texts are dealt in such parts.
-PART = 2000
+#: Bits of a word.
+WORD = 64
+#: Texts of a block, on average.
+PART = 16_000
+#: Lengths from here on are one in the list of lengths, by which blocks are made.
+LONGEST = 1000
+#: Tasks for the comparison of blocks, at most.
+TASKS = 2000
+#: Texts of one block that are compared with all of the other one at once.
+STRIP = 64
 
 
 def name_classes(names: DataFrame, column: str) -> DataFrame:
@@ -42,62 +53,139 @@ def numbered_characters(value: Column) -> Column:
     return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
 
 
-def needed(a: Column, b: Column, cutoff: int) -> Column:
-    """Characters that linked texts of these lengths have in common."""
-    return F.ceil((a + b) * cutoff / 200).cast("int")
-
-
-def _keys(prefix: Column, size: Column) -> Column:
-    """Hashes of all choices of ``size`` (1 to 3) elements of a prefix, in order."""
-    n = F.size(prefix)
-    at = lambda i: F.get(prefix, i)
-    two = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.xxhash64(at(i), at(j)))
-    three = lambda i: F.flatten(
-        F.transform(F.sequence(i + 1, n - 2), lambda j: F.transform(F.sequence(j + 1, n - 1), lambda k: F.xxhash64(at(i), at(j), at(k))))
-    )
-    return (
-        F.when(size == 1, F.transform(prefix, lambda c: F.xxhash64(c)))
-        .when(size == 2, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 2)), two)))
-        .otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 3)), three)))
-    )
-
-
 def described(classes: DataFrame) -> DataFrame:
-    """id, class, n (length) and letters (numbered, rare ones first) of each distinct class that is not empty."""
+    """id, class, n (length), bits (of frequent numbered characters) and others (number of all others) of each distinct
+    class that is not empty."""
     distinct = classes.select("class").distinct().filter(F.length("class") > 0)
     spelled = written(distinct.select("class", numbered_characters(F.col("class")).alias("letters")), "classes")
     counts = spelled.select(F.explode("letters").alias("c")).groupBy("c").count()
     common = counts.orderBy(F.col("count").desc(), "c").limit(RANKED).collect()
-    places = [F.lit(x) for i, r in enumerate(common) for x in (r["c"], len(common) - i)]
-    order = F.create_map(*places) if places else F.create_map().cast("map<string,int>")
-    placed = F.transform("letters", lambda c: F.struct(F.coalesce(F.try_element_at(order, c), F.lit(0)).alias("p"), c.alias("c")))
-    ranked = F.transform(F.array_sort(placed), lambda x: x["c"])
-    return written(spelled.select(F.monotonically_increasing_id().alias("id"), "class", F.length("class").alias("n"), ranked.alias("letters")), "ranked-classes")
+    entries = [F.lit(x) for at, r in enumerate(common) for x in (r["c"], at)]
+    order = F.create_map(*entries) if entries else F.create_map().cast("map<string,int>")
+    places = F.array_compact(F.transform("letters", lambda c: F.try_element_at(order, c)))
+
+    def word(at: int) -> Column:
+        bit = lambda p: F.when(F.floor(p / WORD) == at, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(WORD)))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("places", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
+
+    ranked = spelled.select("class", F.size("letters").alias("n"), places.alias("places"))
+    words = F.array(*[word(at) for at in range(-(-RANKED // WORD))])
+    return written(
+        ranked.select(
+            F.monotonically_increasing_id().alias("id"), "class", "n", words.alias("bits"), (F.col("n") - F.size("places")).alias("others")
+        ),
+        "described-classes",
+    )
+
+
+def _blocks(lengths: list[tuple[int, int]], cutoff: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """length, first block of its band, blocks of the band, first and last block that they meet; and how many blocks meet.
+
+    ``lengths`` are (length, texts) in order. Lengths are put together in a band until it fills a block; a band of more is
+    dealt in several blocks. Blocks are numbered by length, so those that one meets are a range.
+    """
+    bands: list[list] = []  # [lengths, texts]
+    for length, texts in lengths:
+        if not bands or bands[-1][1] + texts > PART:
+            bands.append([[], 0])
+        bands[-1][0].append(length)
+        bands[-1][1] += texts
+    parts = [-(-texts // PART) for _, texts in bands]
+    at = [sum(parts[:i]) for i in range(len(bands))]
+    # the longest partner of a band's longest text; the last length stands for all above it
+    most = [float("inf") if ls[-1] >= LONGEST else ls[-1] * (200 - cutoff) // cutoff for ls, _ in bands]
+    listed, meetings = [], 0
+    for i, (ls, _) in enumerate(bands):
+        first = next(at[j] for j in range(i + 1) if ls[0] <= most[j])
+        last = max(at[j] + parts[j] - 1 for j in range(i, len(bands)) if bands[j][0][0] <= most[i])
+        listed += [(length, at[i], parts[i], first, last) for length in ls]
+        meetings += sum(last - block + 1 for block in range(at[i], at[i] + parts[i]))
+    return listed, meetings
+
+
+def _met(texts: DataFrame, cutoff: int) -> DataFrame:
+    """The texts once for each block that theirs meets: pair, side (0: of the block of shorter ones) and the text's columns;
+    rows of a pair stand together."""
+    length = F.least("n", F.lit(LONGEST))
+    counts = texts.groupBy(length.alias("length")).count().orderBy("length").collect()
+    listed, meetings = _blocks([(r["length"], r["count"]) for r in counts], cutoff)
+    bands = texts.sparkSession.createDataFrame(listed, "length int, at int, parts int, first int, last int")
+    dealt = texts.withColumn("length", length).join(F.broadcast(bands), "length")
+    dealt = dealt.withColumn("block", F.col("at") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence("first", "last")))
+    pair = F.struct(F.least("block", "other").alias("short"), F.greatest("block", "other").alias("long"))
+    sided = other.select(pair.alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "class", "n", "bits", "others")
+    by = ["pair.short", "pair.long"]
+    rows = sided.repartition(max(1, min(meetings, TASKS)), *by).sortWithinPartitions(*by, "side", "n")
+    return rows.select(F.concat_ws(" ", "pair.short", "pair.long").alias("pair"), "side", "id", "class", "n", "bits", "others")
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each pair of blocks."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        for pair, rows in batch.groupby("pair", sort=False):
+            if kept and kept[0]["pair"].iat[0] != pair:
+                yield pd.concat(kept, ignore_index=True)
+                kept = []
+            kept.append(rows)
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def _strips(rows: pd.DataFrame, cutoff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in the rows) of texts of two blocks, or of one block, that may be linked by their common characters."""
+    bits = np.array(rows["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(rows), -1)
+    n, others, side = (rows[c].to_numpy(dtype=np.int32) for c in ("n", "others", "side"))
+    shorts = np.flatnonzero(side == 0)
+    longs = np.flatnonzero(side == 1)
+    alone = len(longs) == 0
+    longs = shorts if alone else longs
+    columns = [np.ascontiguousarray(bits[longs, w]) for w in range(bits.shape[1])]
+    for start in range(0, len(shorts), STRIP):
+        strip = shorts[start : start + STRIP]
+        # of one block only later ones are met
+        skip = start if alone else 0
+        shared = np.zeros((len(strip), len(longs) - skip), dtype=np.uint8)
+        for w, column in enumerate(columns):
+            shared += np.bitwise_count(bits[strip, w][:, None] & column[None, skip:])
+        met = longs[skip:]
+        # common * 200 >= cutoff * (la + lb), where common is at most the shared bits and the fewer others
+        least = np.empty(shared.shape, dtype=bool)
+        for at, text in enumerate(strip):
+            need = -(-(n[met] + n[text]) * cutoff // 200) if at == 0 or n[text] != n[strip[at - 1]] else need
+            more = np.minimum(others[met], others[text]) if others[text] else 0
+            np.greater_equal(shared[at], need - more, out=least[at])
+        if alone:
+            least &= np.arange(skip, len(longs))[None, :] > (start + np.arange(len(strip)))[:, None]
+        a, b = np.nonzero(least)
+        yield strip[a], met[b]
+
+
+def _compare(cutoff: int):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches):
+            classes = rows["class"].to_numpy(dtype=object)
+            texts = similarity.Texts(classes)
+            for a, b in _strips(rows, cutoff):
+                scores = texts.ratios(a, b)
+                linked = scores >= cutoff
+                if linked.any():
+                    yield pd.DataFrame({"a": classes[a[linked]], "b": classes[b[linked]], "score": scores[linked]})
+
+    return compare
 
 
 def candidates(texts: DataFrame, cutoff: int) -> DataFrame:
-    """Distinct pairs (short, long) of ids that share a key and whose lengths allow a link; texts: id, n, letters."""
-    n = F.col("n")
-    least = F.ceil(n * cutoff / (200 - cutoff)).cast("int")  # the shortest partner of a text
-    most = F.floor(n * (200 - cutoff) / cutoff).cast("int")  # the longest one
-    size = lambda longer: F.least(F.lit(SHARED), needed(longer, F.ceil(longer * cutoff / (200 - cutoff)).cast("int"), cutoff))
-    # the longer one decides how many characters a key has; a short text has keys for all partners it may have
-    long = texts.withColumn("size", size(n)).withColumn("prefix", n - needed(n, least, cutoff) + F.col("size"))
-    short = texts.withColumn("size", F.explode(F.sequence(size(n), size(most)))).withColumn("prefix", n - needed(n, n, cutoff) + F.col("size"))
-
-    def index(side: DataFrame, name: str) -> DataFrame:
-        keys = _keys(F.slice("letters", F.lit(1), F.least("prefix", "n")), F.col("size"))
-        return side.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.explode(F.array_distinct(keys)).alias("key"))
-
-    shorts, longs = written(index(short, "short"), "short-keys"), written(index(long, "long"), "long-keys")
-    # a common key's texts are dealt in parts, and each short one meets all parts
-    parts = longs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1")
-    shorts = shorts.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    longs = longs.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("long"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    # texts of one length meet in either role; the smaller id is the short one then
-    fits = (F.col("short_n") < F.col("long_n")) & ((F.col("short_n") + F.col("long_n")) * cutoff <= F.col("short_n") * 200)
-    fits = fits | ((F.col("short_n") == F.col("long_n")) & (F.col("short") < F.col("long")))
-    return shorts.join(longs, ["key", "part"]).filter(fits).select("short", "long").distinct()
+    """Distinct pairs (short, long) of ids that are compared in full: length and common characters allow a link."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches):
+            ids = rows["id"].to_numpy()
+            for a, b in _strips(rows, cutoff):
+                yield pd.DataFrame({"short": ids[a], "long": ids[b]})
+
+    return _met(texts, cutoff).mapInPandas(pairs, "short long, long long")
 
 
 def class_links(classes: DataFrame, cutoff: float = SAME_NAME) -> DataFrame:
@@ -108,11 +196,5 @@ def class_links(classes: DataFrame, cutoff: float = SAME_NAME) -> DataFrame:
     whole = int(cutoff)
     if whole != cutoff or not 0 < whole < 100:
         raise ValueError("the cutoff is a whole number between 1 and 99")
-    texts = described(classes)
-    pairs = candidates(texts, whole)
-    left = texts.select(F.col("id").alias("short"), F.col("class").alias("_a"), F.col("letters").alias("_la"))
-    right = texts.select(F.col("id").alias("long"), F.col("class").alias("_b"), F.col("letters").alias("_lb"))
-    met = pairs.join(left, "short").join(right, "long")
-    alike = met.filter(F.size(F.array_intersect("_la", "_lb")) >= needed(F.size("_la"), F.size("_lb"), whole))
-    scored = alike.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), similarity.indel_ratio(F.col("_a"), F.col("_b")).alias("_score"))
-    return scored.filter(F.col("_score") >= whole).select("a", "b", round_to(F.col("_score") / 100.0, 2).alias("name_score"))
+    linked = _met(described(classes), whole).mapInPandas(_compare(whole), "a string, b string, score double")
+    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), round_to(F.col("score") / 100.0, 2).alias("name_score"))

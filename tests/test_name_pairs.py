@@ -56,6 +56,27 @@ def test_few_pairs_are_compared(spark):
     assert name_pairs.candidates(texts, 75).count() < 600 * 599 / 2 / 4
 
 
+def test_no_row_for_a_pair_is_shuffled(spark, monkeypatch):
+    """Texts of the same letters all pass for candidates; shuffles hold each one once for each block that it meets."""
+    monkeypatch.setattr(name_pairs, "PART", 100)
+    rng = random.Random(2)
+    names = ["".join(rng.sample("abcdefghijklmnop", 16)) for _ in range(400)]
+    frame = spark.createDataFrame([(n,) for n in names], "class string")
+    texts = name_pairs.described(frame)
+    assert name_pairs.candidates(texts, 75).count() == 400 * 399 / 2
+    assert name_pairs._met(texts, 75).count() == 400 * 4
+    assert {(r.a, r.b) for r in name_pairs.class_links(frame).collect()} == brute(names, 75).keys()
+
+
+def test_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(name_pairs, "PART", 20)
+    monkeypatch.setattr(name_pairs, "LONGEST", 90)
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abéz ") for _ in range(rng.randint(50, 140))).strip() for _ in range(120)]
+    frame = spark.createDataFrame([(n,) for n in names], "class string")
+    assert {(r.a, r.b) for r in name_pairs.class_links(frame, 70).collect()} == brute(names, 70).keys()
+
+
 def test_only_distinct_names_are_spelled(spark):
     names = spark.range(1000).selectExpr("concat('Ram ', id % 3) name")
     classes = name_pairs.name_classes(names, "name").select("class").distinct()
