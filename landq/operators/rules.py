@@ -18,6 +18,9 @@ NON_AGRICULTURAL = ["non_agricultural", "commercial", "na"]
 SHARE_TYPE = "decimal(28,12)"
 ANCHOR = 4
 MANY_NAMES = 1_000
+#: What meets documents by id is met by a table of these: nothing is sorted, so a task holds its documents' few columns only,
+#: however many rows its shuffled bytes, which Spark deals them by, turn out to be.
+HASHED = "shuffle_hash"
 
 
 def _evidence(**items: Column) -> Column:
@@ -124,7 +127,7 @@ def area_excess(records: DataFrame, mutations: DataFrame, book: RuleBook) -> Dat
         "document_id", "idx", to_number(F.col("transferred_area").cast("string")).alias("transferred_area")
     ).filter(F.col("transferred_area").isNotNull())
     holdings = records.select("document_id", "holding_sqm").filter(F.col("holding_sqm") != 0)
-    over = moved.join(holdings, "document_id").filter(F.col("transferred_area") > F.col("holding_sqm") * factor)
+    over = moved.join(holdings.hint(HASHED), "document_id").filter(F.col("transferred_area") > F.col("holding_sqm") * factor)
     first = over.groupBy("document_id").agg(
         F.min(F.struct("idx", "transferred_area", "holding_sqm")).alias("m")
     )
@@ -161,7 +164,7 @@ def dated_mutations(records: DataFrame, mutations: DataFrame) -> DataFrame:
         {"mutated_on": parse_date(F.col("mutation_date")), "deeded_on": parse_date(F.col("registration_date"))}
     )
     own = F.col("registration_date") != ""
-    return parsed.join(deeds, "document_id", "left").withColumns(
+    return parsed.join(deeds.hint(HASHED), "document_id", "left").withColumns(
         {
             "deed_text": first_filled(F.col("registration_date"), F.col("document_reg_date")),
             "deeded_on": F.when(own, F.col("deeded_on")).otherwise(F.col("document_deeded_on")),
@@ -506,14 +509,14 @@ def conflicts(records: DataFrame, keys: list[str]) -> DataFrame:
         .filter(F.col("first_id") != F.col("last_id"))
         .drop("last_id")
     )
-    shared = filled.join(firsts, keys)
+    shared = filled.join(firsts.hint(HASHED), keys)
     seconds = (
         shared.filter(F.col("document_id") > F.col("first_id"))
         .groupBy(*keys)
         .agg(F.min("document_id").alias("second_id"))
     )
     other = F.when(F.col("document_id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
-    return shared.join(seconds, keys).select("document_id", *keys, "copies", other.alias("conflicting_id"))
+    return shared.join(seconds.hint(HASHED), keys).select("document_id", *keys, "copies", other.alias("conflicting_id"))
 
 
 def registration_conflicts(records: DataFrame) -> DataFrame:
@@ -568,7 +571,7 @@ def in_scope(results: DataFrame, records: DataFrame, book: RuleBook) -> DataFram
     """Keep results of rules that apply to the document's type, when the rule book enforces scopes."""
     if not book.enforce_scope:
         return results
-    typed = results.join(records.select("document_id", "document_type"), "document_id")
+    typed = results.join(records.select("document_id", "document_type").hint(HASHED), "document_id")
     keep = F.lit(False)
     for rule in book.rules:
         keep = keep | ((F.col("rule_id") == rule) & book.in_scope(rule, F.col("document_type")))

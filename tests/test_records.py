@@ -252,3 +252,20 @@ def test_deed_dates_of_mutation_and_document(spark):
         ("d", 0): ("2020-02-01", "2020-02-01"), ("d", 1): ("2020-01-05", "2020-01-05"), ("d", 2): ("2020-01-05", "2020-01-05"),
         ("d", 3): ("bad", "None"), ("e", 0): ("1.2.2021", "2021-02-01"), ("e", 1): ("bad", "None"), ("f", 0): (None, "None"),
     }
+
+
+def test_documents_are_met_without_sorting(spark):
+    """What meets documents by id or number may be many rows to a task; it is not sorted for that."""
+    records = spark.createDataFrame(
+        [("d", 10.0, "r", "2020-01-05", "sale_deed"), ("e", 10.0, "r", "2020-01-05", "other")],
+        "document_id string, holding_sqm double, reg_no string, reg_date string, document_type string",
+    )
+    moves = [("d", 0, 20.0, "2020-01-01", ""), ("e", 0, 5.0, "2020-02-01", "")]
+    moves = spark.createDataFrame(moves, "document_id string, idx int, transferred_area double, mutation_date string, registration_date string")
+    book = RuleBook(RuleBook.default().rules, enforce_scope=True)
+    reused = rules.duplicate_registry(records, book)
+    met = [rules.dated_mutations(records, moves), rules.area_excess(records, moves, book), reused, rules.in_scope(reused, records, book)]
+    for df in met:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [df.count() for df in met] == [2, 1, 2, 2 if "all" in book.rules[rb.DUPLICATE].applies_to else 1]
