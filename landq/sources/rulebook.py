@@ -112,6 +112,10 @@ class RuleBook:
     def tuned(self, rule_id: str, **changes: object) -> "RuleBook":
         return replace(self, rules={**self.rules, rule_id: replace(self.rules[rule_id], **changes)})
 
+    def only(self, *rule_ids: str) -> "RuleBook":
+        """All other rules disabled, so that a plan leaves them out."""
+        return replace(self, rules={k: replace(r, enabled=r.enabled and k in rule_ids) for k, r in self.rules.items()})
+
     def in_scope(self, rule_id: str, document_type: Column) -> Column:
         """Scope test; off by default, because scopes are declared but not applied by the rules."""
         scope = self.rules[rule_id].applies_to

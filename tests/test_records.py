@@ -269,3 +269,20 @@ def test_documents_are_met_without_sorting(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert [df.count() for df in met] == [2, 1, 2, 2 if "all" in book.rules[rb.DUPLICATE].applies_to else 1]
+
+
+def test_hints_leave_other_rules_out(spark):
+    from landq.operators import forensics
+    from landq.plans.catalogue import CATALOGUE
+
+    book = RuleBook.default().tuned(rb.DUPLICATE, enabled=False).only(*forensics.HINT_RULES)
+    assert [r for r in book.rules if book.enabled(r)] == [rb.CHRONOLOGY]
+    plan = CATALOGUE["f5_text_logic_hints"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "is_deceased" not in plan and "tenure_perm_ref" not in plan
+    found = [("d", rb.DUPLICATE), ("d", rb.CHRONOLOGY), ("d", rb.CHRONOLOGY), ("e", rb.CHRONOLOGY), ("f", rb.SHARES)]
+    results = spark.createDataFrame([(d, r, "failed") for d, r in found] + [("g", rb.DUPLICATE, "passed")], "document_id string, rule_id string, status string")
+    flags = forensics.text_logic_flags(results)
+    assert sorted((r.document_id, r.flag_type, r.severity, r.score) for r in flags.collect()) == [
+        ("d", "text_logic_anachronistic_dates", "warn", 0.9), ("d", "text_logic_duplicate_registration", "critical", 0.98),
+        ("e", "text_logic_anachronistic_dates", "warn", 0.9),
+    ]
