@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.functions.text import first_filled, mask_name
-from landq.operators.records import widen
+from landq.functions.text import first_filled, mask_name, spread, spread_over
+from landq.operators.records import named_fields, tasks_for, widen
+from landq.operators.rules import HASHED
 from landq.sources.dictionaries import has_permission
 
 
@@ -77,12 +78,16 @@ def document_view(documents: DataFrame, children: dict[str, DataFrame]) -> DataF
 
 
 def export_rows(documents: DataFrame, fields: DataFrame, role: str) -> DataFrame:
-    """Twelve columns per document, first filled alternative of each, owner masked unless permitted."""
-    wide = widen(fields, EXPORT_FIELDS)
+    """Twelve columns per document, first filled alternative of each, owner masked unless permitted.
+
+    Documents and fields are dealt to as many tasks as their rows ask for.
+    """
+    tasks = tasks_for(max(named_fields(fields, EXPORT_FIELDS).count(), documents.count()))
+    wide = widen(fields, EXPORT_FIELDS, tasks)
     listed = documents.select(
         "document_id", "filename", "doc_type", "status", "overall_confidence", "created_at"
     )
-    joined = listed.join(wide, "document_id", "left")
+    joined = listed.repartition(tasks, "document_id").join(wide.hint("merge"), "document_id", "left")
     col = lambda *names: F.coalesce(first_filled(*[F.col(n) for n in names]), F.lit(""))
     owner = first_filled(F.col("owner_name"), F.col("khatadar_name"), F.col("owner_0_name"))
     shown = owner if has_permission(role, "VIEW_PII") else F.when(owner.isNotNull(), mask_name(owner))
@@ -105,18 +110,29 @@ def export_rows(documents: DataFrame, fields: DataFrame, role: str) -> DataFrame
 def export_geometry(rows: DataFrame, parcels: DataFrame) -> DataFrame:
     """Adds ord of the parcel: by land id, else by village and survey number; null when there is none.
 
-    The OR is two equi-joins against tables with one row per key.
+    The OR is two equi-joins against hashed tables with one row per key: rows are not sorted and no table is sent whole to
+    every task. Rows without a land id, and those without a survey number, are spread, not gathered in a task.
     """
     by_id = parcels.filter(F.col("ulpin") != "").groupBy("ulpin").agg(F.min("ord").alias("id_ord"))
+    by_id = by_id.select(spread(F.col("ulpin"), "id_ord").alias("_id"), "id_ord")
     by_place = parcels.groupBy(
         F.lower(F.trim("village")).alias("_village"), F.trim("survey_no").alias("_survey")
     ).agg(F.min("ord").alias("place_ord"))
-    joined = rows.join(by_id, "ulpin", "left").join(
-        by_place,
-        (F.lower(F.trim(rows["village"])) == F.col("_village")) & (F.trim(rows["survey_no"]) == F.col("_survey")),
+    # parcels without a survey number are few places; each meets all parts of the rows without one
+    by_place = by_place.select("_village", F.explode(spread_over(F.col("_survey"))).alias("_survey"), "place_ord")
+    keyed = rows.withColumns(
+        {
+            "_row_id": spread(F.col("ulpin"), "document_id"),
+            "_row_village": F.lower(F.trim("village")),
+            "_row_survey": spread(F.trim("survey_no"), "document_id"),
+        }
+    )
+    joined = keyed.join(by_id.hint(HASHED), F.col("_row_id") == F.col("_id"), "left").join(
+        by_place.hint(HASHED),
+        (F.col("_row_village") == F.col("_village")) & (F.col("_row_survey") == F.col("_survey")),
         "left",
     )
-    return joined.select(*[rows[c] for c in rows.columns], F.least("id_ord", "place_ord").alias("ord"))
+    return joined.select(*rows.columns, F.least("id_ord", "place_ord").alias("ord"))
 
 
 def linked_parcels(parcels: DataFrame, documents: DataFrame, fields: DataFrame, role: str) -> DataFrame:

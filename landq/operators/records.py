@@ -48,6 +48,14 @@ MUTATION_FIELDS = {
     "order_ref": "order_ref",
 }
 
+#: Rows that a task sorts, on average; compressed sizes, by which Spark would deal them, tell little about memory.
+DEALT = 250_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // DEALT))
+
+
 def _entries(pairs: list[tuple[Column, Column]]) -> Column:
     """Rows of (field_name, item) for the items that are there."""
     structs = [F.struct(name.alias("field_name"), item.alias("item")) for name, item in pairs]
@@ -146,10 +154,20 @@ def effective_values(fields: DataFrame) -> DataFrame:
     )
 
 
-def widen(fields: DataFrame, names: list[str]) -> DataFrame:
-    """One wide row per document; the name list is given, so one aggregation does it."""
+def named_fields(fields: DataFrame, names: list[str]) -> DataFrame:
+    return fields.filter(F.col("field_name").isin(names)).select("document_id", "field_name", "value")
+
+
+def widen(fields: DataFrame, names: list[str], tasks: int | None = None) -> DataFrame:
+    """One wide row per document; the name list is given, so one aggregation does it.
+
+    Fields are dealt by document before they are grouped. Most documents have a name once, so grouping them first would
+    only sort all that a task reads and shuffle rows that are wide and nearly empty.
+    """
+    kept = named_fields(fields, names)
+    tasks = tasks or tasks_for(kept.count())
     picks = [F.max(F.when(F.col("field_name") == n, F.col("value"))).alias(n) for n in names]
-    return fields.filter(F.col("field_name").isin(names)).groupBy("document_id").agg(*picks)
+    return kept.repartition(tasks, "document_id").groupBy("document_id").agg(*picks)
 
 
 def merge_pages(pages: DataFrame, name: str, page: str = "page_no", pos: str = "pos") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landq.functions.text import spread
 from landq.operators.review import correction_messages
+from landq.operators.rules import HASHED
 
 
 def write_stage(df: DataFrame, path: str, batch_date: str) -> None:
@@ -34,14 +36,18 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def features(rows: DataFrame, parcels: DataFrame) -> DataFrame:
     """One GeoJSON feature per line: properties and the ring of the matched parcel, or a null geometry.
 
-    ``rows`` carry ord, the matched parcel.
+    ``rows`` carry ord, the matched parcel. Rows without one are spread, not gathered in a task; rings are not sent whole to
+    every task.
     """
-    joined = rows.join(parcels.select("ord", "ring"), "ord", "left")
+    own = [c for c in rows.columns if c != "ord"]
+    rings = parcels.filter(F.col("ord").isNotNull()).select(spread(F.col("ord").cast("string"), "ord").alias("_ring_of"), "ring")
+    keyed = rows.withColumn("_ord", spread(F.col("ord").cast("string"), own[0]))
+    joined = keyed.join(rings.hint(HASHED), F.col("_ord") == F.col("_ring_of"), "left")
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     geometry = F.when(
         F.col("ring").isNotNull(), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     )
-    properties = F.struct(*[c for c in rows.columns if c != "ord"])
+    properties = F.struct(*own)
     feature = F.struct(
         F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")
     )

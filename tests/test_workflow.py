@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from landq.operators import confidence, forensics, listing, masking, ownership, review
+from landq.operators import confidence, forensics, listing, masking, ownership, records, review
 from landq.sources import readers, sinks
 
 EVENTS = "event_id int, task_id int, reviewer_id string, role string, action string, is_checker boolean, ts int"
@@ -130,3 +130,41 @@ def test_tile_metrics_of_plain_and_striped_tiles(spark):
     assert got[1].blur > 1000
     quality = forensics.page_quality(forensics.tile_metrics(df)).first().quality
     assert len(quality.tile_metrics) == 2
+
+
+def test_rows_without_a_parcel_are_spread(spark):
+    """Their empty keys would put them into one task each; a parcel without a survey number is still found by all of its rows."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    ring = F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")))
+    parcels = spark.createDataFrame(
+        [(5, "U5", "7", "Ond"), (3, "U3", "", "Ond"), (4, "", " ", "ond "), (9, None, None, "Ond"), (8, "U8", "8", None)],
+        "ord long, ulpin string, survey_no string, village string",
+    ).withColumn("ring", ring)
+    ids = spark.range(4000).withColumnRenamed("id", "document_id")
+    empty = ids.select("document_id", F.when(F.col("document_id") % 2 == 0, "").alias("ulpin"), F.lit("").alias("survey_no"), F.lit("Wai").alias("village"))
+    known = spark.createDataFrame(
+        [(5000, "U5", "", "Ond"), (5001, "", " 7", "OND"), (5002, None, "", "ond"), (5003, "U8", None, "Ond"), (5004, "=U5", "8", "")],
+        "document_id long, ulpin string, survey_no string, village string",
+    )
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = listing.export_geometry(empty, parcels)
+        counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 4000 and max(counts) < 2000
+        lines = sinks.features(rows, parcels)
+        counts = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 4000 and max(counts) < 2000
+        got = {r.document_id: r.ord for r in listing.export_geometry(known, parcels).collect()}
+        assert got == {5000: 3, 5001: 5, 5002: 3, 5003: 8, 5004: None}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_fields_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    monkeypatch.setattr(records, "DEALT", 100)
+    fields = spark.range(1000).select((F.col("id") % 300).alias("document_id"), F.lit("village").alias("field_name"), F.col("id").cast("string").alias("value"))
+    wide = records.widen(fields, ["village"])
+    assert wide.rdd.getNumPartitions() == 10
+    assert wide.count() == 300 and wide.filter("document_id = 1").first().village == "901"
