@@ -209,20 +209,25 @@ ITEMS = "o.document_id, o.document_type, o.survey_no, o.ulpin"
 
 
 def nested_records(spark, sf):
-    """Record documents put together from the tables: scalars, owners and mutations of each document."""
+    """Record documents put together from the tables: scalars, owners and mutations of each document.
+
+    Rows are dealt by document before they are listed: a document has few, so lists made before that save nothing.
+    """
     item = lambda c: F.struct(
         c.cast("string").alias("value"), c.cast("string").alias("raw_text"), F.lit(0.9).alias("confidence")
     )
     opt = lambda name: F.when(F.col(name).isNotNull(), item(F.col(name)))
     owners = (
         fx(spark, sf, "fx_owners")
+        .repartition("document_id")
         .groupBy("document_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "parcel_id", "name", "share", "father_husband", "is_minor", "is_deceased"))).alias("o"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "parcel_id", "name", "share", "father_husband", "is_minor", "is_deceased"))).alias("o"))
     )
     moves = (
         fx(spark, sf, "fx_mutations")
+        .repartition("document_id")
         .groupBy("document_id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "parcel_id", "mutation_no", "mutation_date", "registration_date", "from_party", "to_party", "transferred_area", "order_ref", "mutation_type"))).alias("m"))
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "parcel_id", "mutation_no", "mutation_date", "registration_date", "from_party", "to_party", "transferred_area", "order_ref", "mutation_type"))).alias("m"))
     )
     base = fx(spark, sf, "fx_records").join(owners, "document_id", "left").join(moves, "document_id", "left")
     empty = F.struct(
@@ -294,7 +299,8 @@ MOVE_ORDER = ", ".join(
 )
 def flatten(spark, sf):
     rows = rec.flatten_fields(nested_records(spark, sf))
-    numbers = F.col("field_name").isin("plot_area_value") | F.col("field_name").rlike("^mutation_[0-9]+_area$")
+    name = F.col("field_name")
+    numbers = (name == "plot_area_value") | (name.startswith("mutation_") & name.endswith("_area"))
     value = F.col("value")
     return rows.select(
         "document_id", "field_name", F.when(~numbers, value).alias("value"), F.when(numbers, value.try_cast("double")).alias("number")

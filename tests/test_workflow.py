@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landq.operators import confidence, forensics, listing, masking, ownership, records, review
+from landq.plans.catalogue import archive_views
 from landq.sources import readers, sinks
 
 EVENTS = "event_id int, task_id int, reviewer_id string, role string, action string, is_checker boolean, ts int"
@@ -168,3 +169,9 @@ def test_fields_are_dealt_before_they_are_grouped(spark, monkeypatch):
     wide = records.widen(fields, ["village"])
     assert wide.rdd.getNumPartitions() == 10
     assert wide.count() == 300 and wide.filter("document_id = 1").first().village == "901"
+
+
+def test_rows_of_a_document_are_dealt_before_they_are_listed(spark, capsys):
+    archive_views.nested_records(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_COL") == 2 and "array_sort" not in plan
