@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.functions import similarity
+from landq.functions.similarity import Texts
 from landq.functions.text import round_to, sorted_words, transliterate
 from landq.operators.normalize import SAME_NAME
 from landq.session import written
@@ -166,7 +166,7 @@ def _compare(cutoff: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches):
             classes = rows["class"].to_numpy(dtype=object)
-            texts = similarity.Texts(classes)
+            texts = Texts(classes)
             for a, b in _strips(rows, cutoff):
                 scores = texts.ratios(a, b)
                 linked = scores >= cutoff

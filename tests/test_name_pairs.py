@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from landq.functions.similarity import ratios
+from landq.functions.similarity import indel_ratio, ratios
 from landq.operators import name_pairs
 from landq.plans.catalogue import CATALOGUE
 
@@ -97,3 +98,10 @@ def test_title_links_by_brute_force(spark):
     titles = [" ".join(sorted((r.text or "").lower().split()[:3])) for r in rows]
     got = {(r.a, r.b) for r in CATALOGUE["p13_title_links"].run(spark, SF).collect()}
     assert got == brute(titles, 75).keys() and got
+
+
+def test_after_the_ratio_was_used(spark):
+    """Functions travel by value: one that names the module of the ratio took its UDF along, which can't travel once it was used."""
+    frame = spark.createDataFrame([("abcd",), ("abce",)], "class string")
+    assert frame.select(indel_ratio(F.col("class"), F.lit("abcd")).alias("r")).agg(F.max("r")).first()[0] == 100.0
+    assert [tuple(r) for r in name_pairs.class_links(frame).collect()] == [("abcd", "abce", 0.75)]
