@@ -7,9 +7,8 @@ characters in common, counted with repeats, and their lengths differ by a bounde
 
 Short names have most of their characters in common by chance, so what meets under any shared key grows with the square
 of the archive. Texts are therefore dealt in blocks of like length, blocks meet whose lengths allow a link, and a task
-compares two blocks in memory: characters are numbered by occurrence ("a1", "a2"), the frequent ones are bits of a text,
-and the bits that two texts share bound what they have in common. Only what passes is compared in full, and only links
-leave the task: shuffles hold each text once for each block it meets, never a pair.
+compares two blocks in memory (``landq.functions.likeness``). Only links leave the task: shuffles hold each text once for
+each block it meets, never a pair. All pairs of like length are looked at, so the time grows with the square of the texts.
 """
 
 from __future__ import annotations
@@ -18,26 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landq.functions.similarity import Texts
+from landq.functions.likeness import Meeting
 from landq.functions.text import round_to, sorted_words, transliterate
 from landq.operators.normalize import SAME_NAME
 from landq.session import written
 
-#: Numbered characters that are bits of a text, the most frequent ones; of all others a text has a count.
-RANKED = 128
-#: Bits of a word.
-WORD = 64
-#: Texts of a block, on average.
+#: Bits of a word that stand for numbered characters; frequent ones have a bit of their own.
+RANKED = 58
+#: Texts of a block, on average, and how many times as many where there would be more than so many blocks.
 PART = 16_000
+GROWN, BLOCKS = 4, 28
 #: Lengths from here on are one in the list of lengths, by which blocks are made.
 LONGEST = 1000
 #: Tasks for the comparison of blocks, at most.
 TASKS = 2000
-#: Texts of one block that are compared with all of the other one at once.
-STRIP = 64
 
 
 def name_classes(names: DataFrame, column: str) -> DataFrame:
@@ -47,147 +43,100 @@ def name_classes(names: DataFrame, column: str) -> DataFrame:
     return distinct.select("name", sorted_words(F.lower(transliterate(F.col("name")))).alias("class"))
 
 
-def numbered_characters(value: Column) -> Column:
-    """Each character with its number among equal ones so far."""
-    letters = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))
-    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-
-
 def described(classes: DataFrame) -> DataFrame:
-    """id, class, n (length), bits (of frequent numbered characters) and others (number of all others) of each distinct
-    class that is not empty."""
+    """id, class and n (length) of each distinct class that is not empty."""
     distinct = classes.select("class").distinct().filter(F.length("class") > 0)
-    spelled = written(distinct.select("class", numbered_characters(F.col("class")).alias("letters")), "classes")
-    counts = spelled.select(F.explode("letters").alias("c")).groupBy("c").count()
-    common = counts.orderBy(F.col("count").desc(), "c").limit(RANKED).collect()
-    entries = [F.lit(x) for at, r in enumerate(common) for x in (r["c"], at)]
-    order = F.create_map(*entries) if entries else F.create_map().cast("map<string,int>")
-    places = F.array_compact(F.transform("letters", lambda c: F.try_element_at(order, c)))
-
-    def word(at: int) -> Column:
-        bit = lambda p: F.when(F.floor(p / WORD) == at, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(WORD)))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate("places", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
-
-    ranked = spelled.select("class", F.size("letters").alias("n"), places.alias("places"))
-    words = F.array(*[word(at) for at in range(-(-RANKED // WORD))])
-    return written(
-        ranked.select(
-            F.monotonically_increasing_id().alias("id"), "class", "n", words.alias("bits"), (F.col("n") - F.size("places")).alias("others")
-        ),
-        "described-classes",
-    )
+    return written(distinct.select(F.monotonically_increasing_id().alias("id"), "class", F.length("class").alias("n")), "described-classes")
 
 
 def _blocks(lengths: list[tuple[int, int]], cutoff: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """length, first block of its band, blocks of the band, first and last block that they meet; and how many blocks meet.
+    """length, first block of its band, blocks of the band, first and last block that they meet; and how many blocks there are.
 
     ``lengths`` are (length, texts) in order. Lengths are put together in a band until it fills a block; a band of more is
     dealt in several blocks. Blocks are numbered by length, so those that one meets are a range.
     """
+    part = max(PART, min(GROWN * PART, sum(texts for _, texts in lengths) // BLOCKS))
     bands: list[list] = []  # [lengths, texts]
     for length, texts in lengths:
-        if not bands or bands[-1][1] + texts > PART:
+        if not bands or bands[-1][1] + texts > part:
             bands.append([[], 0])
         bands[-1][0].append(length)
         bands[-1][1] += texts
-    parts = [-(-texts // PART) for _, texts in bands]
+    parts = [-(-texts // part) for _, texts in bands]
     at = [sum(parts[:i]) for i in range(len(bands))]
     # the longest partner of a band's longest text; the last length stands for all above it
     most = [float("inf") if ls[-1] >= LONGEST else ls[-1] * (200 - cutoff) // cutoff for ls, _ in bands]
-    listed, meetings = [], 0
+    listed = []
     for i, (ls, _) in enumerate(bands):
         first = next(at[j] for j in range(i + 1) if ls[0] <= most[j])
         last = max(at[j] + parts[j] - 1 for j in range(i, len(bands)) if bands[j][0][0] <= most[i])
         listed += [(length, at[i], parts[i], first, last) for length in ls]
-        meetings += sum(last - block + 1 for block in range(at[i], at[i] + parts[i]))
-    return listed, meetings
+    return listed, sum(parts)
 
 
 def _met(texts: DataFrame, cutoff: int) -> DataFrame:
-    """The texts once for each block that theirs meets: pair, side (0: of the block of shorter ones) and the text's columns;
-    rows of a pair stand together."""
+    """The texts once for each block that theirs meets: pair, side (0: of the block of shorter ones, 1: of the other one, 2: of
+    a block that meets itself), id and class; rows of a pair stand together."""
     length = F.least("n", F.lit(LONGEST))
     counts = texts.groupBy(length.alias("length")).count().orderBy("length").collect()
-    listed, meetings = _blocks([(r["length"], r["count"]) for r in counts], cutoff)
+    listed, blocks = _blocks([(r["length"], r["count"]) for r in counts], cutoff)
     bands = texts.sparkSession.createDataFrame(listed, "length int, at int, parts int, first int, last int")
     dealt = texts.withColumn("length", length).join(F.broadcast(bands), "length")
     dealt = dealt.withColumn("block", F.col("at") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence("first", "last")))
-    pair = F.struct(F.least("block", "other").alias("short"), F.greatest("block", "other").alias("long"))
-    sided = other.select(pair.alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "class", "n", "bits", "others")
-    by = ["pair.short", "pair.long"]
-    rows = sided.repartition(max(1, min(meetings, TASKS)), *by).sortWithinPartitions(*by, "side", "n")
-    return rows.select(F.concat_ws(" ", "pair.short", "pair.long").alias("pair"), "side", "id", "class", "n", "bits", "others")
+    pair = F.least("block", "other").cast("long") * blocks + F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
+    sided = other.select(pair.alias("pair"), side.alias("side"), "id", "class")
+    # a pair has a task of its own as far as there are so many
+    tasks = max(1, min(blocks * blocks, TASKS))
+    return sided.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "side")
+
+
+def _meetings(batches: Iterator[pd.DataFrame], cutoff: int, bits: int) -> Iterator[tuple[pd.DataFrame, Meeting]]:
+    """The rows of each pair of blocks, and what meets; a block may have no texts."""
 
+    def met(kept: list[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Meeting]]:
+        rows = pd.concat(kept, ignore_index=True)
+        shorts, longs, both = (np.flatnonzero(rows["side"].to_numpy() == side) for side in (0, 1, 2))
+        if len(both) or (len(shorts) and len(longs)):
+            classes = rows["class"].to_numpy(dtype=object)
+            yield rows, Meeting(classes, both, None, cutoff, bits) if len(both) else Meeting(classes, shorts, longs, cutoff, bits)
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each pair of blocks."""
     kept: list[pd.DataFrame] = []
     for batch in batches:
         for pair, rows in batch.groupby("pair", sort=False):
             if kept and kept[0]["pair"].iat[0] != pair:
-                yield pd.concat(kept, ignore_index=True)
+                yield from met(kept)
                 kept = []
             kept.append(rows)
     if kept:
-        yield pd.concat(kept, ignore_index=True)
-
-
-def _strips(rows: pd.DataFrame, cutoff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in the rows) of texts of two blocks, or of one block, that may be linked by their common characters."""
-    bits = np.array(rows["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(rows), -1)
-    n, others, side = (rows[c].to_numpy(dtype=np.int32) for c in ("n", "others", "side"))
-    shorts = np.flatnonzero(side == 0)
-    longs = np.flatnonzero(side == 1)
-    alone = len(longs) == 0
-    longs = shorts if alone else longs
-    columns = [np.ascontiguousarray(bits[longs, w]) for w in range(bits.shape[1])]
-    for start in range(0, len(shorts), STRIP):
-        strip = shorts[start : start + STRIP]
-        # of one block only later ones are met
-        skip = start if alone else 0
-        shared = np.zeros((len(strip), len(longs) - skip), dtype=np.uint8)
-        for w, column in enumerate(columns):
-            shared += np.bitwise_count(bits[strip, w][:, None] & column[None, skip:])
-        met = longs[skip:]
-        # common * 200 >= cutoff * (la + lb), where common is at most the shared bits and the fewer others
-        least = np.empty(shared.shape, dtype=bool)
-        for at, text in enumerate(strip):
-            need = -(-(n[met] + n[text]) * cutoff // 200) if at == 0 or n[text] != n[strip[at - 1]] else need
-            more = np.minimum(others[met], others[text]) if others[text] else 0
-            np.greater_equal(shared[at], need - more, out=least[at])
-        if alone:
-            least &= np.arange(skip, len(longs))[None, :] > (start + np.arange(len(strip)))[:, None]
-        a, b = np.nonzero(least)
-        yield strip[a], met[b]
-
-
-def _compare(cutoff: int):
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _groups(batches):
-            classes = rows["class"].to_numpy(dtype=object)
-            texts = Texts(classes)
-            for a, b in _strips(rows, cutoff):
-                scores = texts.ratios(a, b)
-                linked = scores >= cutoff
-                if linked.any():
-                    yield pd.DataFrame({"a": classes[a[linked]], "b": classes[b[linked]], "score": scores[linked]})
-
-    return compare
+        yield from met(kept)
 
 
 def candidates(texts: DataFrame, cutoff: int) -> DataFrame:
-    """Distinct pairs (short, long) of ids that are compared in full: length and common characters allow a link."""
+    """Distinct pairs (short, long) of ids whose length and common characters allow a link."""
+    bits = RANKED
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _groups(batches):
+        for rows, meeting in _meetings(batches, cutoff, bits):
             ids = rows["id"].to_numpy()
-            for a, b in _strips(rows, cutoff):
+            for a, b in meeting.candidates():
                 yield pd.DataFrame({"short": ids[a], "long": ids[b]})
 
     return _met(texts, cutoff).mapInPandas(pairs, "short long, long long")
 
 
+def _compare(cutoff: int, bits: int):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, meeting in _meetings(batches, cutoff, bits):
+            classes = rows["class"].to_numpy(dtype=object)
+            for a, b, scores in meeting.links():
+                if len(a):
+                    yield pd.DataFrame({"a": classes[a], "b": classes[b], "score": scores})
+
+    return compare
+
+
 def class_links(classes: DataFrame, cutoff: float = SAME_NAME) -> DataFrame:
     """a, b (classes, a before b), name_score of all linked classes. classes: class, of any number of rows.
 
@@ -196,5 +145,5 @@ def class_links(classes: DataFrame, cutoff: float = SAME_NAME) -> DataFrame:
     whole = int(cutoff)
     if whole != cutoff or not 0 < whole < 100:
         raise ValueError("the cutoff is a whole number between 1 and 99")
-    linked = _met(described(classes), whole).mapInPandas(_compare(whole), "a string, b string, score double")
+    linked = _met(described(classes), whole).drop("id").mapInPandas(_compare(whole, RANKED), "a string, b string, score double")
     return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), round_to(F.col("score") / 100.0, 2).alias("name_score"))

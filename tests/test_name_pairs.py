@@ -105,3 +105,11 @@ def test_after_the_ratio_was_used(spark):
     frame = spark.createDataFrame([("abcd",), ("abce",)], "class string")
     assert frame.select(indel_ratio(F.col("class"), F.lit("abcd")).alias("r")).agg(F.max("r")).first()[0] == 100.0
     assert [tuple(r) for r in name_pairs.class_links(frame).collect()] == [("abcd", "abce", 0.75)]
+
+
+def test_blocks_without_texts(spark, monkeypatch):
+    """Texts are dealt by hash, so that some blocks get none; those that meet such a block are not linked among themselves again."""
+    monkeypatch.setattr(name_pairs, "PART", 2)
+    names = ["abcdefgh" + a + b for a in "ijklm" for b in "nopqrstuvw"]
+    rows = name_pairs.class_links(spark.createDataFrame([(n,) for n in names], "class string")).collect()
+    assert len(rows) == 50 * 49 / 2 and {(r.a, r.b) for r in rows} == brute(names, 75).keys()
