@@ -21,7 +21,7 @@ FILLED, WORDS = 32, 3
 #: Pairs that are looked at together, so that their words stay near the processor, and texts of a row of them.
 CELLS, ROW = 131_072, 16_384
 #: Candidates that are looked at, and compared in full, together.
-SOME = 16_384
+SOME = 32_768
 #: Longest texts whose halves are looked at.
 HALVED = 63
 ONE = np.uint64(1)
@@ -86,13 +86,16 @@ class Meeting:
         nth[order] = np.arange(len(key)) - np.repeat(new, sizes)
         last[order] = np.repeat(sizes - 1, sizes)
         most = int(sizes.max())
-        kinds, where, counts = np.unique(numbers * most + nth, return_inverse=True, return_counts=True)
-        bit = _dealt(counts, bits * count)
+        kinds = numbers * most + nth
+        counts = np.bincount(kinds)
+        known = np.flatnonzero(counts)
+        bit = np.zeros(len(counts), dtype=np.int64)
+        bit[known] = _dealt(counts[known], bits * count)
         # unary bits are the lowest ones
         at = ONE << (UNARY + bit // count).astype(np.uint64)
         words = np.where(np.arange(count)[:, None] == bit % count, at, np.uint64(0))
         half = ONE << (bit % WORD).astype(np.uint64)
-        return words[:, where], half[where], half[np.searchsorted(kinds, numbers * most + last - nth)]
+        return words[:, kinds], half[kinds], half[numbers * most + last - nth]
 
     def _halve(self, half: np.ndarray, back: np.ndarray) -> None:
         """Bits of the halves of the short texts; bits of the long ones before and behind each place."""
@@ -125,9 +128,12 @@ class Meeting:
         for n, start, end in zip(lengths.tolist(), first.tolist(), [*first[1:].tolist(), len(self.shorts)]):
             # 200 * common >= cutoff * (la + lb)
             need = -(-(n + self.n_long) * self.cutoff // 200)
+            last = None
             for at in range(start, end, step):
                 rows = slice(at, min(at + step, end))
-                least = np.clip(need - int(self.over[rows].max()), 0, 255).astype(np.uint8)
+                over = int(self.over[rows].max())
+                if over != last:
+                    last, least = over, np.clip(need - over, 0, 255).astype(np.uint8)
                 # of one block only later texts are met
                 for left in range(at if self.alone else 0, len(self.longs), ROW):
                     i, j = self._shared(rows, slice(left, min(left + ROW, len(self.longs))), least, cells)
@@ -184,14 +190,10 @@ class Meeting:
                     mid = (low + high) // 2
                     to_high, to_mid = self.before[rows, high], self.before[rows, mid]
                     from_low, from_mid = self.behind[rows, low], self.behind[rows, mid]
-                first, second, least, missing = self.first[i], self.second[i], small[j], self.missing[i]
-                head = np.bitwise_count(first & to_high[j]) + missing
-                tail = np.bitwise_count(second & from_low[j])
-                kept = np.flatnonzero(head + tail >= least)
-                i, j, first, second, least, missing, head, tail = (x[kept] for x in (i, j, first, second, least, missing, head, tail))
-                fits = np.bitwise_count(first & to_mid[j]) + missing + tail >= least
-                fits |= head + np.bitwise_count(second & from_mid[j]) >= least
-                kept = np.flatnonzero(fits)
+                first, second = self.first[i], self.second[i]
+                common = np.bitwise_count(first & to_high[j]) + np.bitwise_count(second & from_mid[j])
+                np.maximum(common, np.bitwise_count(first & to_mid[j]) + np.bitwise_count(second & from_low[j]), out=common)
+                kept = np.flatnonzero(common + self.missing[i] >= small[j])
                 i, j = i[kept], j[kept]
             yield i, j, need[j]
 

@@ -29,7 +29,7 @@ from landq.session import written
 RANKED = 58
 #: Texts of a block, on average, and how many times as many where there would be more than so many blocks.
 PART = 16_000
-GROWN, BLOCKS = 4, 28
+GROWN, BLOCKS = 4, 16
 #: Lengths from here on are one in the list of lengths, by which blocks are made.
 LONGEST = 1000
 #: Tasks for the comparison of blocks, at most.

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landq.functions.similarity import indel_ratio, ratios
+from landq.functions.likeness import Meeting
+from landq.functions.similarity import Texts, indel_ratio, ratios
 from landq.operators import name_pairs
 from landq.plans.catalogue import CATALOGUE
 
@@ -113,3 +115,48 @@ def test_blocks_without_texts(spark, monkeypatch):
     names = ["abcdefgh" + a + b for a in "ijklm" for b in "nopqrstuvw"]
     rows = name_pairs.class_links(spark.createDataFrame([(n,) for n in names], "class string")).collect()
     assert len(rows) == 50 * 49 / 2 and {(r.a, r.b) for r in rows} == brute(names, 75).keys()
+
+
+@pytest.mark.parametrize("cutoff", [40, 60, 75, 95])
+@pytest.mark.parametrize("lengths", [(1, 9), (20, 34), (30, 63), (55, 80), (120, 300)])
+def test_blocks_in_memory_against_brute_force(cutoff, lengths):
+    """Texts of one to three words of bits, with and without halves, that are few changes of each other or none."""
+    rng = random.Random(f"{cutoff} {lengths}")
+    names = set()
+    while len(names) < 90:
+        name = [rng.choice("abcdeeeé ñ中😀" + "abcdefghijklmnopqrstuvwxyz" * (lengths[0] % 2)) for _ in range(rng.randint(*lengths))]
+        for _ in range(3):
+            names.add("".join(name))
+            for _ in range(len(name) // 5 + 1):
+                name[rng.randrange(len(name))] = rng.choice("abcde ")
+    names = np.array(sorted(names), dtype=object)
+    places = np.arange(len(names))
+    for bits in (58, 3):
+        for shorts, longs in ((places[::2], places[1::2]), (places[1::2], places[::2]), (places, None)):
+            found = [(names[a], names[b]) for i, j, _ in Meeting(names, shorts, longs, cutoff, bits).links() for a, b in zip(i, j)]
+            linked = {tuple(sorted(p)) for p in found}
+            assert len(linked) == len(found)
+            side = set(names[shorts])
+            assert linked == {p for p in brute(names, cutoff) if longs is None or (p[0] in side) != (p[1] in side)}
+
+
+def test_texts_in_another_order_are_not_compared():
+    """The same letters in other orders have all in common; before, each two of them were compared in full."""
+    rng = random.Random(4)
+    names = np.array(["".join(rng.sample("abcdefghijklmnopqr", 18)) for _ in range(300)], dtype=object)
+    meeting = Meeting(names, np.arange(300), None, 75, 58)
+    assert sum(len(a) for a, _ in meeting.candidates()) == 300 * 299 / 2
+    assert sum(len(i) for i, _, _ in meeting._in_order()) < 300 * 299 / 2 / 2
+
+
+def test_comparisons_that_are_left_have_too_few_characters_in_common():
+    names = np.array(["abcdefgh", "abcdxxxx", "xxxxxxxx", "abcdefghabcdefghabcdefghabcdefghabcdefgh", "a", ""], dtype=object)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    want = ratios(names[left].tolist(), names[right].tolist())
+    texts = Texts(names)
+    total = texts.length[left] + texts.length[right]
+    assert np.allclose(texts.ratios(left, right), want)
+    for least in range(9):
+        got = texts.ratios(left, right, np.full(len(left), least))
+        able = want * total >= 200 * least
+        assert np.allclose(got[able], want[able]) and (got[~able] * total[~able] < 200 * least).all()
