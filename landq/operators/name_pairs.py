@@ -30,6 +30,8 @@ RANKED = 58
 #: Texts of a block, on average, and how many times as many where there would be more than so many blocks.
 PART = 16_000
 GROWN, BLOCKS = 4, 16
+#: Characters of a block, which bound what a task holds where texts are long.
+LETTERS = 4_000_000
 #: Lengths from here on are one in the list of lengths, by which blocks are made.
 LONGEST = 1000
 #: Tasks for the comparison of blocks, at most.
@@ -56,13 +58,14 @@ def _blocks(lengths: list[tuple[int, int]], cutoff: int) -> tuple[list[tuple[int
     dealt in several blocks. Blocks are numbered by length, so those that one meets are a range.
     """
     part = max(PART, min(GROWN * PART, sum(texts for _, texts in lengths) // BLOCKS))
+    room = lambda length: max(1, min(part, LETTERS // length))
     bands: list[list] = []  # [lengths, texts]
     for length, texts in lengths:
-        if not bands or bands[-1][1] + texts > part:
+        if not bands or bands[-1][1] + texts > room(length):
             bands.append([[], 0])
         bands[-1][0].append(length)
         bands[-1][1] += texts
-    parts = [-(-texts // part) for _, texts in bands]
+    parts = [-(-texts // room(ls[-1])) for ls, texts in bands]
     at = [sum(parts[:i]) for i in range(len(bands))]
     # the longest partner of a band's longest text; the last length stands for all above it
     most = [float("inf") if ls[-1] >= LONGEST else ls[-1] * (200 - cutoff) // cutoff for ls, _ in bands]

@@ -160,3 +160,10 @@ def test_comparisons_that_are_left_have_too_few_characters_in_common():
         got = texts.ratios(left, right, np.full(len(left), least))
         able = want * total >= 200 * least
         assert np.allclose(got[able], want[able]) and (got[~able] * total[~able] < 200 * least).all()
+
+
+def test_blocks_of_long_texts_are_smaller():
+    listed, blocks = name_pairs._blocks([(18, 1_000_000), (1000, 300_000)], 75)
+    parts = {length: parts for length, _, parts, _, _ in listed}
+    assert sum(parts.values()) == blocks
+    assert 1_000_000 / parts[18] <= 64_000 and 300_000 / parts[1000] * 1000 <= name_pairs.LETTERS
